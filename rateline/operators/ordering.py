@@ -64,7 +64,7 @@ def range_bucket(df: DataFrame, keys: Sequence[str], points: Sequence[Row]) -> C
 
 def with_position(
     df: DataFrame,
-    order_by: Sequence[str],
+    order_by: Sequence[str | Column],
     levels: Sequence[str],
     partition_by: Sequence[str] = (),
     position: str = "position",

@@ -61,13 +61,21 @@ def integrity_report(
     coaches: DataFrame,
     sessions: DataFrame,
     submissions: DataFrame,
-    evaluations: DataFrame,
 ) -> DataFrame:
     """Every broken rule as ``(rule, key, detail)``.
 
-    All rules about one evaluation are judged in one pass over the joined row,
-    so evaluations are scanned and joined once, not once per rule.
+    Submissions are folded to one row per natural key once, with the number of
+    copies, and all rules about that row are judged in one pass over it: it is
+    scanned, shuffled and joined once, not once per rule.
     """
+    evaluations = (
+        valid_submissions(submissions)
+        .groupBy(*EVALUATION_KEY)
+        .agg(
+            F.min_by("created_at", "arrival_seq").alias("created_at"),
+            F.count(F.lit(1)).alias("copies"),
+        )
+    )
     division_present = _present(divisions, "division_id", "division_found")
 
     def orphan_divisions(children: DataFrame, rule: str) -> DataFrame:
@@ -133,6 +141,7 @@ def integrity_report(
             ),
             finding("inactive_session_score", outside, F.col("session_id")),
             finding("player_division_mismatch", mismatch, F.col("player_division")),
+            finding("duplicate_key", F.col("copies") > 1, F.col("copies")),
         )
     )
     of_evaluations = joined.select(
@@ -146,17 +155,6 @@ def integrity_report(
         F.concat_ws("/", *EVALUATION_KEY).alias("key"),
         F.col("score").cast("string").alias("detail"),
     )
-    duplicates = (
-        valid_submissions(submissions)
-        .groupBy(*EVALUATION_KEY)
-        .count()
-        .filter(F.col("count") > 1)
-        .select(
-            F.lit("duplicate_key").alias("rule"),
-            F.concat_ws("/", *EVALUATION_KEY).alias("key"),
-            F.col("count").cast("string").alias("detail"),
-        )
-    )
     skill_index_range = sessions.filter(F.col("current_skill_index") >= len(SKILLS)).select(
         F.lit("session_skill_out_of_range").alias("rule"),
         F.col("id").cast("string").alias("key"),
@@ -175,7 +173,6 @@ def integrity_report(
     report = of_evaluations
     for part in (
         of_submissions,
-        duplicates,
         orphan_divisions(players, "orphan_player_division"),
         orphan_divisions(sessions, "orphan_session_division"),
         skill_index_range,

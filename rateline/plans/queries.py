@@ -47,7 +47,7 @@ def _results(t: StarTables, **options) -> DataFrame:
 
 
 def _history(t: StarTables) -> DataFrame:
-    return sessions_ops.session_history(materialize(t.session_starts()))
+    return sessions_ops.session_history(materialize(t.session_starts(), "starts"))
 
 
 def _sessions(t: StarTables) -> DataFrame:
@@ -55,7 +55,12 @@ def _sessions(t: StarTables) -> DataFrame:
 
 
 def _session_divisions(t: StarTables) -> DataFrame:
-    """Session ids with their division, where the interval is not needed."""
+    """Written down, so that its size is known when it is joined."""
+    return materialize(t.session_divisions(), "sessions")
+
+
+def _scored_sessions(t: StarTables) -> DataFrame:
+    """Sessions somebody was scored in, with their division."""
     return t.session_starts().select(F.col("session_id").alias("id"), "division_id")
 
 
@@ -233,7 +238,7 @@ def session_progress(t: StarTables) -> DataFrame:
 
 @query
 def progress_grid(t: StarTables) -> DataFrame:
-    return results.progress_grid(_evaluations(t), t.players(), _session_divisions(t))
+    return results.progress_grid(_evaluations(t), t.players(), _scored_sessions(t))
 
 
 @query
@@ -445,7 +450,7 @@ def delete_divisions(t: StarTables) -> DataFrame:
     divisions = t.divisions().unionByName(more_divisions)
     players = t.players().unionByName(more_players)
     left, released = maintenance.delete_divisions(
-        divisions, players, _session_divisions(t), divisions
+        divisions, players, _scored_sessions(t), divisions
     )
     return left.select(F.lit("division").alias("kind"), "id", F.col("id").alias("division_id")).unionByName(
         released.select(F.lit("player").alias("kind"), "id", "division_id")
@@ -492,7 +497,6 @@ def integrity_report(t: StarTables) -> DataFrame:
         t.coaches(),
         _sessions(t),
         submissions,
-        latest.latest_evaluations(submissions),
     )
 
 

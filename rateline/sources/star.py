@@ -9,6 +9,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Declared, so that opening a table needs no job to look for its schema.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+}
+
 # The last nation keeps no players, so that an empty division occurs.
 EMPTY_DIVISION = 25
 
@@ -19,7 +42,7 @@ class StarTables:
         self.folder = folder.rstrip("/")
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def divisions(self) -> DataFrame:
         return self.raw("nation").select(
@@ -58,7 +81,9 @@ class StarTables:
         )
 
     def submissions(self) -> DataFrame:
-        items, orders = self.raw("lineitem"), self._session_orders()
+        # Both sides are large. Without the hint the planner overrates a joined
+        # side and would rather broadcast the line items.
+        items, orders = self.raw("lineitem"), self._session_orders().hint("merge")
         score = (F.col("l_quantity").cast("int") % 12).alias("score")
         return (
             items.join(orders, items.l_orderkey == orders.o_orderkey)
@@ -84,12 +109,18 @@ class StarTables:
             )
         )
 
+    def session_divisions(self) -> DataFrame:
+        """Sessions with their division, where neither start nor end is needed."""
+        return self._session_orders().select(
+            F.col("session_id").alias("id"), (F.col("session_id") % 100).alias("division_id")
+        ).distinct()
+
     def session_starts(self) -> DataFrame:
         """One start command per session, at its first submission."""
-        items, orders = self.raw("lineitem"), self._session_orders()
-        scored = orders.join(items, orders.o_orderkey == items.l_orderkey, "left_semi")
+        items, orders = self.raw("lineitem"), self._session_orders().hint("merge")
         return (
-            scored.groupBy("session_id")
+            items.join(orders, items.l_orderkey == orders.o_orderkey)
+            .groupBy("session_id")
             .agg(F.min("o_orderdate").alias("ts"))
             .select(
                 F.lit(1).cast("bigint").alias("lane"),

@@ -32,10 +32,15 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/rateline/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, computed once."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Compute once into a table in the shared folder, and go on from there.
+
+    The table cuts the lineage, outlives lost executors, and has a known size,
+    so that the planner can tell whether a join may broadcast it.
+    """
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 _VERSIONS = T.StructType([T.StructField("version", T.LongType())])
