@@ -13,53 +13,67 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_PER_BUCKET = 32
-MAX_BUCKETS = 256
+MAX_BUCKETS = 1024
+_HASH_RANGE = 1 << 40
 
 
 def split_points(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> list[Row]:
     """At most ``buckets - 1`` keys that cut ``df`` into even ranges.
 
-    They come from a sample of bounded size, taken by hash so that it is the
-    same on every run. A table no larger than the sample needs no cut.
+    They come from a hash sample of about ``SAMPLE_PER_BUCKET`` keys a bucket,
+    the same on every run, however large the table is. They decide only which
+    task sorts a row, never the result. A table no larger than the sample
+    needs no cut.
     """
-    spark = df.sparkSession
     if buckets is None:
-        buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+        shuffle_partitions = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        buckets = min(int(shuffle_partitions), MAX_BUCKETS)
     size = buckets * SAMPLE_PER_BUCKET
+    rows = df.count()
+    if rows <= size or buckets < 2:
+        return []
+    hashed = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(_HASH_RANGE))
     sample = (
         df.select(*keys)
-        .orderBy(F.xxhash64(*[F.col(k).cast("string") for k in keys]))
-        .limit(size)
+        .filter(hashed < _HASH_RANGE * size // rows)
+        .limit(2 * size)
         .orderBy(*keys)
         .collect()
     )
-    if len(sample) < size or buckets < 2:
-        return []
     return sample[SAMPLE_PER_BUCKET::SAMPLE_PER_BUCKET]
 
 
-def range_bucket(df: DataFrame, keys: Sequence[str], points: Sequence[Row]) -> Column:
-    """The number of split points at or below a row's key.
+def with_range_bucket(
+    df: DataFrame, keys: Sequence[str], points: Sequence[Row], name: str
+) -> DataFrame:
+    """Add the number of split points at or below a row's key.
 
-    A balanced tree of comparisons, so a row costs log2(points) of them.
+    The points travel as one sorted array. A fold over the powers of two is a
+    binary search in it: a step is kept while its point is not above the key.
     """
     types = {f.name: f.dataType for f in df.select(*keys).schema.fields}
-    key = F.struct(*keys)
+    plain = T.StructType(
+        [T.StructField(k, T.StringType() if _is_text(types[k]) else types[k]) for k in keys]
+    )
+    table = df.sparkSession.createDataFrame([tuple(p[k] for k in keys) for p in points], plain)
+    point = F.struct(*[F.col(k).cast(types[k]).alias(k) for k in keys])
+    sorted_points = table.agg(F.array_sort(F.collect_list(point)).alias("points")).scalar()
 
-    def point(row: Row) -> Column:
-        return F.struct(*[F.lit(row[k]).cast(types[k]).alias(k) for k in keys])
+    key, steps = F.struct(*keys), [1 << i for i in range(len(points).bit_length())][::-1]
+
+    def search(found: Column, step: Column) -> Column:
+        kept = F.get("_points", found + step - 1) <= key
+        return F.when(kept, found + step).otherwise(found)
+
+    bucket = F.aggregate(F.array(*[F.lit(i) for i in steps]), F.lit(0), search)
+    return df.withColumn("_points", sorted_points).withColumn(name, bucket).drop("_points")
 
-    def tree(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < point(points[middle]), tree(low, middle)).otherwise(
-            tree(middle + 1, high)
-        )
 
-    return tree(0, len(points))
+def _is_text(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StringType)
 
 
 def with_position(
@@ -172,7 +186,7 @@ def ordered_position(
         group = Window.partitionBy(*partition_by)
         df = df.withColumn(position, F.row_number().over(group.orderBy(*order_by)).cast("bigint"))
         return df if total is None else df.withColumn(total, F.count(F.lit(1)).over(group))
-    bucketed = df.withColumn("_bucket", range_bucket(df, keys, points))
+    bucketed = with_range_bucket(df, keys, points, "_bucket")
     return with_position(
         bucketed, order_by, ["_bucket"], partition_by, position, total
     ).drop("_bucket")
@@ -196,7 +210,7 @@ def ordered_neighbours(
         if following is not None:
             df = df.withColumn(following, F.lead(value).over(window))
         return df
-    bucketed = df.withColumn("_bucket", range_bucket(df, keys, points))
+    bucketed = with_range_bucket(df, keys, points, "_bucket")
     return with_neighbours(
         bucketed, order_by, "_bucket", value, partition_by, previous, following
     ).drop("_bucket")

@@ -122,8 +122,11 @@ def pivot_skills(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return pivoted
 
 
-def player_overall(result_rows: DataFrame) -> DataFrame:
-    """Mean of the skill means per player, out-of-range skills included."""
+def player_overall(result_rows: DataFrame, *more: Column) -> DataFrame:
+    """Mean of the skill means per player, out-of-range skills included.
+
+    ``more`` aggregates are computed in the same pass.
+    """
     folded = result_rows.groupBy("player_id").agg(
         F.any_value("player_name").alias("player_name"),
         F.any_value("age").alias("age"),
@@ -132,27 +135,24 @@ def player_overall(result_rows: DataFrame) -> DataFrame:
         F.any_value("division_name").alias("division_name"),
         F.sum("avg_e4").alias("_sum"),
         F.count(F.lit(1)).alias("skills"),
+        *more,
     )
     total, skills = F.col("_sum"), F.col("skills")
-    return folded.select(
-        "player_id",
-        "player_name",
-        "age",
-        "position",
-        "division_id",
-        "division_name",
-        "skills",
-        overall(total, skills).alias("overall"),
-        overall_tenths(total, skills).alias("overall_1dp"),
-    )
+    return folded.withColumns(
+        {"overall": overall(total, skills), "overall_1dp": overall_tenths(total, skills)}
+    ).drop("_sum")
 
 
 def results_wide(result_rows: DataFrame) -> DataFrame:
     """One row per player with a rounded cell per skill and the overall score."""
-    cells = pivot_skills(
-        result_rows.withColumn("_cell", e4_to_tenths(F.col("avg_e4"))), ["player_id"], "_cell"
+    cell = e4_to_tenths(F.col("avg_e4"))
+    return player_overall(
+        result_rows,
+        *[
+            F.max(F.when(F.col("skill_index") == index, cell)).alias(name.lower())
+            for index, name in enumerate(SKILLS)
+        ],
     )
-    return player_overall(result_rows).join(cells, "player_id")
 
 
 def leaderboard(

@@ -61,7 +61,8 @@ def _session_divisions(t: StarTables) -> DataFrame:
 
 def _scored_sessions(t: StarTables) -> DataFrame:
     """Sessions somebody was scored in, with their division."""
-    return t.session_starts().select(F.col("session_id").alias("id"), "division_id")
+    scored = t.session_starts().select(F.col("session_id").alias("id"), "division_id")
+    return materialize(scored, "sessions")
 
 
 # --- submissions and evaluations -------------------------------------------------
@@ -495,7 +496,7 @@ def integrity_report(t: StarTables) -> DataFrame:
         t.divisions(),
         t.players(),
         t.coaches(),
-        _sessions(t),
+        materialize(_sessions(t), "sessions"),
         submissions,
     )
 

@@ -1,0 +1,288 @@
+"""Operators on small tables, against expected rows or a plain computation."""
+
+import random
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from rateline.operators import coverage, latest, maintenance, quality, results, roster, sessions, synth
+from rateline.schemas import COMMANDS, EVALUATIONS, PLAYERS, SUBMISSIONS
+
+DAY = __import__("datetime").datetime
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def evaluations(spark, keyed):
+    """From (session, player, coach, skill, score)."""
+    return spark.createDataFrame(
+        [(s, p, c, k, "x", v, None) for s, p, c, k, v in keyed], EVALUATIONS
+    )
+
+
+def players(spark, listed):
+    """From (id, name, division)."""
+    return spark.createDataFrame([(i, n, 9, False, False, d) for i, n, d in listed], PLAYERS)
+
+
+def session_table(spark, listed):
+    return spark.createDataFrame(listed, "id long, division_id long")
+
+
+def test_last_arrival_wins_and_first_time_stays(spark):
+    first, second = DAY(2024, 1, 1), DAY(2024, 1, 2)
+    submitted = spark.createDataFrame(
+        [
+            (1, 1, 1, 0, 3, 1, first, second),
+            (1, 1, 1, 0, 8, 2, second, first),
+            (1, 1, 1, 0, 11, 3, second, second),
+            (1, 2, 1, 4, 5, 4, first, first),
+        ],
+        SUBMISSIONS,
+    )
+    got = latest.latest_evaluations(submitted)
+    assert rows(got, "player_id", "skill_name", "score", "created_at") == [
+        (1, "Running", 8, first), (2, "Unknown", 5, first),
+    ]
+
+
+def test_pending_wins_over_stored(spark):
+    stored = evaluations(spark, [(1, 1, 1, 0, 3), (1, 2, 1, 0, 4)])
+    pending = spark.createDataFrame(
+        [(1, 1, 1, 0, 9, 1, None, None), (1, 1, 1, 0, 7, 2, None, None), (1, 3, 1, 0, 5, 3, None, None)],
+        SUBMISSIONS,
+    )
+    got = latest.pending_overlay(stored, pending)
+    assert rows(got, "player_id", "score", "is_pending") == [(1, 7, True), (2, 4, False), (3, 5, True)]
+
+
+def test_overall_is_the_mean_of_skill_means(spark):
+    scores = evaluations(spark, [(1, 1, 1, 0, 10), (1, 1, 2, 0, 10), (1, 1, 1, 1, 4), (1, 2, 1, 0, 5)])
+    divisions = spark.createDataFrame([(1, "A")], "id long, name string")
+    result = results.results(scores, players(spark, [(1, "a", 1), (2, "b", None)]), divisions)
+    assert rows(results.player_overall(result), "player_id", "overall") == [(1, 7.0)]
+
+
+@pytest.mark.parametrize("fine_from", [0, 10**9])
+@pytest.mark.parametrize("by_division", [False, True])
+def test_leaderboard_with_many_ties(spark, fine_from, by_division):
+    scored = spark.range(1, 200_001, 37).select(
+        F.col("id").alias("player_id"),
+        F.lit("x").alias("player_name"),
+        F.lit(None).cast("long").alias("age"),
+        F.lit("Player").alias("position"),
+        (F.col("id") % 3).alias("division_id"),
+        F.lit("d").alias("division_name"),
+        F.lit(1).cast("long").alias("skills"),
+        F.when(F.col("id") % 3 == 0, 9.0).otherwise(1 + (F.col("id") % 900) / 100).alias("overall"),
+        F.lit(9.0).alias("overall_1dp"),
+    )
+    got = results.leaderboard(scored, by_division, fine_from)
+    window = Window.partitionBy(*(["division_id"] if by_division else []))
+    want = scored.withColumn(
+        "rank", F.row_number().over(window.orderBy(F.desc("overall"), "player_id")).cast("long")
+    )
+    assert rows(got, "player_id", "rank") == rows(want, "player_id", "rank")
+
+
+def test_first_unscored(spark):
+    roster_rows = [(i, f"p{i}", 1) for i in range(1, 6)] + [(9, "out", 2)]
+    positions = coverage.roster_positions(players(spark, roster_rows))
+    scored = (
+        [(1, p, 1, 0, 5) for p in (1, 2, 3, 4, 5)]
+        + [(1, p, 1, 1, 5) for p in (1, 2, 4)]
+        + [(1, p, 1, 2, 5) for p in (2, 3)]
+        + [(1, 9, 1, 3, 5), (1, 1, 2, 0, 5)]
+    )
+    sessions_ = session_table(spark, [(1, 1), (2, 3)])
+    wanted = spark.createDataFrame([(1, 1, 3), (1, 1, 0), (2, 1, 0)], "session_id long, coach_id long, skill_index int")
+    for block in (1, 2, 3, 1 << 16):
+        got = coverage.first_unscored(evaluations(spark, scored), positions, sessions_, wanted, block)
+        assert rows(got, "session_id", "coach_id", "skill_index", "first_unscored", "remaining") == [
+            (1, 1, 0, 5, 0), (1, 1, 1, 2, 2), (1, 1, 2, 0, 3), (1, 1, 3, 0, 5), (1, 2, 0, 1, 4), (2, 1, 0, 0, 0),
+        ]
+
+
+@pytest.mark.parametrize("block", [4, 7, 64])
+def test_first_unscored_against_brute_force(spark, block):
+    draw = random.Random(3)
+    size = 60
+    positions = coverage.roster_positions(
+        players(spark, [(i, f"p{i:03d}", 1) for i in range(1, size + 1)])
+    )
+    scored, want = [], {}
+    for coach in range(1, 40):
+        upto = draw.choice([0, 4, 8, 28, 56, size])
+        chosen = set(range(upto)) | {i for i in range(size) if draw.random() < 0.2}
+        scored += [(1, i + 1, coach, 0, 5) for i in chosen]
+        if chosen:
+            want[coach] = next((i for i in range(size) if i not in chosen), size)
+    got = coverage.first_unscored(
+        evaluations(spark, scored), positions, session_table(spark, [(1, 1)]), block=block
+    )
+    assert dict((r.coach_id, r.first_unscored) for r in got.collect()) == want
+
+
+def test_coverage_with_and_without_roster(spark):
+    scored = [(1, p, 1, k, 5) for p in (1, 2) for k in range(4)] + [(1, 1, 2, 0, 5), (2, 1, 1, 0, 5)]
+    table = coverage.skill_coverage(
+        evaluations(spark, scored),
+        players(spark, [(1, "a", 1), (2, "b", 1)]),
+        session_table(spark, [(1, 1), (2, 7)]),
+    )
+    assert rows(coverage.session_complete(table), "session_id", "coach_id", "complete", "complete_with_roster") == [
+        (1, 1, True, True), (1, 2, False, False), (2, 1, True, False),
+    ]
+    nexts = coverage.next_unfinished_skill(table).filter("session_id = 1 and coach_id = 2")
+    assert rows(nexts, "current_skill", "next_skill") == [(0, 1), (1, 0), (2, 0), (3, 0)]
+    done = coverage.next_unfinished_skill(table).filter("session_id = 2")
+    assert {r.next_skill for r in done.collect()} == {-1}
+
+
+def commands(spark, listed):
+    """From (seq, command, division, session), one lane, time by seq."""
+    return spark.createDataFrame(
+        [(1, q, DAY(2024, 1, 1, 0, q), c, d, s) for q, c, d, s in listed], COMMANDS
+    )
+
+
+def test_session_lifecycle(spark):
+    log = commands(
+        spark,
+        [
+            (0, "end", None, None),
+            (1, "start", 5, 10),
+            (2, "advance", None, 10),
+            (3, "start", 6, 11),
+            (4, "advance", None, 10),
+            (5, "advance", None, 11),
+            (6, "advance", None, 11),
+            (7, "end", None, None),
+            (8, "advance", None, 11),
+            (9, "start", 5, 12),
+        ],
+    )
+    history = sessions.session_history(log)
+    cursor = sessions.session_cursors(history, log)
+    at = lambda minute: DAY(2024, 1, 1, 0, minute)
+    assert rows(cursor, "id", "current_skill_index", "active", "started_at", "ended_at") == [
+        (10, 1, False, at(1), at(3)), (11, 2, False, at(3), at(7)), (12, 0, True, at(9), None),
+    ]
+    many = commands(spark, [(1, "start", 5, 1)] + [(q, "advance", None, 1) for q in range(2, 8)])
+    unbounded = sessions.session_cursors(sessions.session_history(many), many)
+    assert unbounded.first().current_skill_index == 6
+    divisions = spark.createDataFrame([(5, "A"), (6, "B")], "id long, name string")
+    assert rows(sessions.active_session(cursor, divisions), "id", "division_name") == [(12, "A")]
+    closed = sessions.close_active(cursor, DAY(2024, 1, 2))
+    assert closed.filter("active").count() == 0
+    assert closed.filter("id = 12").first().ended_at == DAY(2024, 1, 2)
+
+
+def test_updates_can_set_null(spark):
+    table = players(spark, [(1, "a", 1), (2, "b", 1)])
+    changes = spark.createDataFrame(
+        [(1, " c ", None, True, False, None), (2, "0", 3, True, True, 2), (9, "x", 1, True, True, 1)],
+        PLAYERS,
+    )
+    got = maintenance.apply_player_updates(table, changes)
+    assert rows(got, "id", "name", "age", "division_id") == [(1, "c", None, None), (2, "b", 9, 1)]
+
+
+def test_deletes(spark):
+    divisions = spark.createDataFrame([(1, "A"), (2, "B")], "id long, name string")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    left, released = maintenance.delete_divisions(
+        divisions, players(spark, [(1, "a", 1), (2, "b", 2)]), session_table(spark, [(7, 1)]), asked
+    )
+    assert rows(left, "id") == [(1,)]
+    assert rows(released, "id", "division_id") == [(1, 1), (2, None)]
+    coaches = spark.createDataFrame([(1, True), (2, False), (3, False)], "id long, is_admin boolean")
+    scored = evaluations(spark, [(1, 1, 2, 0, 5)])
+    outcomes = maintenance.delete_outcomes(
+        coaches, spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long"), scored, "coach_id", True
+    )
+    assert rows(outcomes, "id", "outcome") == [
+        (1, "protected"), (2, "restricted"), (3, "deleted"), (4, "missing"),
+    ]
+    assert rows(maintenance.delete_rows(coaches, outcomes), "id") == [(1,), (2,)]
+
+
+def test_resets(spark):
+    scored = evaluations(spark, [(1, 1, 1, 0, 5), (1, 1, 2, 0, 6), (1, 9, 2, 0, 7)])
+    kept, gone = maintenance.reset_players(scored, players(spark, [(1, "a", 1)]))
+    assert rows(kept, "player_id") == [(9,)] and gone.count() == 0
+    coaches = spark.createDataFrame([(1, True), (2, False)], "id long, is_admin boolean")
+    kept, left = maintenance.reset_coaches(scored, coaches)
+    assert rows(kept, "coach_id") == [(1,)] and rows(left, "id") == [(1,)]
+    deleted = maintenance.scores_of(scored, coaches.filter("not is_admin"), "coach_id")
+    assert rows(deleted, "score") == [(6,), (7,)]
+
+
+def test_insert_if_absent_compares_like_the_database(spark):
+    existing = spark.createDataFrame([(4, "José"), (7, "AAA ")], "id long, name string")
+    candidates = spark.createDataFrame(
+        [(1, "jose"), (2, "aaa"), (3, "New"), (4, "NEW"), (5, "Other")], "seq long, name string"
+    )
+    got = roster.insert_if_absent(existing, candidates, ["seq"])
+    assert rows(got, "id", "name") == [(8, "New"), (9, "Other")]
+    message = spark.createDataFrame([(0,), (2,)], "n long").select(
+        roster.created_message(F.col("n"), "division").alias("m")
+    )
+    assert rows(message, "m") == [("Created 2 division(s).",), ("Demo divisions already exist.",)]
+
+
+def test_search(spark):
+    table = players(spark, [(i, f"Ann {i}", 1) for i in range(1, 30)] + [(1007, "Bo", 1)])
+    assert [r.name for r in roster.player_search(table, " ANN ").collect()][:2] == ["Ann 1", "Ann 10"]
+    assert roster.player_search(table, "ann").count() == 8
+    assert rows(roster.player_search(table, "1007"), "id") == [(1007,)]
+    assert rows(roster.player_search(table, "007"), "id") == [(1007,), (7,)]
+    assert roster.player_search(table, "  ").count() == 0
+
+
+def test_synthetic_rosters(spark):
+    divisions = spark.createDataFrame([(1,), (2,)], "id long")
+    made = synth.synth_roster(divisions, 100, seed=5)
+    assert made.count() == 200
+    assert made.select("division_id", "name").distinct().count() == 200
+    assert made.filter("age not between 8 and 14").count() == 0
+    assert made.filter("is_pitcher and is_catcher").count() == 0
+    assert 20 <= made.filter("is_pitcher").count() <= 60
+    assert made.exceptAll(synth.synth_roster(divisions.repartition(3), 100, seed=5)).count() == 0
+    coaches = synth.synth_coaches(divisions, 10)
+    assert coaches.select("group_id", "name").distinct().count() == 20
+    with pytest.raises(ValueError):
+        synth.synth_coaches(divisions, 10_000)
+
+
+def test_integrity_rules(spark):
+    divisions = spark.createDataFrame([(1, "A")], "id long, name string")
+    table = players(spark, [(1, "a", 1), (2, "b", 8)])
+    coaches = spark.createDataFrame([(1, "c", True)], "id long, name string, is_admin boolean")
+    early, late = DAY(2024, 1, 1), DAY(2024, 1, 9)
+    sessions_ = spark.createDataFrame(
+        [(1, 1, 5, True, early, None), (2, 9, 0, True, early, late)],
+        "id long, division_id long, current_skill_index int, active boolean, started_at timestamp_ntz, ended_at timestamp_ntz",
+    )
+    submitted = spark.createDataFrame(
+        [
+            (1, 1, 1, 0, 5, 1, late, late), (1, 1, 1, 0, 6, 2, late, late), (1, 2, 1, 4, 5, 3, late, late),
+            (2, 7, 6, 0, 5, 4, late, late), (3, 1, 1, 0, 5, 5, late, late), (1, 1, 1, 1, 11, 6, late, late),
+        ],
+        SUBMISSIONS,
+    )
+    report = quality.integrity_report(divisions, table, coaches, sessions_, submitted)
+    assert rows(report, "rule", "key", "detail") == sorted(
+        [
+            ("duplicate_key", "1/1/1/0", "2"), ("unknown_skill", "1/2/1/4", "4"),
+            ("player_division_mismatch", "1/2/1/4", "8"), ("orphan_player", "2/7/6/0", "7"),
+            ("orphan_coach", "2/7/6/0", "6"), ("inactive_session_score", "2/7/6/0", "2"),
+            ("orphan_session", "3/1/1/0", "3"), ("score_out_of_range", "1/1/1/1", "11"),
+            ("orphan_player_division", "2", "division 8"), ("orphan_session_division", "2", "division 9"),
+            ("session_skill_out_of_range", "1", "5"), ("several_active_sessions", "sessions", "2"),
+        ],
+        key=repr,
+    )
