@@ -32,6 +32,26 @@ def latest_evaluations(submissions: DataFrame, order: str = "arrival_seq") -> Da
     )
 
 
+def upsert_evaluations(stored: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Stored evaluations with submissions that arrived after all of them.
+
+    Saves folding the whole log again: only the new rows are aggregated.
+    """
+    new = latest_evaluations(submissions).select(
+        *EVALUATION_KEY,
+        F.col("score").alias("_score"),
+        F.col("created_at").alias("_created_at"),
+    )
+    return stored.join(new, EVALUATION_KEY, "full_outer").select(
+        *EVALUATION_KEY,
+        skill_name(F.col("skill_index")).alias("skill_name"),
+        F.coalesce("_score", "score").alias("score"),
+        F.when(F.col("score").isNotNull(), F.col("created_at"))
+        .otherwise(F.col("_created_at"))
+        .alias("created_at"),
+    )
+
+
 def pending_overlay(evaluations: DataFrame, pending: DataFrame) -> DataFrame:
     """Stored scores with the queued ones on top; the last queued one wins."""
     queued = pending.groupBy(*EVALUATION_KEY).agg(

@@ -10,17 +10,25 @@ from rateline.functions.text import trim_server, valid_name
 _PLAYER_FIELDS = ["name", "age", "is_pitcher", "is_catcher", "division_id"]
 
 
-def apply_player_updates(players: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_player_updates(
+    players: DataFrame, changes: DataFrame, order: str | None = None
+) -> DataFrame:
     """Replace the five fields of each changed player; NULL is a value here.
 
-    ``changes`` holds one row per id. Rows without an id or a name are refused,
-    and ids that do not exist change nothing.
+    Rows without an id or a name are refused, and ids that do not exist change
+    nothing. ``changes`` holds one row per id, or several with a column
+    ``order``, of which the last accepted one counts.
     """
     accepted = changes.filter((F.col("id") != 0) & valid_name(F.col("name"))).select(
         F.col("id").alias("_id"),
         trim_server(F.col("name")).alias("_name"),
         *[F.col(c).alias(f"_{c}") for c in _PLAYER_FIELDS[1:]],
+        *([F.col(order).alias("_order")] if order else []),
     )
+    if order:
+        fields = F.struct(*[f"_{c}" for c in _PLAYER_FIELDS])
+        last = accepted.groupBy("_id").agg(F.max_by(fields, "_order").alias("_last"))
+        accepted = last.select("_id", "_last.*")
     changed = F.col("_id").isNotNull()
     return players.join(accepted, F.col("id") == F.col("_id"), "left").select(
         "id",

@@ -113,6 +113,12 @@ def insert_if_absent(
     return append_ids(existing, fresh, order_by).select("id", "name")
 
 
+def create_named(existing: DataFrame, requested: DataFrame, order_by: list[str]) -> DataFrame:
+    """Create requests with a usable name as new rows; equal names are allowed."""
+    named = requested.withColumn("name", trim_server(F.col("name")))
+    return append_ids(existing, named.filter(valid_name(F.col("name"))), order_by)
+
+
 def append_ids(existing: DataFrame, new_rows: DataFrame, order_by: list[str]) -> DataFrame:
     """New rows with ids that go on after the highest one, in the given order."""
     highest = existing.agg(F.coalesce(F.max("id"), F.lit(0).cast("bigint"))).scalar()

@@ -293,6 +293,7 @@ _define(
         FROM submissions WHERE NOT ({_VALID})""",
 )
 _define("evaluations_latest", "evaluations", "SELECT * FROM evaluations")
+_define("evaluations_upsert", "evaluations", "SELECT * FROM evaluations")
 _define(
     "evaluations_latest_queued",
     "valid",
@@ -631,7 +632,7 @@ _define(
     "append_with_ids",
     "players",
     """SELECT (SELECT max(id) FROM players) + row_number() OVER (ORDER BY s_suppkey) AS id,
-              s_name AS name FROM supplier""",
+              s_name AS name FROM supplier WHERE s_suppkey % 9 <> 4""",
 )
 _define(
     "insert_if_absent",

@@ -19,6 +19,7 @@ from rateline.plans.parameters import (
     PLAYER_QUERY,
     SESSION,
     SKILL,
+    STORED_BEFORE,
 )
 from rateline.sources.json_records import as_json, coerce_submissions, read_submission_json
 from rateline.sources.roster_text import number_lines, parse_roster, read_roster_lines
@@ -83,6 +84,14 @@ def evaluations_latest(t: StarTables) -> DataFrame:
     return _evaluations(t)
 
 
+@query
+def evaluations_upsert(t: StarTables) -> DataFrame:
+    """Late arrivals merged into what was stored before them."""
+    early = F.col("arrival_seq") < STORED_BEFORE
+    stored = latest.latest_evaluations(t.submissions().filter(early))
+    return latest.upsert_evaluations(stored, t.submissions().filter(~early))
+
+
 @query
 def evaluations_latest_queued(t: StarTables) -> DataFrame:
     """Last queued wins: queue time and, for equal times, score, in one bigint."""
@@ -419,8 +428,13 @@ def field_snapshot(t: StarTables) -> DataFrame:
 
 @query
 def append_with_ids(t: StarTables) -> DataFrame:
-    new = t.raw("supplier").select(F.col("s_name").alias("name"), "s_suppkey")
-    return roster.append_ids(t.players(), new, ["s_suppkey"]).select("id", "name")
+    new = t.raw("supplier").select(
+        F.when(F.col("s_suppkey") % 9 == 4, " 0 ")
+        .otherwise(F.concat(F.lit("\t"), "s_name", F.lit(" ")))
+        .alias("name"),
+        "s_suppkey",
+    )
+    return roster.create_named(t.players(), new, ["s_suppkey"]).select("id", "name")
 
 
 @query

@@ -43,11 +43,17 @@ def drop_submissions(submissions: DataFrame, folder: str, files: int) -> None:
 
 
 def submission_stream(
-    spark: SparkSession, folder: str, files_per_trigger: int | None = None
+    spark: SparkSession,
+    folder: str,
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: str | None = None,
 ) -> DataFrame:
+    """New files of a folder; a batch may be limited by files or by size, not both."""
     reader = spark.readStream.schema(SUBMISSIONS).options(**JSON_TIMES)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if bytes_per_trigger is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
     return reader.json(folder)
 
 
@@ -132,10 +138,14 @@ def _change(spark: SparkSession, changes: str, latest: DataFrame, batch_id: int)
     if batch_id == 0:
         known = spark.createDataFrame([], _CHANGES)
     else:
-        # Never more numbers than there are buckets.
+        # Only folders of touched buckets are read (never more numbers than there
+        # are buckets), and only keys of this batch go on to the shuffle.
         touched = [r[0] for r in latest.select("session_bucket").distinct().collect()]
-        known = spark.read.schema(_CHANGES).parquet(changes).filter(
-            (F.col("batch_id") < batch_id) & F.col("session_bucket").isin(touched)
+        known = (
+            spark.read.schema(_CHANGES)
+            .parquet(changes)
+            .filter((F.col("batch_id") < batch_id) & F.col("session_bucket").isin(touched))
+            .join(latest.select(*EVALUATION_KEY), EVALUATION_KEY, "left_semi")
         )
     before = known.groupBy(*EVALUATION_KEY).agg(
         F.max_by("score", "arrival_seq").alias("old_score"),

@@ -191,6 +191,24 @@ def test_updates_can_set_null(spark):
     assert rows(got, "id", "name", "age", "division_id") == [(1, "c", None, None), (2, "b", 9, 1)]
 
 
+def test_last_of_several_updates_counts(spark):
+    table = players(spark, [(1, "a", 1)])
+    changes = spark.createDataFrame(
+        [(1, "b", 1, False, False, 1, 1), (1, "c", 2, False, False, None, 2), (1, "0", 3, False, False, 3, 3)],
+        "id long, name string, age long, is_pitcher boolean, is_catcher boolean, division_id long, seq long",
+    )
+    got = maintenance.apply_player_updates(table, changes, order="seq")
+    assert rows(got, "id", "name", "age", "division_id") == [(1, "c", 2, None)]
+
+
+def test_create_named(spark):
+    existing = spark.createDataFrame([(3, "A")], "id long, name string")
+    asked = spark.createDataFrame([(1, " A "), (2, ""), (3, "0"), (4, "B")], "seq long, name string")
+    assert rows(roster.create_named(existing, asked, ["seq"]), "id", "name") == [(4, "A"), (5, "B")]
+    empty = existing.limit(0)
+    assert rows(roster.create_named(empty, asked, ["seq"]), "id") == [(1,), (2,)]
+
+
 def test_deletes(spark):
     divisions = spark.createDataFrame([(1, "A"), (2, "B")], "id long, name string")
     asked = spark.createDataFrame([(1,), (2,), (3,)], "id long")
