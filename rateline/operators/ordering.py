@@ -1,216 +1,115 @@
 """Positions and neighbours in an order, without one task holding a whole group.
 
 A plain window puts a group into one task, and an unpartitioned one puts the
-whole table there. Here rows first get a *bucket* that grows with the order.
-Windows then run inside a bucket, and the small per-bucket table carries the
-counts and edge rows from one bucket to the next.
+whole table there. Here the rows are range-partitioned on the whole key, as a
+global sort does it, and written with their *bucket* (the range) and their
+*place* in it. However many rows share a group, they are spread over even
+ranges. A small table per bucket then carries counts or edge rows across.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-SAMPLE_PER_BUCKET = 32
-MAX_BUCKETS = 1024
-_HASH_RANGE = 1 << 40
+from rateline.sources.workspace import materialize
 
+# The row id holds the partition above this bit and the row number below it.
+_ROW_BITS = 33
 
-def split_points(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> list[Row]:
-    """At most ``buckets - 1`` keys that cut ``df`` into even ranges.
 
-    They come from a hash sample of about ``SAMPLE_PER_BUCKET`` keys a bucket,
-    the same on every run, however large the table is. They decide only which
-    task sorts a row, never the result. A table no larger than the sample
-    needs no cut.
-    """
-    if buckets is None:
-        shuffle_partitions = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        buckets = min(int(shuffle_partitions), MAX_BUCKETS)
-    size = buckets * SAMPLE_PER_BUCKET
-    rows = df.count()
-    if rows <= size or buckets < 2:
-        return []
-    hashed = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(_HASH_RANGE))
-    sample = (
-        df.select(*keys)
-        .filter(hashed < _HASH_RANGE * size // rows)
-        .limit(2 * size)
-        .orderBy(*keys)
-        .collect()
-    )
-    return sample[SAMPLE_PER_BUCKET::SAMPLE_PER_BUCKET]
-
-
-def with_range_bucket(
-    df: DataFrame, keys: Sequence[str], points: Sequence[Row], name: str
-) -> DataFrame:
-    """Add the number of split points at or below a row's key.
+def in_ranges(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Rows with their bucket and 0-based place in it, ``keys`` ascending.
 
-    The points travel as one sorted array. A fold over the powers of two is a
-    binary search in it: a step is kept while its point is not above the key.
+    ``keys`` must be unique. The sorted ranges are written out: what depended
+    on which task held a row is data from then on, and the same for every use.
     """
-    types = {f.name: f.dataType for f in df.select(*keys).schema.fields}
-    plain = T.StructType(
-        [T.StructField(k, T.StringType() if _is_text(types[k]) else types[k]) for k in keys]
+    if buckets is None:
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+    rows = materialize(ranges.withColumn("_row", F.monotonically_increasing_id()), "ranges")
+    return rows.select(
+        *df.columns,
+        F.shiftright("_row", _ROW_BITS).alias("_bucket"),
+        F.col("_row").bitwiseAND((1 << _ROW_BITS) - 1).alias("_place"),
     )
-    table = df.sparkSession.createDataFrame([tuple(p[k] for k in keys) for p in points], plain)
-    point = F.struct(*[F.col(k).cast(types[k]).alias(k) for k in keys])
-    sorted_points = table.agg(F.array_sort(F.collect_list(point)).alias("points")).scalar()
-
-    key, steps = F.struct(*keys), [1 << i for i in range(len(points).bit_length())][::-1]
-
-    def search(found: Column, step: Column) -> Column:
-        kept = F.get("_points", found + step - 1) <= key
-        return F.when(kept, found + step).otherwise(found)
-
-    bucket = F.aggregate(F.array(*[F.lit(i) for i in steps]), F.lit(0), search)
-    return df.withColumn("_points", sorted_points).withColumn(name, bucket).drop("_points")
-
-
-def _is_text(kind: T.DataType) -> bool:
-    return isinstance(kind, T.StringType)
 
 
-def with_position(
+def ordered_position(
     df: DataFrame,
-    order_by: Sequence[str | Column],
-    levels: Sequence[str],
+    order_by: Sequence[str],
     partition_by: Sequence[str] = (),
     position: str = "position",
     total: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position in ``order_by`` within ``partition_by``.
 
-    ``levels`` are ascending bucket columns, coarse to fine: a row in an
-    earlier bucket comes earlier in the order. Only a row's finest bucket is
-    sorted; the rows of a level are counted and summed up from the level below.
-    ``total`` names a column for the size of the group.
+    It is the place in the bucket, counted from where the group starts there,
+    plus a running sum over the group's row counts in earlier buckets. ``total``
+    names a column for the size of the group. ``partition_by`` columns must not
+    be NULL.
     """
-    groups, levels = list(partition_by), list(levels)
-    keys = groups + levels
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-
-    offsets, level_counts = None, counts
-    for depth in range(len(levels), 0, -1):
-        scope = groups + levels[: depth - 1]
-        window = Window.partitionBy(*scope).orderBy(levels[depth - 1])
-        before = F.sum("_rows").over(window.rowsBetween(Window.unboundedPreceding, -1))
-        level = level_counts.select(
-            *groups,
-            *levels[:depth],
-            F.coalesce(before, F.lit(0)).alias(f"_before_{depth}"),
-        )
-        offsets = level if offsets is None else offsets.join(level, groups + levels[:depth])
-        level_counts = level_counts.groupBy(*scope).agg(F.sum("_rows").alias("_rows"))
+    groups = list(partition_by)
+    keys = [*groups, "_bucket"]
+    rows = in_ranges(df, [*groups, *order_by], buckets)
+    group = Window.partitionBy(*groups)
+    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    added = [(before - F.col("_first") + 1).alias("_offset")]
     if total is not None:
-        totals = level_counts.withColumnRenamed("_rows", total)
-        offsets = offsets.join(totals, groups)
-    before_all = reduce(
-        lambda a, b: a + b, [F.col(f"_before_{d}") for d in range(1, len(levels) + 1)]
+        added.append(F.sum("_rows").over(group).alias(total))
+    counts = (
+        rows.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
+        .select(*keys, *added)
     )
-    offsets = offsets.select(
-        *keys, before_all.alias("_before"), *([total] if total is not None else [])
-    )
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
     return (
-        df.withColumn("_inside", inside)
-        .join(offsets, keys)
-        .withColumn(position, F.col("_before") + F.col("_inside"))
-        .drop("_before", "_inside")
+        rows.join(materialize(counts, "counts"), keys)
+        .withColumn(position, F.col("_offset") + F.col("_place"))
+        .select(*df.columns, position, *([total] if total is not None else []))
     )
 
 
-def with_neighbours(
+def ordered_neighbours(
     df: DataFrame,
     order_by: Sequence[str],
-    bucket: str,
     value: str,
     partition_by: Sequence[str] = (),
     previous: str | None = "previous",
     following: str | None = "following",
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Add the column ``value`` of the row before and after in the order."""
+    """Add the column ``value`` of the row before and after in the order.
+
+    Only the first and last row of a group in a bucket look outside it, in a
+    table of such edge rows.
+    """
     groups = list(partition_by)
-    keys = groups + [bucket]
-    order = F.struct(*order_by)
-    edges = df.groupBy(*keys).agg(
-        F.min_by(F.struct(value), order).alias("_first"),
-        F.max_by(F.struct(value), order).alias("_last"),
+    keys = [*groups, "_bucket"]
+    rows = in_ranges(df, [*groups, *order_by], buckets)
+    held = F.struct(value)
+    across = Window.partitionBy(*groups).orderBy("_bucket")
+    edges = (
+        rows.groupBy(*keys)
+        .agg(F.min_by(held, "_place").alias("_first"), F.max_by(held, "_place").alias("_last"))
+        .select(
+            *keys,
+            F.lag("_last").over(across).alias("_before"),
+            F.lead("_first").over(across).alias("_after"),
+        )
     )
-    across = Window.partitionBy(*groups).orderBy(bucket)
-    edges = edges.select(
-        *keys,
-        F.lag("_last").over(across).alias("_outer_previous"),
-        F.lead("_first").over(across).alias("_outer_following"),
+    inside = Window.partitionBy(*keys).orderBy("_place")
+    joined = (
+        rows.withColumn("_lag", F.lag(held).over(inside))
+        .withColumn("_lead", F.lead(held).over(inside))
+        .join(materialize(edges, "edges"), keys)
     )
-    inside = Window.partitionBy(*keys).orderBy(*order_by)
     added = []
-    for name, step, outer in (
-        (previous, F.lag, "_outer_previous"),
-        (following, F.lead, "_outer_following"),
-    ):
-        if name is not None:
-            inner = step(F.struct(value)).over(inside)
-            added.append((name, f"_inner_{name}", inner, outer))
-    for _, inner_name, inner, _ in added:
-        df = df.withColumn(inner_name, inner)
-    joined = df.join(edges, keys)
-    for name, inner_name, _, outer in added:
-        joined = joined.withColumn(name, F.coalesce(inner_name, outer)[value])
-    return joined.drop(
-        "_outer_previous", "_outer_following", *[inner_name for _, inner_name, _, _ in added]
-    )
-
-
-def ordered_position(
-    df: DataFrame,
-    order_by: Sequence[str],
-    partition_by: Sequence[str] = (),
-    position: str = "position",
-    total: str | None = None,
-    buckets: int | None = None,
-) -> DataFrame:
-    """Position by any sortable keys, cut into even ranges of a key sample.
-
-    ``partition_by`` columns must not be NULL, and ``order_by`` must be unique
-    within a group.
-    """
-    keys = [*partition_by, *order_by]
-    points = split_points(df, keys, buckets)
-    if not points:
-        group = Window.partitionBy(*partition_by)
-        df = df.withColumn(position, F.row_number().over(group.orderBy(*order_by)).cast("bigint"))
-        return df if total is None else df.withColumn(total, F.count(F.lit(1)).over(group))
-    bucketed = with_range_bucket(df, keys, points, "_bucket")
-    return with_position(
-        bucketed, order_by, ["_bucket"], partition_by, position, total
-    ).drop("_bucket")
-
-
-def ordered_neighbours(
-    df: DataFrame,
-    order_by: Sequence[str],
-    value: str,
-    partition_by: Sequence[str] = (),
-    previous: str | None = "previous",
-    following: str | None = "following",
-    buckets: int | None = None,
-) -> DataFrame:
-    keys = [*partition_by, *order_by]
-    points = split_points(df, keys, buckets)
-    if not points:
-        window = Window.partitionBy(*partition_by).orderBy(*order_by)
-        if previous is not None:
-            df = df.withColumn(previous, F.lag(value).over(window))
-        if following is not None:
-            df = df.withColumn(following, F.lead(value).over(window))
-        return df
-    bucketed = with_range_bucket(df, keys, points, "_bucket")
-    return with_neighbours(
-        bucketed, order_by, "_bucket", value, partition_by, previous, following
-    ).drop("_bucket")
+    if previous is not None:
+        added.append(F.coalesce("_lag", "_before")[value].alias(previous))
+    if following is not None:
+        added.append(F.coalesce("_lead", "_after")[value].alias(following))
+    return joined.select(*df.columns, *added)

@@ -22,14 +22,7 @@ from rateline.functions.scoring import (
     skill_name,
     subtitle,
 )
-from rateline.operators.ordering import with_position
-from rateline.sources.workspace import materialize
-
-# Player ids this close together share the last level of a rank (see below).
-ID_BLOCK = 1 << 16
-
-# Fewer players than this are sorted by one task per hundredth of a point.
-FINE_RANK_FROM = 1_000_000
+from rateline.operators.ordering import ordered_position
 
 
 def skill_averages(evaluations: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -156,29 +149,19 @@ def results_wide(result_rows: DataFrame) -> DataFrame:
 
 
 def leaderboard(
-    players_overall: DataFrame, by_division: bool = False, fine_from: int = FINE_RANK_FROM
+    players_overall: DataFrame, by_division: bool = False, buckets: int | None = None
 ) -> DataFrame:
     """Position by overall, ties by player id, over everyone or per division.
 
-    The order is cut into hundredths of a point. From ``fine_from`` players on
-    it is cut further into exact scores and blocks of player ids. Each level is
-    bounded by the score scale or by the id range, so no task sorts a large
-    share of the players, however many of them tie.
-
-    Ranking reads its input more than once, so the one row per player is
-    written down first: the scores behind it are then aggregated only once.
+    The order is cut into even ranges of (overall, player id), so no task sorts
+    a large share of the players, however many of them tie or share a division.
     """
-    rows = materialize(players_overall)
-    levels = {"_hundredth": -F.floor(F.col("overall") * 100)}
-    if rows.count() >= fine_from:
-        levels["_exact"] = -F.col("overall")
-        levels["_block"] = F.floor(F.col("player_id") / ID_BLOCK)
-    ranked = with_position(
-        rows.select("*", *[level.alias(name) for name, level in levels.items()]),
-        order_by=[F.desc("overall"), "player_id"],
-        levels=list(levels),
-        partition_by=["division_id"] if by_division else [],
+    ranked = ordered_position(
+        players_overall.withColumn("_down", -F.col("overall")),
+        ["_down", "player_id"],
+        ["division_id"] if by_division else [],
         position="rank",
+        buckets=buckets,
     )
     return _decorated(ranked)
 

@@ -48,7 +48,7 @@ def _results(t: StarTables, **options) -> DataFrame:
 
 
 def _history(t: StarTables) -> DataFrame:
-    return sessions_ops.session_history(materialize(t.session_starts(), "starts"))
+    return sessions_ops.session_history(t.session_starts())
 
 
 def _sessions(t: StarTables) -> DataFrame:

@@ -4,12 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rateline.operators.ordering import (
-    ordered_neighbours,
-    ordered_position,
-    split_points,
-    with_position,
-)
+from rateline.operators.ordering import in_ranges, ordered_neighbours, ordered_position
 
 
 def hot_rows(spark, n=3000):
@@ -63,44 +58,32 @@ def test_neighbour_value_may_be_null(spark):
     assert same(got, want)
 
 
-def test_split_points_are_bounded_and_repeatable(spark):
-    rows = hot_rows(spark, 50_000)
-    points = split_points(rows, ["name", "id"], 16)
-    assert 8 <= len(points) <= 64
-    assert points == split_points(rows.repartition(13), ["name", "id"], 16)
-    assert split_points(rows.limit(100), ["id"], 16) == []
-
-
 def test_hot_group_is_cut(spark):
     """The group with a third of all rows is spread over many buckets."""
-    from rateline.operators.ordering import with_range_bucket
-
-    rows = hot_rows(spark, 30_000)
-    keys = ["g", "name", "id"]
-    points = split_points(rows, keys, 32)
-    sizes = with_range_bucket(rows, keys, points, "b").groupBy("g", "b").count()
+    rows = in_ranges(hot_rows(spark, 30_000), ["g", "name", "id"], 32)
+    sizes = rows.groupBy("g", "_bucket").count()
     assert sizes.agg(F.max("count")).first()[0] < 30_000 / 8
 
 
+def test_places_follow_the_order(spark):
+    rows = in_ranges(hot_rows(spark, 5000), ["name", "id"], 16)
+    got = [r.id for r in rows.orderBy("_bucket", "_place").collect()]
+    assert got == [r.id for r in hot_rows(spark, 5000).orderBy("name", "id").collect()]
+    assert rows.select("_bucket", "_place").distinct().count() == 5000
+
+
 def test_many_buckets(spark):
     rows = hot_rows(spark, 40_000)
-    got = ordered_position(rows, ["name", "id"], buckets=1024)
+    got = ordered_position(rows, ["name", "id"], buckets=500)
     window = Window.orderBy("name", "id")
     want = rows.withColumn("position", F.row_number().over(window).cast("long"))
     assert same(got, want)
 
 
-def test_levels_with_ties(spark):
-    rows = spark.range(5000).select(
-        "id", F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 7).alias("v")
-    )
-    got = with_position(
-        rows.withColumn("coarse", F.floor(F.col("v") / 2)).withColumn("block", F.floor(F.col("id") / 64)),
-        ["id"],
-        ["coarse", "v", "block"],
-    ).select("id", "v", "position")
-    window = Window.orderBy("v", "id")
-    assert same(got, rows.withColumn("position", F.row_number().over(window).cast("long")))
+def test_empty_table(spark):
+    rows = hot_rows(spark, 10).limit(0)
+    assert ordered_position(rows, ["id"], ["g"], total="n").count() == 0
+    assert ordered_neighbours(rows, ["id"], "name").count() == 0
 
 
 def test_names_order_ignores_case_and_accents(spark):

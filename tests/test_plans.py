@@ -32,16 +32,13 @@ def test_last_score_is_a_hash_aggregate(spark):
     assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
 
 
-def test_rank_has_one_small_single_partition(spark):
+def test_rank_sorts_ranges_and_no_whole_table(spark):
     t = StarTables(spark, FOLDER)
     overall = results.player_overall(_results(t))
-    for fine_from in (0, 10**9):
-        text = plan(results.leaderboard(overall, fine_from=fine_from))
-        initial = text.split("== Initial Plan ==")[-1]
-        singles = [m.start() for m in re.finditer("Exchange SinglePartition", initial)]
-        assert len(singles) == 1
-        assert "_rows" in initial[singles[0] :].splitlines()[1]
-    assert "SinglePartition" not in plan(results.leaderboard(overall, by_division=True))
+    for by_division in (False, True):
+        text = plan(results.leaderboard(overall, by_division))
+        assert "SinglePartition" not in text
+        assert "Window" not in text
 
 
 def test_top_k_is_not_a_full_sort(spark):
