@@ -23,12 +23,14 @@ _ROW_BITS = 33
 def in_ranges(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Rows with their bucket and 0-based place in it, ``keys`` ascending.
 
-    ``keys`` must be unique. The sorted ranges are written out: what depended
-    on which task held a row is data from then on, and the same for every use.
+    ``keys`` must be unique. Without ``buckets`` there are as many ranges as
+    shuffle partitions, of which adaptive execution joins small neighbours.
+
+    The sorted ranges are written out: what depended on which task held a row
+    is data from then on, and the same for every use.
     """
-    if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys)
+    number = [] if buckets is None else [buckets]
+    ranges = df.repartitionByRange(*number, *keys).sortWithinPartitions(*keys)
     rows = materialize(ranges.withColumn("_row", F.monotonically_increasing_id()), "ranges")
     return rows.select(
         *df.columns,
