@@ -21,6 +21,7 @@ from rateline.plans.parameters import (
     SKILL,
     STORED_BEFORE,
 )
+from rateline.schemas import EVALUATION_KEY
 from rateline.sources.json_records import as_json, coerce_submissions, read_submission_json
 from rateline.sources.roster_text import number_lines, parse_roster, read_roster_lines
 from rateline.sources.snapshot import field_snapshot as take_snapshot
@@ -132,17 +133,13 @@ def my_skill_scores(t: StarTables) -> DataFrame:
 @query
 def my_score_lookup(t: StarTables) -> DataFrame:
     """For every submitted key, valid or not: is there a score, and which."""
-    keys = t.submissions().select(*results_key()).distinct()
-    stored = _evaluations(t).select(*results_key(), "score")
-    return keys.join(stored, results_key(), "left").select(
-        *results_key(), F.col("score").isNotNull().alias("scored"), "score"
+    keys = t.submissions().select(*EVALUATION_KEY).distinct()
+    stored = _evaluations(t).select(*EVALUATION_KEY, "score")
+    return keys.join(stored, EVALUATION_KEY, "left").select(
+        *EVALUATION_KEY, F.col("score").isNotNull().alias("scored"), "score"
     )
 
 
-def results_key() -> list[str]:
-    return ["session_id", "player_id", "coach_id", "skill_index"]
-
-
 @query
 def skill_labels(t: StarTables) -> DataFrame:
     name = skill_name(F.col("skill_index"))
@@ -467,9 +464,8 @@ def delete_divisions(t: StarTables) -> DataFrame:
     left, released = maintenance.delete_divisions(
         divisions, players, _scored_sessions(t), divisions
     )
-    return left.select(F.lit("division").alias("kind"), "id", F.col("id").alias("division_id")).unionByName(
-        released.select(F.lit("player").alias("kind"), "id", "division_id")
-    )
+    kept = left.select(F.lit("division").alias("kind"), "id", F.col("id").alias("division_id"))
+    return kept.unionByName(released.select(F.lit("player").alias("kind"), "id", "division_id"))
 
 
 @query
