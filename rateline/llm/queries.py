@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateline.llm import packing, quality_rules, topk, toxicity, urls
+from rateline.llm import langid, licenses, mixing, packing, pii, quality_rules, topk, toxicity, urls
 from rateline.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,48 @@ def op10_url_filter(spark, folder):
     return urls.filter_urls(pages, listed, URL_RULES).select(
         "page_id", "host", "path", "rule", "verdict", "listed"
     )
+
+
+@query
+def op1_pii(spark, folder):
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("bigint")
+    return pii.spans(table(spark, folder, "documents")).select(
+        "doc_id",
+        *[count(i).alias(f"n_{name}") for i, name in enumerate(pii.KINDS[: pii.BASE])],
+        F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.written(F.concat("base", "terms")).alias("spans"),
+        F.size("terms").cast("bigint").alias("n_terms"),
+    )
+
+
+@query
+def op7_license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op8_language_id(spark, folder):
+    return langid.identify(table(spark, folder, "pages"), table(spark, folder, "documents"))
+
+
+DOMAINS = ("prose", "rough", "toxic")
+TARGETS = {"prose": 0.95, "rough": 0.045, "toxic": 0.005}
+
+
+def labelled_domains(labels: DataFrame) -> DataFrame:
+    """Toxic rows are toxic whatever their quality; the others are prose or rough."""
+    domain = (
+        F.when(F.col("toxic") == 1, F.lit("toxic"))
+        .when(F.col("quality") == 1, F.lit("prose"))
+        .when(F.col("quality") == 0, F.lit("rough"))
+    )
+    return labels.select("doc_id", domain.alias("domain"))
+
+
+@query
+def op9_mixing(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = mixing.train(docs, labelled_domains(table(spark, folder, "labels")), DOMAINS)
+    mixed = mixing.mix(docs, model, TARGETS)
+    names = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    return mixed.select("doc_id", "n_rows", "tokens", *names, "rate", "copies")
