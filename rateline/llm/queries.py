@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateline.llm import langid, licenses, mixing, packing, pii, quality_rules, topk, toxicity, urls
+from rateline.llm import jaccard, langid, licenses, mixing, packing, pii, quality_rules, topk, toxicity, urls
 from rateline.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ def op9_mixing(spark, folder):
     mixed = mixing.mix(docs, model, TARGETS)
     names = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return mixed.select("doc_id", "n_rows", "tokens", *names, "rate", "copies")
+
+
+@query
+def op6_ngram_jaccard(spark, folder):
+    return jaccard.near_duplicates(table(spark, folder, "documents"))
