@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +16,14 @@ from pyspark.sql import types as T
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder: on a
-    cluster a machine-local path would be lost with its executor.
+    Only a session in one process may go without that setting, as in tests, and gets a
+    temporary folder: elsewhere a machine-local path would be lost with its machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="rateline-")
     if not spark.sparkContext.getCheckpointDir():
@@ -28,17 +31,46 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/rateline/{name}-{uuid.uuid4().hex}"
+#: Folders made inside each open scope, the innermost last.
+_scopes: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the step folders made inside when the block ends.
+
+    Write or collect what is wanted before that: a table read from a step
+    cannot be read afterwards.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A folder of its own; with ``keep`` it is left to the scope around the innermost one."""
+    folder = f"{shared_folder(spark)}/rateline/{name}-{uuid.uuid4().hex}"
+    around = _scopes[:-1] if keep else _scopes
+    if around:
+        around[-1].append(folder)
+    return folder
+
+
+def materialize(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
     """Compute once into a table in the shared folder, and go on from there.
 
     The table cuts the lineage, outlives lost executors, and has a known size,
     so that the planner can tell whether a join may broadcast it.
     """
-    folder = new_folder(df.sparkSession, name)
+    folder = new_folder(df.sparkSession, name, keep)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
