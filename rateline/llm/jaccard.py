@@ -145,6 +145,7 @@ def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "doc_id": batch["doc_id"].astype("Int64"),
+                "text_key": batch["text_key"],
                 "n_shingles": [len(s) for s in sets],
                 "cls": pd.array([class_of(s) if len(s) else None for s in sets], "Int64"),
             }
@@ -372,6 +373,24 @@ def link_classes(docs: DataFrame, marks: DataFrame) -> DataFrame:
     return components(links.union(more))
 
 
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles and comp, the component as a class, a row per row.
+
+    comp is null for texts without words; text_key is xxhash64 of the text.
+    """
+    docs = docs.select("doc_id", "text")
+    marks = materialize(
+        docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(
+            _mark, "doc_id long, text_key long, n_shingles long, cls long"
+        ),
+        "marks",
+    )
+    labels = link_classes(docs, marks.filter("cls is not null"))
+    return marks.join(labels, "cls", "left").select(
+        "doc_id", "text_key", "n_shingles", F.coalesce("comp", "cls").alias("comp")
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs(doc_id, text)``.
 
@@ -382,17 +401,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whatever their doc_id; other columns are left out. Classes are told apart by
     64-bit fingerprints.
     """
-    docs = docs.select("doc_id", "text")
-    marks = materialize(
-        docs.mapInPandas(_mark, "doc_id long, n_shingles long, cls long"), "marks"
-    )
-    labels = link_classes(docs, marks.filter("cls is not null"))
-    named = marks.filter("cls is not null").join(labels, "cls", "left").withColumn(
-        "comp", F.coalesce("comp", "cls")
-    )
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(least, "comp").select("doc_id", "n_shingles", "component_id")
-    alone = marks.filter("cls is null").select(
+    named = materialize(classes(docs), "classes")
+    found = named.filter("comp is not null")
+    least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    linked = found.join(least, "comp").select("doc_id", "n_shingles", "component_id")
+    alone = named.filter("comp is null").select(
         "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
     )
     return linked.unionByName(alone)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, and of each component the row with the smallest doc_id.
+
+    A null id comes after all others, and of rows with one id the smaller
+    text_key is kept; rows equal in doc_id and text stay once. Texts without
+    words stay.
+    """
+    named = materialize(classes(docs), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("f")
+    kept = (
+        named.filter("comp is not null").groupBy("comp").agg(first).select("f.doc_id", "f.text_key")
+        .unionByName(named.filter("comp is null").select("doc_id", "text_key"))
+    )
+    # Plain columns as keys: the join and the removal of equal rows share one shuffle.
+    keys = {
+        "_id": F.coalesce("doc_id", F.lit(0)),
+        "_none": F.col("doc_id").isNull(),
+        "_key": F.col("text_key"),
+    }
+    wanted = kept.select(*[c.alias(k) for k, c in keys.items()])
+    keyed = docs.select(
+        "*", *[(F.xxhash64("text") if k == "_key" else c).alias(k) for k, c in keys.items()]
+    )
+    return (
+        keyed.join(wanted, list(keys), "left_semi")
+        .dropDuplicates(list(keys))
+        .select(*[f"`{c}`" for c in docs.columns])
+    )

@@ -169,14 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> F
     return fit(rows, sample["toxic"].to_numpy())
 
 
-def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
-    """The columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on).
-
-    Null and empty texts get the bias alone. Columns of ``docs`` named score or
-    predicted are replaced; rows are scored each, whatever their doc_id.
+def score(
+    docs: DataFrame,
+    model: FactorizationMachine,
+    threshold: float = 0.5,
+    names: tuple[str, str] = ("score", "predicted"),
+) -> DataFrame:
+    """The columns of ``docs`` with a score (0 to 1) and a verdict (1 from ``threshold`` on).
+
+    ``names`` are the two new columns; columns of ``docs`` so named are replaced.
+    Null and empty texts get the bias alone; rows are scored each, whatever
+    their doc_id.
     """
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots: dict[str, int] = {}
@@ -195,7 +200,8 @@ def score(docs: DataFrame, model: FactorizationMachine, threshold: float = 0.5)
                 rows.append(np.unique(np.array(own, np.int64)))
             if rows:
                 chances = sigmoid(model.margin(*_layout(rows)))
-                yield batch.assign(score=chances, predicted=(chances >= threshold).astype("int32"))
+                verdicts = (chances >= threshold).astype("int32")
+                yield batch.assign(**dict(zip(names, (chances, verdicts))))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInPandas(scored, f"{fields}, score double, predicted int")
+    return kept.mapInPandas(scored, f"{fields}, {names[0]} double, {names[1]} int")
