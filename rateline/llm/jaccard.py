@@ -16,8 +16,9 @@ size of the symmetric difference, and what is left by the sets themselves.
 
 A part shared by many classes is first resolved as a star around its best
 connected member. Only classes that are still in different components meet in
-pairs, in blocks of bounded size, and by their sketches. So large groups of copies
-cost their size, and no link between components is lost.
+pairs, in blocks of bounded size, and by their sketches: first each with its nearest
+in another component, then all that are left. So large groups of copies cost
+their size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def signatures(tokens: np.ndarray) -> np.ndarray:
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """Parities of the shingles by their low bits, in 64-bit words; twice the bits a level."""
-    bits = max(64, SMALL << level_of(len(tokens)))
+    bits = 4 * SMALL << level_of(len(tokens))
     odd = np.bincount((tokens % _LONG(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -271,7 +272,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _pairs_in_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _nearest_in_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of ``_pairs_in_block``, for each class its nearest one in each other component."""
+    return _pairs_in_block(batches, nearest=True)
+
+
+def _pairs_in_block(
+    batches: Iterator[pd.DataFrame], nearest: bool = False
+) -> Iterator[pd.DataFrame]:
     """Pairs of different components that the sketches allow; a row is a block."""
     for batch in batches:
         found_a, found_b = [], []
@@ -282,15 +290,21 @@ def _pairs_in_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bits = np.stack(
                 [np.bitwise_xor.reduce(np.asarray(s).reshape(-1, width), axis=0) for s in row.sketch]
             ).view(_LONG)
-            one = row.i == row.j
-            for k in np.flatnonzero(side == row.i):
-                other = (cls > cls[k]) if one else (side == row.j)
-                near = other & (comp != comp[k])
+            names, sizes = np.unique(comp, return_counts=True)
+            # Two classes of the largest component are no pair, so all others have their turn.
+            for k in np.flatnonzero(comp != names[sizes.argmax()]):
+                near = comp != comp[k]
+                if row.i != row.j:
+                    near &= side != side[k]
                 near &= np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * PERCENT
                 at = np.flatnonzero(near)
                 if len(at):
                     apart = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
-                    at = at[apart * 9 <= n[at] + n[k]]
+                    allowed = apart * 9 <= n[at] + n[k]
+                    at = at[allowed]
+                    if nearest and len(at):
+                        at = at[np.lexsort((apart[allowed], comp[at]))]
+                        at = at[np.concatenate([[True], comp[at][1:] != comp[at][:-1]])]
                     found_a.append(np.minimum(cls[at], cls[k]))
                     found_b.append(np.maximum(cls[at], cls[k]))
         none = [np.zeros(0, np.int64)]
@@ -300,8 +314,8 @@ def _pairs_in_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, features: DataFrame) -> DataFrame:
-    """Candidates between components that share a part: a, b."""
+def _open_pairs(members: DataFrame, labels: DataFrame, features: DataFrame, read) -> DataFrame:
+    """Candidates between components that share a part: a, b, as ``read`` finds them."""
     named = members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     split = (
         named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"))
@@ -318,7 +332,7 @@ def _open_pairs(members: DataFrame, labels: DataFrame, features: DataFrame) -> D
     lists = [F.collect_list(c).alias(c) for c in ("cls", "comp", "n", "side", "sketch")]
     # A block holds about twice BLOCK classes, whatever the part's size.
     blocks = rows.groupBy("sig", "i", "j").agg(*lists).drop("sig")
-    return blocks.mapInPandas(_pairs_in_block, "a long, b long").distinct()
+    return blocks.mapInPandas(read, "a long, b long").distinct()
 
 
 def link_classes(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -369,8 +383,12 @@ def link_classes(docs: DataFrame, marks: DataFrame) -> DataFrame:
     )
     links = materialize(verify(star, features), "star-links")
     labels = components(links)
-    more = materialize(verify(_open_pairs(members, labels, features), features), "more-links")
-    return components(links.union(more))
+    # Nearest pairs first: they join most of what is linked, so that few pairs are left.
+    for read in (_nearest_in_block, _pairs_in_block):
+        more = verify(_open_pairs(members, labels, features, read), features)
+        links = links.union(materialize(more, "more-links"))
+        labels = components(links)
+    return labels
 
 
 def classes(docs: DataFrame) -> DataFrame:
