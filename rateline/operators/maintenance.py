@@ -16,19 +16,20 @@ def apply_player_updates(
     """Replace the five fields of each changed player; NULL is a value here.
 
     Rows without an id or a name are refused, and ids that do not exist change
-    nothing. ``changes`` holds one row per id, or several with a column
-    ``order``, of which the last accepted one counts.
+    nothing. Of several accepted changes of one id the last by column ``order`` counts; without
+    it, or among equals, the one that is greatest by its fields.
     """
     accepted = changes.filter((F.col("id") != 0) & valid_name(F.col("name"))).select(
         F.col("id").alias("_id"),
         trim_server(F.col("name")).alias("_name"),
         *[F.col(c).alias(f"_{c}") for c in _PLAYER_FIELDS[1:]],
-        *([F.col(order).alias("_order")] if order else []),
+        (F.col(order) if order else F.lit(0)).alias("_order"),
     )
-    if order:
-        fields = F.struct(*[f"_{c}" for c in _PLAYER_FIELDS])
-        last = accepted.groupBy("_id").agg(F.max_by(fields, "_order").alias("_last"))
-        accepted = last.select("_id", "_last.*")
+    fields = F.struct(*[f"_{c}" for c in _PLAYER_FIELDS])
+    last = accepted.groupBy("_id").agg(
+        F.max_by(fields, F.struct("_order", fields)).alias("_last")
+    )
+    accepted = last.select("_id", "_last.*")
     changed = F.col("_id").isNotNull()
     return players.join(accepted, F.col("id") == F.col("_id"), "left").select(
         "id",

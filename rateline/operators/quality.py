@@ -35,13 +35,8 @@ def submission_faults(columns: list[str]) -> Column:
 
 
 def valid_submissions(submissions: DataFrame) -> DataFrame:
-    """Rows that name a session and player, a skill index from 0 and a score 1-10."""
-    return submissions.filter(
-        (F.col("session_id") != 0)
-        & (F.col("player_id") != 0)
-        & F.col("skill_index").between(0, MAX_INT)
-        & F.col("score").between(MIN_SCORE, MAX_SCORE)
-    )
+    """Rows without a fault; ``rejected_submissions`` holds all others."""
+    return submissions.filter(F.size(submission_faults(submissions.columns)) == 0)
 
 
 def rejected_submissions(submissions: DataFrame) -> DataFrame:

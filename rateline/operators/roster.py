@@ -70,9 +70,9 @@ def coach_list(coaches: DataFrame) -> DataFrame:
 
 
 def coach_by_name(coaches: DataFrame, names: DataFrame) -> DataFrame:
-    """Coaches whose name matches one of ``names.name`` but for case."""
-    wanted = names.select(F.lower(trim_server(F.col("name"))).alias("_name")).distinct()
-    return coaches.join(wanted, F.lower(coaches.name) == F.col("_name")).drop("_name")
+    """Coaches whose name matches one of ``names.name`` but for case and accents."""
+    wanted = names.select(name_key(trim_server(F.col("name"))).alias("_name")).distinct()
+    return coaches.join(wanted, name_key(coaches.name) == F.col("_name")).drop("_name")
 
 
 def player_search(

@@ -12,7 +12,7 @@ from rateline.streaming.submissions import _start
 
 
 def drop_commands(commands: DataFrame, folder: str, files: int) -> None:
-    commands.repartitionByRange(files, "seq").write.mode("overwrite").options(**JSON_TIMES).json(folder)
+    commands.repartitionByRange(files, "seq").write.mode("append").options(**JSON_TIMES).json(folder)
 
 
 def command_stream(

@@ -16,8 +16,11 @@ from rateline.functions.scoring import average_e4, e4_to_double
 from rateline.operators.latest import latest_evaluations
 from rateline.operators.quality import submission_faults
 from rateline.schemas import EVALUATION_KEY, JSON_TIMES, SUBMISSIONS
+from rateline.sources.workspace import exists
 
 SESSION_BUCKETS = 64
+#: The id of folded history; no stream gives it to a batch.
+FOLDED = -1
 
 _ACCEPTED = T.StructType(
     [
@@ -38,8 +41,8 @@ _CHANGES = T.StructType(
 
 
 def drop_submissions(submissions: DataFrame, folder: str, files: int) -> None:
-    """Write submissions as JSON files in arrival order, as a field queue would."""
-    submissions.repartitionByRange(files, "arrival_seq").write.mode("overwrite").options(**JSON_TIMES).json(folder)
+    """Add submissions to a folder of JSON files in arrival order, as a field queue would."""
+    submissions.repartitionByRange(files, "arrival_seq").write.mode("append").options(**JSON_TIMES).json(folder)
 
 
 def submission_stream(
@@ -135,7 +138,7 @@ def start_progress(
 
 
 def _change(spark: SparkSession, changes: str, latest: DataFrame, batch_id: int) -> DataFrame:
-    if batch_id == 0:
+    if not exists(spark, changes):
         known = spark.createDataFrame([], _CHANGES)
     else:
         # Only folders of touched buckets are read (never more numbers than there
@@ -187,8 +190,8 @@ def progress_so_far(spark: SparkSession, changes: str) -> DataFrame:
 def compact_changes(spark: SparkSession, changes: str, target: str) -> None:
     """Fold a log of changes to one row per key in a new folder.
 
-    The folded batch keeps number 0, so a stream that goes on writing later
-    batch ids to ``target`` finds every earlier key in it.
+    The folded rows stand below every batch id, so a stream that writes to
+    ``target`` from batch 0 on finds every earlier key and overwrites none.
     """
     folded = (
         spark.read.schema(_CHANGES)
@@ -205,7 +208,7 @@ def compact_changes(spark: SparkSession, changes: str, target: str) -> None:
         folded.hint("rebalance", "session_bucket")
         .write.mode("overwrite")
         .partitionBy("session_bucket")
-        .parquet(f"{target}/batch_id=0")
+        .parquet(f"{target}/batch_id={FOLDED}")
     )
 
 

@@ -126,3 +126,29 @@ def test_periodic_trigger(spark, queue):
     running.processAllAvailable()
     running.stop()
     assert stream_ops.progress_so_far(spark, f"{root}/ch").count() > 0
+
+
+def test_folded_history_is_kept_by_a_new_stream(spark, tmp_path):
+    """Fold a log, stream on into it from batch 0: earlier players stay, corrections replace."""
+    from rateline.schemas import SUBMISSIONS
+    from rateline.streaming import submissions as live
+
+    def rows(*scores):
+        values = [
+            {"session_id": 1, "player_id": p, "coach_id": 1, "skill_index": 0, "score": s, "arrival_seq": q}
+            for p, s, q in scores
+        ]
+        return spark.createDataFrame([tuple(v.get(n) for n in SUBMISSIONS.names) for v in values], SUBMISSIONS)
+
+    queue, log, folded = (str(tmp_path / n) for n in ("queue", "log", "folded"))
+    live.drop_submissions(rows((1, 5, 1), (2, 4, 2)), queue, 1)
+    stream = live.submission_stream(spark, queue)
+    live.start_progress(stream, log, str(tmp_path / "c1"), None).awaitTermination()
+    live.compact_changes(spark, log, folded)
+    later = str(tmp_path / "later")
+    live.drop_submissions(rows((2, 8, 3)), later, 1)
+    live.drop_submissions(rows((3, 7, 4)), later, 1)  # adds to the queue
+    stream = live.submission_stream(spark, later, files_per_trigger=1)
+    live.start_progress(stream, folded, str(tmp_path / "c2"), None).awaitTermination()
+    got = {r.player_id: r.avg_score for r in live.progress_so_far(spark, folded).collect()}
+    assert got == {1: 5.0, 2: 8.0, 3: 7.0}
