@@ -35,13 +35,14 @@ _SHAPES = "#*$%&|<>!"
 
 def _words() -> Column:
     """Lower-cased letter runs and two words for the share of symbols and of capitals."""
-    share = lambda kept: F.floor((F.length("text") - F.length(kept)) * 20 / F.length("text"))
+    size, none = F.length("text"), F.array().cast("array<string>")
+    share = lambda kept: F.floor((size - F.length(kept)) * 20 / F.greatest(size, F.lit(1)))
     capitals = F.regexp_replace("text", "[A-Z]", "")
     shapes = F.array(
         F.concat(F.lit("#symbols"), share(F.translate("text", _SHAPES, ""))),
         F.concat(F.lit("#capitals"), share(capitals)),
     )
-    return F.concat(F.split(F.lower("text"), _NO_WORDS), F.coalesce(shapes, F.array().cast("array<string>")))
+    return F.concat(F.split(F.lower("text"), _NO_WORDS), F.when(size > 0, shapes).otherwise(none))
 
 
 def _bucket(word: str) -> Column:
