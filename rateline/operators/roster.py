@@ -90,11 +90,15 @@ def player_search(
 
 
 def division_counts(divisions: DataFrame, players: DataFrame) -> DataFrame:
-    """Players per division, 0 for an empty one; folded before the join."""
+    """Players per division, 0 for an empty one, placed by name; folded before the join."""
     counts = players.groupBy("division_id").agg(F.count("id").alias("player_count"))
-    return divisions.join(counts, divisions.id == counts.division_id, "left").select(
-        "id", "name", F.coalesce("player_count", F.lit(0)).alias("player_count")
+    listed = divisions.join(counts, divisions.id == counts.division_id, "left").select(
+        "id",
+        "name",
+        F.coalesce("player_count", F.lit(0)).alias("player_count"),
+        name_key(F.col("name")).alias("_key"),
     )
+    return ordered_position(listed, ["_key", "id"], position="place").drop("_key")
 
 
 def insert_if_absent(

@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from rateline.operators.ordering import ordered_neighbours
 
 
+def lifecycle(commands: DataFrame) -> DataFrame:
+    """Starts and ends; a start without a division is refused and closes nothing."""
+    placed = F.coalesce(F.col("division_id"), F.lit(0)) != 0
+    command = F.col("command")
+    return commands.filter((command == "end") | ((command == "start") & placed))
+
+
 def session_history(commands: DataFrame, buckets: int | None = None) -> DataFrame:
     """One row per start; the next start or end in its lane closes it.
 
     Deriving intervals from the log makes "close the open one, open the next"
     one step, which two statements without a transaction are not.
     """
-    lifecycle = commands.filter(F.col("command").isin("start", "end")).withColumn(
-        "at", F.struct("ts", "seq")
-    )
+    steps = lifecycle(commands).withColumn("at", F.struct("ts", "seq"))
     ordered = ordered_neighbours(
-        lifecycle, ["ts", "seq"], "at", ["lane"], previous=None, following="closed_at",
+        steps, ["ts", "seq"], "at", ["lane"], previous=None, following="closed_at",
         buckets=buckets,
     )
     return ordered.filter(F.col("command") == "start").select(

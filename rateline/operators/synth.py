@@ -17,13 +17,16 @@ MIN_AGE, MAX_AGE = 8, 14
 PITCHER_SHARE, CATCHER_SHARE = 20, 10
 DEMO_COACHES = 10
 
-GIVEN_NAMES = (
-    "Ada", "Bela", "Cyrus", "Dara", "Edda", "Faris", "Goran", "Hana",
-    "Imre", "Jonah", "Kaya", "Lars", "Mira", "Nico", "Olga", "Pablo",
+# A hundred names each, so that a roster seldom draws a pair twice.
+GIVEN_NAMES = tuple(
+    start + end
+    for start in ("Ad", "Bel", "Cor", "Dar", "Ed", "Fal", "Gor", "Han", "Il", "Jon")
+    for end in ("a", "an", "en", "ia", "in", "is", "o", "on", "us", "ya")
 )
-FAMILY_NAMES = (
-    "Abbott", "Berg", "Costa", "Dahl", "Ekman", "Farrow", "Grieg", "Holm",
-    "Ito", "Jarvis", "Kerr", "Lund", "Moss", "Novak", "Oakley", "Petrov",
+FAMILY_NAMES = tuple(
+    start + end
+    for start in ("Ash", "Berg", "Cott", "Dahl", "Elm", "Farr", "Gold", "Holm", "Ing", "Kerr")
+    for end in ("by", "er", "field", "ford", "ley", "man", "sen", "ton", "well", "wick")
 )
 
 
@@ -88,17 +91,18 @@ def synth_coaches(
     given: Sequence[str] = GIVEN_NAMES,
     family: Sequence[str] = FAMILY_NAMES,
 ) -> DataFrame:
-    """Coaches with unique names per group.
+    """Coaches with names unique over all groups; ``groups.id`` must be unique.
 
     From a drawn start, equal steps walk through all pairs of names without
-    meeting one twice, so no pool of used names is kept.
+    meeting one twice, so no pool of used names is kept. Each further round
+    through the pairs adds its number to the names.
     """
     pairs = len(given) * len(family)
-    if per_group > pairs:
-        raise ValueError(f"only {pairs} different names")
-    pair = (draw(pairs, seed, "coach", "id") + F.col("n") * _stride(pairs)) % pairs
+    pair = (draw(pairs, seed, "coach") + F.col("place") % pairs * _stride(pairs)) % pairs
+    lap = F.floor(F.col("place") / pairs)
     return (
         groups.select("id", F.explode(F.sequence(F.lit(1), F.lit(per_group))).alias("n"))
+        .withColumn("place", F.col("id") * per_group + F.col("n") - 1)
         .withColumn("pair", pair)
         .select(
             F.col("id").alias("group_id"),
@@ -107,6 +111,7 @@ def synth_coaches(
                 " ",
                 _pick(given, F.floor(F.col("pair") / len(family))),
                 _pick(family, F.col("pair") % len(family)),
+                F.when(lap > 0, (lap + 1).cast("string")),
             ).alias("name"),
             F.lit(False).alias("is_admin"),
         )

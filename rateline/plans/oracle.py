@@ -293,17 +293,23 @@ _define(
         FROM submissions WHERE NOT ({_VALID})""",
 )
 _define("evaluations_latest", "evaluations", "SELECT * FROM evaluations")
-_define("evaluations_upsert", "evaluations", "SELECT * FROM evaluations")
+_define(
+    "evaluations_upsert",
+    "evaluations valid",
+    f"""SELECT * FROM evaluations JOIN (
+            SELECT {KEY}, min(arrival_seq) AS first_seq, max(arrival_seq) AS arrival_seq
+            FROM valid GROUP BY {KEY}) USING ({KEY})""",
+)
 _define(
     "evaluations_latest_queued",
     "valid",
-    f"""SELECT {KEY}, {_skill()} AS skill_name,
-               arg_max(score, epoch_ms(queued_at) * 16 + score) AS score
-        FROM valid GROUP BY {KEY}""",
+    f"""SELECT {KEY}, {_skill()} AS skill_name, score
+        FROM (SELECT *, row_number() OVER (
+                  PARTITION BY {KEY} ORDER BY queued_at DESC, arrival_seq DESC) AS nth FROM valid)
+        WHERE nth = 1""",
 )
-_define(
-    "submissions_from_json",
-    "",
+CTES["json_rows"] = (
+    (),
     """
     WITH payload AS (
         SELECT event_id, event_id % 23 = 0 AS broken, strftime(ts, '%Y%m%d') AS session_text,
@@ -314,7 +320,7 @@ _define(
                     WHEN 2 THEN NULL WHEN 3 THEN '1e1' ELSE CAST(value AS VARCHAR) END AS score_text,
                ts FROM events),
     fields AS (
-        SELECT CASE WHEN broken THEN 0 ELSE event_id END AS arrival_seq,
+        SELECT event_id, CASE WHEN broken THEN 0 ELSE event_id END AS arrival_seq,
                CASE WHEN broken THEN 0 ELSE CAST(session_text AS BIGINT) END AS session_id,
                CASE WHEN broken THEN 0 ELSE CAST(player_text AS BIGINT) END AS player_id,
                CASE WHEN broken OR skill_text IS NULL THEN -1 ELSE CAST(skill_text AS BIGINT) END AS skill_index,
@@ -323,7 +329,7 @@ _define(
                CASE WHEN NOT broken THEN date_trunc('millisecond', ts) END AS queued_at, broken,
                NOT broken AND coalesce(score_text = '1e1', FALSE) AS scientific
         FROM payload)
-    SELECT CAST(CASE WHEN arrival_seq IS NULL THEN 0 ELSE arrival_seq END AS BIGINT) AS arrival_seq,
+    SELECT event_id, CAST(CASE WHEN arrival_seq IS NULL THEN 0 ELSE arrival_seq END AS BIGINT) AS arrival_seq,
            session_id, player_id, CAST(skill_index AS BIGINT) AS skill_index, score, queued_at,
            concat_ws(',', CASE WHEN session_id = 0 THEN 'missing_session' END,
                CASE WHEN player_id = 0 THEN 'missing_player' END,
@@ -333,7 +339,18 @@ _define(
                CASE WHEN scientific THEN 'scientific_notation' END) AS reasons
     FROM fields""",
 )
-_mine = f"session_id = {SESSION} AND coach_id = {COACH}"
+_define("submissions_from_json", "json_rows", "SELECT * EXCLUDE (event_id) FROM json_rows")
+for _name in ("evaluations_from_json", "stream_evaluations_from_json"):
+    _define(
+        _name,
+        "json_rows",
+        f"""SELECT session_id, player_id, CAST(0 AS BIGINT) AS coach_id, skill_index,
+                   {_skill()} AS skill_name, arg_max(score, arrival_seq) AS score,
+                   arg_min(queued_at, arrival_seq) AS created_at
+            FROM json_rows WHERE reasons = '' GROUP BY session_id, player_id, skill_index""",
+    )
+_define("stream_quarantine_from_json", "json_rows", "SELECT * FROM json_rows WHERE reasons <> ''")
+_mine =f"session_id = {SESSION} AND coach_id = {COACH}"
 _define(
     "my_all_scores", "evaluations",
     f"SELECT skill_index, player_id, score FROM evaluations WHERE {_mine}",
@@ -548,7 +565,8 @@ _define(
 _define(
     "division_counts",
     "divisions players",
-    """SELECT d.id, d.name, count(p.id) AS player_count
+    """SELECT d.id, d.name, count(p.id) AS player_count,
+              row_number() OVER (ORDER BY lower(d.name), d.id) AS place
        FROM divisions d LEFT JOIN players p ON p.division_id = d.id GROUP BY d.id, d.name""",
 )
 _define(
@@ -754,9 +772,12 @@ _define(
     f"""
     SELECT id AS group_id, n,
            {_names(GIVEN_NAMES)}[pair // {len(FAMILY_NAMES)} + 1] || ' ' ||
-           {_names(FAMILY_NAMES)}[pair % {len(FAMILY_NAMES)} + 1] AS name, FALSE AS is_admin
-    FROM (SELECT id, n, ({_draw(_PAIRS, "coach", "id")} + n * {_stride(_PAIRS)}) % {_PAIRS} AS pair
-          FROM (SELECT id, CAST(unnest(range(1, {DEMO_COACHES + 1})) AS INTEGER) AS n FROM divisions))""",
+           {_names(FAMILY_NAMES)}[pair % {len(FAMILY_NAMES)} + 1] ||
+           CASE WHEN place >= {_PAIRS} THEN ' ' || (place // {_PAIRS} + 1) ELSE '' END AS name,
+           FALSE AS is_admin
+    FROM (SELECT *, ({_draw(_PAIRS, "coach")} + place % {_PAIRS} * {_stride(_PAIRS)}) % {_PAIRS} AS pair
+          FROM (SELECT id, n, id * {DEMO_COACHES} + n - 1 AS place FROM (
+              SELECT id, CAST(unnest(range(1, {DEMO_COACHES + 1})) AS INTEGER) AS n FROM divisions)))""",
 )
 
 _define("stream_submissions_latest", "streamed_latest", "SELECT * FROM streamed_latest")

@@ -7,4 +7,3 @@ SKILL = 1
 DEFAULT_DIVISION = 4
 PLAYER_QUERY = " 00012 "
 PENDING_FROM = "2001-01-01"
-STORED_BEFORE = 1_000_000

@@ -19,9 +19,8 @@ from rateline.plans.parameters import (
     PLAYER_QUERY,
     SESSION,
     SKILL,
-    STORED_BEFORE,
 )
-from rateline.schemas import EVALUATION_KEY
+from rateline.schemas import EVALUATION_KEY, PAYLOADS
 from rateline.sources.json_records import as_json, coerce_submissions, read_submission_json
 from rateline.sources.roster_text import number_lines, parse_roster, read_roster_lines
 from rateline.sources.snapshot import field_snapshot as take_snapshot
@@ -87,25 +86,37 @@ def evaluations_latest(t: StarTables) -> DataFrame:
 
 @query
 def evaluations_upsert(t: StarTables) -> DataFrame:
-    """Late arrivals merged into what was stored before them."""
-    early = F.col("arrival_seq") < STORED_BEFORE
-    stored = latest.latest_evaluations(t.submissions().filter(early))
-    return latest.upsert_evaluations(stored, t.submissions().filter(~early))
+    """Two batches in the wrong order, the first of them twice."""
+    one, two = _halves(t.submissions())
+    stored = latest.latest_evaluations(one, keep_order=True)
+    return latest.upsert_evaluations(latest.upsert_evaluations(stored, two), one)
+
+
+def _halves(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows in two batches that share keys, each with earlier and later arrivals."""
+    first = F.xxhash64("arrival_seq") >= 0
+    return submissions.filter(first), submissions.filter(~first)
 
 
 @query
 def evaluations_latest_queued(t: StarTables) -> DataFrame:
-    """Last queued wins: queue time and, for equal times, score, in one bigint."""
-    millis = F.unix_millis(F.col("queued_at").cast("timestamp"))
-    packed = t.submissions().withColumn("queue_order", millis * 16 + F.col("score"))
-    return latest.latest_evaluations(packed, order="queue_order").drop("created_at")
+    return latest.latest_queued(t.submissions())
 
 
-@query
-def submissions_from_json(t: StarTables) -> DataFrame:
+def _json_rows(t: StarTables) -> DataFrame:
     folder = new_folder(t.spark, "payloads")
     derived.submission_payloads(t).write.text(folder)
-    rows = coerce_submissions(read_submission_json(t.spark, folder))
+    return coerce_submissions(read_submission_json(t.spark, folder))
+
+
+@query
+def evaluations_from_json(t: StarTables) -> DataFrame:
+    return latest.latest_evaluations(_json_rows(t))
+
+
+@query
+def submissions_from_json(t: StarTables) -> DataFrame:
+    rows = _json_rows(t)
     faults = quality.submission_faults(rows.columns)
     return rows.select(
         "arrival_seq",
@@ -357,7 +368,7 @@ def coach_by_name(t: StarTables) -> DataFrame:
 
 def _parsed_lines(t: StarTables, numbered: bool = False) -> DataFrame:
     folder = new_folder(t.spark, "roster")
-    derived.write_roster_lines(t, folder, files=4)
+    derived.write_roster_lines(t, folder, files=_files(t))
     lines = read_roster_lines(t.spark, folder)
     return parse_roster(number_lines(lines) if numbered else lines)
 
@@ -523,15 +534,47 @@ def synth_coaches(t: StarTables) -> DataFrame:
 
 # --- streams ---------------------------------------------------------------------
 
-STREAM_FILES = 4
+def _files(t: StarTables) -> int:
+    """As many files as the cluster is set to have partitions."""
+    return int(t.spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _queue(t: StarTables) -> tuple[DataFrame, str]:
-    """The events as a queue of JSON files, read two files a batch."""
+    """The events as a queue of JSON files in two rounds, so that keys come back late."""
+    root, files = new_folder(t.spark, "queue"), _files(t)
+    for part in _halves(t.stream_submissions()):
+        submission_stream.drop_submissions(part, f"{root}/in", files)
+    return submission_stream.submission_stream(t.spark, f"{root}/in", files), root
+
+
+def _replayed_payloads(t: StarTables) -> str:
+    """Loosely typed events, broken lines among them, replayed into a log."""
     root = new_folder(t.spark, "queue")
-    submission_stream.drop_submissions(t.stream_submissions(), f"{root}/in", STREAM_FILES)
-    stream = submission_stream.submission_stream(t.spark, f"{root}/in", STREAM_FILES // 2)
-    return stream, root
+    derived.submission_payloads(t).write.text(f"{root}/in")
+    stream = submission_stream.payload_stream(t.spark, f"{root}/in", _files(t))
+    submission_stream.start_replay(stream, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return f"{root}/log"
+
+
+@query
+def stream_evaluations_from_json(t: StarTables) -> DataFrame:
+    return submission_stream.replayed_latest(t.spark, _replayed_payloads(t), PAYLOADS)
+
+
+@query
+def stream_quarantine_from_json(t: StarTables) -> DataFrame:
+    """Refused payloads; the event is read from the line that was kept."""
+    rows = submission_stream.quarantined_submissions(t.spark, _replayed_payloads(t), PAYLOADS)
+    return rows.select(
+        F.regexp_extract("payload", '"id": ([0-9]+)', 1).cast("bigint").alias("event_id"),
+        "arrival_seq",
+        "session_id",
+        "player_id",
+        "skill_index",
+        "score",
+        "queued_at",
+        "reasons",
+    )
 
 
 def _replayed(t: StarTables) -> str:
@@ -570,9 +613,9 @@ def stream_keyed_latest(t: StarTables) -> DataFrame:
 
 @query
 def stream_active_session(t: StarTables) -> DataFrame:
-    root = new_folder(t.spark, "commands")
-    session_stream.drop_commands(t.league_commands(), f"{root}/in", STREAM_FILES)
-    stream = session_stream.command_stream(t.spark, f"{root}/in", STREAM_FILES // 2)
+    root, files = new_folder(t.spark, "commands"), _files(t)
+    session_stream.drop_commands(t.league_commands(), f"{root}/in", files)
+    stream = session_stream.command_stream(t.spark, f"{root}/in", max(1, files // 2))
     session_stream.start_monitor(
         stream, f"{root}/log", f"{root}/checkpoint", interval=None
     ).awaitTermination()

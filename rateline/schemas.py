@@ -58,7 +58,21 @@ SUBMISSION_JSON = _struct(
     queued_at=_L,
     _corrupt_record=_S,
 )
-_PLAYER_JSON = _struct(name=_S, age=_S, is_pitcher=_S, is_catcher=_S, division_id=_S)
+# What coercion makes of it, with the line it came from.
+PAYLOADS = _struct(
+    payload=_S,
+    arrival_seq=_L,
+    session_id=_L,
+    player_id=_L,
+    skill_index=_L,
+    score=_L,
+    coach_id=_L,
+    queued_at=_TS,
+    created_at=_TS,
+    malformed=_B,
+    scientific=_B,
+)
+_PLAYER_JSON =_struct(name=_S, age=_S, is_pitcher=_S, is_catcher=_S, division_id=_S)
 IMPORT_JSON = _struct(
     players=T.ArrayType(_PLAYER_JSON), default_division_id=_S, _corrupt_record=_S
 )

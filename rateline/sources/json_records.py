@@ -16,9 +16,25 @@ def read_submission_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUBMISSION_JSON).option("mode", "PERMISSIVE").json(path)
 
 
-def coerce_submissions(raw: DataFrame) -> DataFrame:
-    """Loosely typed fields to numbers; a missing skill index is -1, all else 0."""
+#: Milliseconds from the epoch to the end of the year 9999.
+_LAST_MILLI = 253402300799999
+
+
+def coerce_submissions(
+    raw: DataFrame, arrived_at: Column | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Loosely typed fields to numbers; a missing skill index is -1, all else 0.
+
+    ``created_at`` is ``arrived_at`` or else the queue time, which counts from the
+    epoch whatever the session's time zone; one past the year 9999 is missing.
+    Columns in ``keep`` go first as they are.
+    """
     fallback = {"skill_index": -1}
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    millis = F.col("queued_at")
+    queued_at = F.when(
+        millis.between(-_LAST_MILLI, _LAST_MILLI), epoch + F.make_dt_interval(secs=millis / 1000)
+    )
 
     def number(name: str) -> Column:
         default = F.lit(fallback.get(name, 0)).cast("bigint")
@@ -28,10 +44,12 @@ def coerce_submissions(raw: DataFrame) -> DataFrame:
     for name in _NUMBERS:
         scientific = scientific | is_scientific(F.col(name))
     return raw.select(
+        *keep,
         leading_int(F.col("id")).alias("arrival_seq"),
         *[number(name).alias(name) for name in _NUMBERS],
         leading_int(F.col("coach_id")).alias("coach_id"),
-        F.timestamp_millis("queued_at").cast("timestamp_ntz").alias("queued_at"),
+        queued_at.alias("queued_at"),
+        (queued_at if arrived_at is None else arrived_at).alias("created_at"),
         F.col("_corrupt_record").isNotNull().alias("malformed"),
         scientific.alias("scientific"),
     )

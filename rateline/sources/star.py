@@ -117,9 +117,9 @@ class StarTables:
 
     def session_starts(self) -> DataFrame:
         """One start command per session, at its first submission."""
-        items, orders = self.raw("lineitem"), self._session_orders().hint("merge")
+        items, orders = self.raw("lineitem"), self._session_orders()
         return (
-            items.join(orders, items.l_orderkey == orders.o_orderkey)
+            orders.join(items, items.l_orderkey == orders.o_orderkey, "left_semi")
             .groupBy("session_id")
             .agg(F.min("o_orderdate").alias("ts"))
             .select(

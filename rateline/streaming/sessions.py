@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from rateline.operators.sessions import lifecycle
 from rateline.schemas import COMMANDS, JSON_TIMES
 from rateline.streaming.submissions import _start
 
@@ -25,15 +26,14 @@ def command_stream(
 
 
 def _last_command(commands: DataFrame) -> DataFrame:
-    """The last start or end per lane; packed by ``seq`` so it stays a hash aggregate."""
-    lifecycle = commands.filter(F.col("command").isin("start", "end"))
-    started = F.when(F.col("command") == "start", F.col("session_id"))
-    return lifecycle.groupBy("lane").agg(
-        F.max_by(started, "seq").alias("session_id"),
-        F.max_by("division_id", "seq").alias("division_id"),
-        F.max_by("ts", "seq").alias("ts"),
-        F.max("seq").alias("seq"),
-    )
+    """The last start or end per lane, by time and then ``seq`` as in a batch."""
+    started = F.when(F.col("command") == "start", F.col("session_id")).alias("session_id")
+    return _last(lifecycle(commands).select("lane", "ts", "seq", started, "division_id"))
+
+
+def _last(state: DataFrame) -> DataFrame:
+    step = F.struct("ts", "seq", "session_id", "division_id")
+    return state.groupBy("lane").agg(F.max(step).alias("step")).select("lane", "step.*")
 
 
 def start_monitor(
@@ -50,10 +50,7 @@ _STATE = T.StructType([f for f in COMMANDS.fields if f.name != "command"])
 
 def active_sessions(spark: SparkSession, log: str) -> DataFrame:
     """Per lane the session now open; a lane whose last command ended it has none."""
-    state = spark.read.schema(_STATE).parquet(log)
-    last = state.groupBy("lane").agg(
-        F.max_by("session_id", "seq").alias("id"),
-        F.max_by("division_id", "seq").alias("division_id"),
-        F.max_by("ts", "seq").alias("started_at"),
+    last = _last(spark.read.schema(_STATE).parquet(log))
+    return last.filter(F.col("session_id").isNotNull()).select(
+        "lane", F.col("session_id").alias("id"), "division_id", F.col("ts").alias("started_at")
     )
-    return last.filter(F.col("id").isNotNull())

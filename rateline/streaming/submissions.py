@@ -15,20 +15,18 @@ from pyspark.sql.streaming import StreamingQuery
 from rateline.functions.scoring import average_e4, e4_to_double
 from rateline.operators.latest import latest_evaluations
 from rateline.operators.quality import submission_faults
-from rateline.schemas import EVALUATION_KEY, JSON_TIMES, SUBMISSIONS
+from rateline.schemas import EVALUATION_KEY, JSON_TIMES, SUBMISSION_JSON, SUBMISSIONS
+from rateline.sources.json_records import coerce_submissions
 from rateline.sources.workspace import exists
 
 SESSION_BUCKETS = 64
 #: The id of folded history; no stream gives it to a batch.
 FOLDED = -1
 
-_ACCEPTED = T.StructType(
-    [
-        *SUBMISSIONS.fields,
-        T.StructField("faults", T.ArrayType(T.StringType())),
-        T.StructField("valid", T.BooleanType()),
-    ]
-)
+_JUDGED = [
+    T.StructField("faults", T.ArrayType(T.StringType())),
+    T.StructField("valid", T.BooleanType()),
+]
 _CHANGES = T.StructType(
     [
         *[f for f in SUBMISSIONS.fields if f.name in (*EVALUATION_KEY, "score", "arrival_seq")],
@@ -52,12 +50,34 @@ def submission_stream(
     bytes_per_trigger: str | None = None,
 ) -> DataFrame:
     """New files of a folder; a batch may be limited by files or by size, not both."""
-    reader = spark.readStream.schema(SUBMISSIONS).options(**JSON_TIMES)
-    if files_per_trigger is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    if bytes_per_trigger is not None:
-        reader = reader.option("maxBytesPerTrigger", bytes_per_trigger)
-    return reader.json(folder)
+    reader = _limited(spark.readStream, files_per_trigger, bytes_per_trigger)
+    return reader.schema(SUBMISSIONS).options(**JSON_TIMES).json(folder)
+
+
+def payload_stream(
+    spark: SparkSession,
+    folder: str,
+    files_per_trigger: int | None = None,
+    bytes_per_trigger: str | None = None,
+) -> DataFrame:
+    """Loosely typed JSON lines, coerced as in a batch; ``payload`` keeps the line.
+
+    Blank lines are no submissions.
+    """
+    lines = _limited(spark.readStream, files_per_trigger, bytes_per_trigger).text(folder)
+    fields = F.from_json("value", SUBMISSION_JSON, {"mode": "PERMISSIVE"})
+    parsed = lines.filter(F.btrim("value") != "").select(
+        F.col("value").alias("payload"), fields.alias("_fields")
+    )
+    return coerce_submissions(parsed.select("payload", "_fields.*"), keep=("payload",))
+
+
+def _limited(reader, files: int | None, size: str | None):
+    if files is not None:
+        reader = reader.option("maxFilesPerTrigger", files)
+    if size is not None:
+        reader = reader.option("maxBytesPerTrigger", size)
+    return reader
 
 
 def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
@@ -87,17 +107,29 @@ def start_replay(
     return _start(stream.writeStream.foreachBatch(write), checkpoint, interval)
 
 
-def accepted_submissions(spark: SparkSession, log: str) -> DataFrame:
-    return spark.read.schema(_ACCEPTED).parquet(log).filter("valid").select(*SUBMISSIONS.names)
+def _replayed(spark: SparkSession, log: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, *_JUDGED])).parquet(log)
 
 
-def quarantined_submissions(spark: SparkSession, log: str) -> DataFrame:
-    rows = spark.read.schema(_ACCEPTED).parquet(log).filter(~F.col("valid"))
-    return rows.select(*SUBMISSIONS.names, F.concat_ws(",", "faults").alias("reasons"))
+def accepted_submissions(
+    spark: SparkSession, log: str, schema: T.StructType = SUBMISSIONS
+) -> DataFrame:
+    """Accepted rows; ``schema`` is PAYLOADS for a log of ``payload_stream``."""
+    return _replayed(spark, log, schema).filter("valid").select(*schema.names)
+
 
+def quarantined_submissions(
+    spark: SparkSession, log: str, schema: T.StructType = SUBMISSIONS
+) -> DataFrame:
+    """Refused rows with the reasons, and of payloads the line as it came."""
+    rows = _replayed(spark, log, schema).filter(~F.col("valid"))
+    return rows.select(*schema.names, F.concat_ws(",", "faults").alias("reasons"))
 
-def replayed_latest(spark: SparkSession, log: str) -> DataFrame:
-    return latest_evaluations(accepted_submissions(spark, log))
+
+def replayed_latest(
+    spark: SparkSession, log: str, schema: T.StructType = SUBMISSIONS
+) -> DataFrame:
+    return latest_evaluations(accepted_submissions(spark, log, schema))
 
 
 def start_progress(

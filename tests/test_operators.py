@@ -49,6 +49,29 @@ def test_last_arrival_wins_and_first_time_stays(spark):
     ]
 
 
+def test_upsert_does_not_depend_on_the_order_of_batches(spark):
+    first, second = DAY(2024, 1, 1), DAY(2024, 1, 2)
+    early = spark.createDataFrame([(1, 1, 1, 0, 3, 1, first, None)], SUBMISSIONS)
+    late = spark.createDataFrame([(1, 1, 1, 0, 9, 2, second, None)], SUBMISSIONS)
+    for batches in ((early, late), (late, early), (early, late, early), (late, early, late)):
+        stored = latest.latest_evaluations(batches[0], keep_order=True)
+        for batch in batches[1:]:
+            stored = latest.upsert_evaluations(stored, batch)
+        assert rows(stored, "score", "created_at", "first_seq", "arrival_seq") == [(9, first, 1, 2)]
+
+
+def test_of_equal_queue_times_the_last_arrival_counts(spark):
+    at = DAY(2024, 1, 1)
+    queued = [(1, 1, 1, 0, 9, 1, at, at), (1, 1, 1, 0, 3, 2, at, at), (1, 1, 1, 0, 5, 3, at, None)]
+    got = latest.latest_queued(spark.createDataFrame(queued, SUBMISSIONS))
+    assert rows(got, "player_id", "score") == [(1, 3)]
+
+
+def test_start_without_division_is_refused(spark):
+    log = commands(spark, [(1, "start", 5, 10), (2, "start", None, 11), (3, "start", 0, 12)])
+    assert rows(sessions.session_history(log), "id", "active") == [(10, True)]
+
+
 def test_pending_wins_over_stored(spark):
     stored = evaluations(spark, [(1, 1, 1, 0, 3), (1, 2, 1, 0, 4)])
     pending = spark.createDataFrame(
@@ -271,9 +294,11 @@ def test_synthetic_rosters(spark):
     assert 20 <= made.filter("is_pitcher").count() <= 60
     assert made.exceptAll(synth.synth_roster(divisions.repartition(3), 100, seed=5)).count() == 0
     coaches = synth.synth_coaches(divisions, 10)
-    assert coaches.select("group_id", "name").distinct().count() == 20
-    with pytest.raises(ValueError):
-        synth.synth_coaches(divisions, 10_000)
+    assert coaches.select("name").distinct().count() == 20
+    many = synth.synth_coaches(divisions, 10_000)  # more than there are pairs of names
+    assert many.select("name").distinct().count() == 20_000
+    large = synth.synth_roster(spark.range(1, 26), 100)
+    assert large.filter("name rlike '[0-9]'").count() < 50
 
 
 def test_integrity_rules(spark):

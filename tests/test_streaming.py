@@ -119,6 +119,22 @@ def test_monitor_follows_each_lane(spark, tmp_path):
     assert [(r.lane, r.id, r.division_id) for r in active.collect()] == [(1, 11, 6)]
 
 
+def test_payloads_are_coerced_and_refused_lines_kept(spark, tmp_path):
+    from rateline.schemas import PAYLOADS
+
+    body = '{"id": %d, "session_id": "1", "player_id": 2, "coach_id": "3x", "skill_index": 0, "score": %s, "queued_at": 1500}'
+    lines = [body % (1, '"7abc"'), body % (2, "7.9"), body % (3, '"1e1"'), '{"id": 4,', "[]", " "]
+    spark.createDataFrame([(x,) for x in lines], "v string").write.text(f"{tmp_path}/in")
+    stream = stream_ops.payload_stream(spark, f"{tmp_path}/in")
+    stream_ops.start_replay(stream, f"{tmp_path}/log", f"{tmp_path}/cp").awaitTermination()
+    kept = stream_ops.accepted_submissions(spark, f"{tmp_path}/log", PAYLOADS)
+    assert sorted((r.arrival_seq, r.coach_id, r.score) for r in kept.collect()) == [(1, 3, 7), (2, 3, 7)]
+    assert {r.queued_at.isoformat() for r in kept.collect()} == {"1970-01-01T00:00:01.500000"}
+    bad = stream_ops.quarantined_submissions(spark, f"{tmp_path}/log", PAYLOADS).collect()
+    assert {r.payload for r in bad} == {lines[2], lines[3], lines[4]}
+    assert {r.payload: r.reasons for r in bad}[lines[2]] == "scientific_notation"
+
+
 def test_periodic_trigger(spark, queue):
     folder, root = queue
     stream = stream_ops.submission_stream(spark, folder, 6)
