@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -80,35 +81,45 @@ def materialize(df: DataFrame, name: str = "step", keep: bool = False) -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-_VERSIONS = T.StructType([T.StructField("version", T.LongType())])
+_VERSIONS = T.StructType(
+    [T.StructField("version", T.LongType()), T.StructField("attempt", T.StringType())]
+)
 
 
 def publish(
     df: DataFrame, root: str, version: int, partition_by: tuple[str, ...] = ()
 ) -> None:
-    """Write one table version, then announce it.
+    """Write one table version into a folder of its own, then announce it.
 
-    Readers look only at announced versions, so a half-written one is never
-    seen, and a replay rewrites the same folder and announces it again.
+    Readers look only at announced folders, so a half-written one is never
+    seen, and a replay leaves the files of those who already read alone.
     """
-    writer = df.write.mode("overwrite")
+    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{root}/v={version}")
+    writer.parquet(f"{root}/v={version}/{attempt}")
     spark = df.sparkSession
-    spark.createDataFrame([(version,)], _VERSIONS).coalesce(1).write.mode("append").parquet(
-        f"{root}/announced"
-    )
+    said = spark.createDataFrame([(version, attempt)], _VERSIONS)
+    said.coalesce(1).write.mode("append").parquet(f"{root}/announced")
+
+
+def _announced(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(_VERSIONS).parquet(f"{root}/announced")
 
 
 def current_version(spark: SparkSession, root: str) -> int:
-    announced = spark.read.schema(_VERSIONS).parquet(f"{root}/announced")
-    return announced.agg(F.max("version")).first()[0]
+    return _announced(spark, root).agg(F.max("version")).first()[0]
 
 
 def read_published(
     spark: SparkSession, root: str, schema: T.StructType, version: int | None = None
 ) -> DataFrame:
+    """The announced version, the last one unless named, by its last attempt."""
     if version is None:
         version = current_version(spark, root)
-    return spark.read.schema(schema).parquet(f"{root}/v={version}")
+    attempts = _announced(spark, root).filter(F.col("version") == version)
+    attempt = attempts.agg(F.max("attempt")).first()[0]
+    if attempt is None:
+        raise ValueError(f"version {version} is not announced")
+    return spark.read.schema(schema).parquet(f"{root}/v={version}/{attempt}")

@@ -134,8 +134,13 @@ def test_published_versions(spark, tmp_path):
     second.write.parquet(f"{root}/v=3")
     assert workspace.current_version(spark, root) == 2
     assert workspace.read_published(spark, root, first.schema).count() == 5
+    held = workspace.read_published(spark, root, first.schema)
+    workspace.publish(first, root, 2)
+    assert held.count() == 5  # a replay leaves the files of earlier readers alone
     workspace.publish(second, root, 2)
     assert workspace.read_published(spark, root, first.schema, 1).count() == 3
+    with pytest.raises(ValueError):
+        workspace.read_published(spark, root, first.schema, 3)
     assert workspace.read_published(spark, root, first.schema).count() == 5
 
 
