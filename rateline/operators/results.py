@@ -22,6 +22,7 @@ from rateline.functions.scoring import (
     skill_name,
     subtitle,
 )
+from rateline.functions.text import name_key
 from rateline.operators.ordering import ordered_position
 
 
@@ -93,6 +94,13 @@ def results(
     )
 
 
+def ordered_results(rows: DataFrame) -> DataFrame:
+    """Results with their place by player name and skill; equal names go by id."""
+    keyed = rows.withColumn("_key", name_key(F.col("player_name")))
+    order = ["_key", "player_id", "skill_index"]
+    return ordered_position(keyed, order, position="place").drop("_key")
+
+
 def session_progress(evaluations: DataFrame, session_id: int | None = None) -> DataFrame:
     scores = visible_evaluations(evaluations, session_id=session_id)
     return skill_averages(scores, ["session_id", "player_id"]).select(

@@ -19,6 +19,7 @@ from rateline.plans.parameters import (
     DEFAULT_DIVISION,
     DIVISION,
     PENDING_FROM,
+    PLAYER_NUMBER,
     PLAYER_QUERY,
     SESSION,
     SKILL,
@@ -388,6 +389,12 @@ _define(
         WHERE queued_at >= TIMESTAMP '{PENDING_FROM}' GROUP BY coach_id, session_id""",
 )
 _define("results_admin", "results", "SELECT * FROM results")
+_define(
+    "results_ordered",
+    "results",
+    """SELECT *, row_number() OVER (ORDER BY lower(player_name), player_id, skill_index) AS place
+       FROM results""",
+)
 _define(
     "results_coach", "evaluations players divisions", _results(where=f"coach_id = {COACH}")
 )
@@ -554,14 +561,15 @@ _LIST = f"""SELECT p.id, p.name, p.age, p.is_pitcher, p.is_catcher, p.division_i
             FROM players p LEFT JOIN divisions d ON d.id = p.division_id"""
 _define("player_list", "players divisions", _LIST)
 _define("player_list_division", "players divisions", f"{_LIST} WHERE p.division_id = {DIVISION}")
-_q = PLAYER_QUERY.strip().lower()
-_define(
-    "player_search",
-    "players",
-    f"""SELECT id, {_number("id")} AS number, name FROM players
-        WHERE contains(lower(name), '{_q}') OR contains({_number("id")}, '{_q}')
-        ORDER BY lower(name), id LIMIT 8""",
-)
+for _name, _typed in (("player_search", PLAYER_QUERY), ("player_search_number", PLAYER_NUMBER)):
+    _q = _typed.strip().lower()
+    _define(
+        _name,
+        "players",
+        f"""SELECT id, {_number("id")} AS number, name FROM players
+            WHERE contains(lower(name), '{_q}') OR contains({_number("id")}, '{_q}')
+            ORDER BY lower(name), id LIMIT 8""",
+    )
 _define(
     "division_counts",
     "divisions players",

@@ -7,3 +7,4 @@ SKILL = 1
 DEFAULT_DIVISION = 4
 PLAYER_QUERY = " 00012 "
 PENDING_FROM = "2001-01-01"
+PLAYER_NUMBER = "014"

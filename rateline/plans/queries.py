@@ -16,6 +16,7 @@ from rateline.plans.parameters import (
     DEFAULT_DIVISION,
     DIVISION,
     PENDING_FROM,
+    PLAYER_NUMBER,
     PLAYER_QUERY,
     SESSION,
     SKILL,
@@ -186,6 +187,11 @@ def results_admin(t: StarTables) -> DataFrame:
     return _results(t)
 
 
+@query
+def results_ordered(t: StarTables) -> DataFrame:
+    return results.ordered_results(_results(t))
+
+
 @query
 def results_coach(t: StarTables) -> DataFrame:
     return _results(t, viewer_coach_id=COACH)
@@ -346,6 +352,12 @@ def player_search(t: StarTables) -> DataFrame:
     return roster.player_search(t.players(), PLAYER_QUERY)
 
 
+@query
+def player_search_number(t: StarTables) -> DataFrame:
+    """A shown number, which finds a player whose name does not have it."""
+    return roster.player_search(t.players(), PLAYER_NUMBER)
+
+
 @query
 def division_counts(t: StarTables) -> DataFrame:
     return roster.division_counts(t.divisions(), t.players())

@@ -45,11 +45,11 @@ def read_jdbc_table(
 def write_evaluations(evaluations: DataFrame, path: str) -> None:
     """Lay evaluations out for session reads.
 
-    Rows are spread over the session and player, so one popular session is
-    written by many tasks, and sorted so that row groups can be skipped.
+    Files hold ranges of session and player: one popular session is written by
+    many tasks, and a session's read skips the files of all others.
     """
     (
-        evaluations.repartition("session_id", "player_id")
+        evaluations.repartitionByRange("session_id", "player_id")
         .sortWithinPartitions("session_id", "player_id", "coach_id", "skill_index")
         .write.mode("overwrite")
         .parquet(path)

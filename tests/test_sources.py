@@ -167,6 +167,29 @@ def test_written_evaluations_skip_other_sessions(spark, tmp_path):
     assert "EqualTo(session_id,3)" in plan
 
 
+def test_files_of_evaluations_hold_ranges_of_sessions(spark, tmp_path):
+    scores = spark.range(40_000).select(
+        F.when(F.col("id") % 3 == 0, 500).otherwise(F.col("id") % 1000).cast("long").alias("session_id"),
+        F.col("id").alias("player_id"),
+        F.lit(1).cast("long").alias("coach_id"), F.lit(0).alias("skill_index"),
+        F.lit("Running").alias("skill_name"), F.lit(5).alias("score"),
+        F.lit(None).cast("timestamp_ntz").alias("created_at"),
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_evaluations(scores, str(tmp_path / "e"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    read = tables.read_table(spark, str(tmp_path / "e"), EVALUATIONS)
+    named = read.select("session_id", F.input_file_name().alias("file"))
+    files = named.groupBy("session_id").agg(F.count_distinct("file").alias("n"))
+    found = {r.session_id: r.n for r in files.collect()}
+    assert read.count() == 40_000
+    assert found[500] > 1, "a popular session is written by several tasks"
+    others = [n for session, n in found.items() if session != 500]
+    assert sum(others) <= len(others) + 8, "others are in one file, but for those on an edge"
+
+
 def test_cluster_without_shared_folder_is_refused():
     class Context:
         master = "yarn"
