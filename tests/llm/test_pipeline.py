@@ -30,6 +30,8 @@ def test_stages_keep_columns_and_clean_rows(spark):
         assert docs.columns == columns, name
         sizes.append(docs.count())
     assert sizes[0] >= sizes[1] >= sizes[2] == sizes[3]
+    often = docs.groupBy("doc_id").count().agg(F.max("count")).first()[0]
+    assert often <= 4, "no few rows are repeated to fill the share of a domain"
     assert docs.filter("n_chars <> length(text)").count() == 0
     assert docs.filter(F.col("text").contains("@mail")).count() == 0
 
