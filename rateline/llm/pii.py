@@ -7,9 +7,9 @@ a share of the entity's own information:
 
     disclosure(t, e) = log2(n * n_te / (n_t * n_e)) / log2(n / n_e)
 
-with n rows, n_e naming the entity, n_t holding the term and n_te holding it
-close to the entity. Where an entity is named, terms above ``REMOVE`` are
-removed and terms above ``GENERALISE`` become a category.
+with n rows, n_e naming the entity, n_t holding the term and n_te doing both. In
+every row that names an entity, each occurrence of a term above ``REMOVE`` is
+removed and of one above ``GENERALISE`` becomes a category.
 
 Everything is Column expressions, joins and grouped aggregation. Positions are
 code points, taken from the lengths of the text between matches.
@@ -38,7 +38,7 @@ PATTERNS = (
 #: Cheap tests that every match passes.
 HINTS = ("contains(_text, '@')", "_digits", "_digits", "_digits and contains(_text, '+')")
 
-#: Code points on either side of a mention whose words count as its company.
+#: Code points on either side of a mention whose words are proposed as terms.
 REACH = 64
 #: Different surroundings in which term and entity must meet; copies count once.
 MIN_CONTEXTS = 3
@@ -47,8 +47,12 @@ MIN_BITS = 5.0
 GENERALISE, REMOVE = 0.75, 0.9
 #: A word of three letters or more that is no part of an address.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}@._%+-])"
+#: What counts as a word of a row, in or beside an address too.
+WORD = r"\p{L}{3,}+"
 
 _SPAN = "struct<start:int,end:int,kind:int,value:string>"
+#: Matches whose places are summed up in one go.
+_RUN = 256
 
 
 def _sql(pattern: str) -> str:
@@ -56,17 +60,28 @@ def _sql(pattern: str) -> str:
 
 
 def _matches(text: str, pattern: str, kind: int) -> str:
-    """SQL for the spans of all matches: an array of ``_SPAN`` by start."""
+    """SQL for the spans of all matches: an array of ``_SPAN`` by start.
+
+    Runs of ``_RUN`` matches are placed by the lengths of the runs before them, so
+    that a text of many matches is not copied once for each of them.
+    """
     found, between = f"regexp_extract_all({text}, {_sql(pattern)}, 0)", f"split({text}, {_sql(pattern)}, -1)"
     return f"""
       transform(array({found}), m -> if(size(m) = 0, cast(array() as array<{_SPAN}>),
-        aggregate(
-          zip_with(m, slice({between}, 1, size(m)), (v, b) -> struct(length(b) as gap, length(v) as len, v as value)),
-          cast(struct(0, array()) as struct<at:int,found:array<{_SPAN}>>),
-          (s, x) -> cast(struct(s.at + x.gap + x.len, concat(s.found, cast(array(
-            struct(s.at + x.gap, s.at + x.gap + x.len, {kind}, x.value)) as array<{_SPAN}>)))
-            as struct<at:int,found:array<{_SPAN}>>),
-          s -> s.found)))[0]"""
+        transform(array(
+          zip_with(m, slice({between}, 1, size(m)), (v, b) -> struct(length(b) as gap, length(v) as len, v as value))),
+        w -> flatten(aggregate(
+          transform(sequence(0, (size(w) - 1) div {_RUN}), k -> slice(w, k * {_RUN} + 1, {_RUN})),
+          cast(struct(0, array()) as struct<at:int,runs:array<array<{_SPAN}>>>),
+          (r, run) -> transform(array(aggregate(
+            run,
+            cast(struct(r.at, array()) as struct<at:int,found:array<{_SPAN}>>),
+            (s, x) -> cast(struct(s.at + x.gap + x.len, concat(s.found, cast(array(
+              struct(s.at + x.gap, s.at + x.gap + x.len, {kind}, x.value)) as array<{_SPAN}>)))
+              as struct<at:int,found:array<{_SPAN}>>))),
+            y -> cast(struct(y.at, concat(r.runs, array(y.found)))
+              as struct<at:int,runs:array<array<{_SPAN}>>>))[0],
+          r -> r.runs)))[0]))[0]"""
 
 
 def _digits(value: str) -> str:
@@ -106,24 +121,30 @@ def _company() -> Column:
     entity = f"concat(x.kind, ':', if(x.kind in (2, 3), {_digits('x.value')}, lower(x.value)))"
     left = f"""transform(
         filter({_matches('c.before', TERM, 0)}, t -> t.start > 0 or length(c.before) < {REACH}),
-        t -> struct(lower(t.value) as term, c.start - length(c.before) + t.start as start,
-                    c.start - length(c.before) + t.end as end))"""
+        t -> lower(t.value))"""
     right = f"""transform(
         filter({_matches('c.after', TERM, 0)}, t -> t.end < length(c.after) or length(c.after) < {REACH}),
-        t -> struct(lower(t.value) as term, c.end + t.start as start, c.end + t.end as end))"""
+        t -> lower(t.value))"""
     return F.expr(f"""
       transform(
         transform(_base, x -> struct({entity} as entity, x.start as start, x.end as end,
                                      {before} as before, {after} as after)),
         c -> struct(c.entity as entity, xxhash64(c.before, c.after) as context,
-                    concat({left}, {right}) as terms))""")
+                    array_distinct(concat({left}, {right})) as terms))""")
+
+
+def _words(text: str) -> str:
+    """SQL for the different words of a text: what n_t and n_te count."""
+    return f"array_distinct(transform(regexp_extract_all({text}, {_sql(WORD)}, 0), w -> lower(w)))"
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, base (array of start, end, kind) and company, a row per row.
+    """doc_id, text_key, base (array of start, end, kind), company, words and places, a row per row.
 
-    A null text is empty. Equal rows stay; other columns are left out.
+    ``words`` and ``places`` (of all terms) are empty where nothing is named. A null
+    text is empty. Equal rows stay; other columns are left out.
     """
+    places = f"transform({_matches('_text', TERM, 0)}, t -> struct(lower(t.value) as term, t.start as start, t.end as end))"
     return (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
         .withColumn("_digits", F.expr("_text rlike '[0-9]'"))
@@ -133,36 +154,31 @@ def find(docs: DataFrame) -> DataFrame:
             F.xxhash64("_text").alias("text_key"),
             F.expr("transform(_base, x -> struct(x.start as start, x.end as end, x.kind as kind))").alias("base"),
             _company().alias("company"),
+            F.expr(f"if(size(_base) > 0, {_words('_text')}, cast(array() as array<string>))").alias("words"),
+            F.expr(
+                f"if(size(_base) > 0, {places}, cast(array() as array<struct<term:string,start:int,end:int>>))"
+            ).alias("places"),
         )
     )
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text_key, start, end, kind of the terms to generalise or remove."""
-    rows = ["doc_id", "text_key"]
-    meetings = (
-        found.select(*rows, F.explode("company").alias("c"))
-        .select(*rows, "c.entity", "c.context", F.explode("c.terms").alias("t"))
-        .select(*rows, "entity", "context", "t.term", "t.start", "t.end")
-    )
-    pair = ["entity", "term"]
+    """doc_id, text_key, terms (array of start, end, kind to generalise or remove)."""
+    rows, pair = ["doc_id", "text_key"], ["entity", "term"]
+    entities = F.explode(F.array_distinct("company.entity")).alias("entity")
+    shared = found.select(*rows, entities, "words").select(*rows, "entity", F.explode("words").alias("term"))
     often = (
-        meetings.select(*pair, "context").distinct().groupBy(*pair).count()
+        found.select(F.explode("company").alias("c"))
+        .select("c.entity", "c.context", F.explode("c.terms").alias("term"))
+        .distinct().groupBy(*pair).count()
         .filter(F.col("count") >= MIN_CONTEXTS).select(*pair)
     )
-    together = (
-        meetings.join(often, pair, "left_semi").select(*pair, *rows).distinct()
-        .groupBy(*pair).agg(F.count("*").alias("n_te"))
-    )
-    naming = (
-        found.select(*rows, F.explode("company.entity").alias("entity")).distinct()
-        .groupBy("entity").agg(F.count("*").alias("n_e"))
-    )
+    together = shared.groupBy(*pair).agg(F.count("*").alias("n_te")).join(often, pair, "left_semi")
+    naming = found.select(entities).groupBy("entity").agg(F.count("*").alias("n_e"))
     candidates = materialize(together.join(naming, "entity"), "pii-pairs")
     # One pass over all words; each task counts before anything is shuffled.
-    words = F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")
     holding = (
-        docs.select(words).filter(F.length("term") >= 3)
+        docs.select(F.explode(F.expr(_words("text"))).alias("term"))
         .groupBy("term").agg(F.count("*").alias("n_t"))
     )
     total = docs.agg(F.count("*").alias("n"))
@@ -181,22 +197,25 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
             F.when(F.col("disclosure") >= REMOVE, F.lit(REMOVED)).otherwise(F.lit(GENERAL)).alias("kind"),
         )
     )
+    marked = (
+        shared.join(judged, pair)
+        .groupBy(*rows, "term").agg(F.max("kind").alias("kind"))
+        .groupBy(*rows).agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds"))
+    )
+    same = F.col("f.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("f.text_key") == F.col("m.text_key"))
     return (
-        meetings.join(judged, pair)
-        .groupBy(*rows, "start", "end")
-        .agg(F.max("kind").alias("kind"))
+        found.filter(F.size("base") > 0).dropDuplicates(rows).alias("f").join(marked.alias("m"), same)
+        .select("f.doc_id", "f.text_key", F.expr("""
+          transform(filter(f.places, p -> map_contains_key(m.kinds, p.term)),
+                    p -> struct(p.start as start, p.end as end, m.kinds[p.term] as kind))""").alias("terms"))
     )
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base and terms (arrays of start, end, kind), a row per row."""
     found = materialize(find(docs), "pii-found")
-    terms = (
-        disclosing_terms(docs.select("doc_id", "text"), found)
-        .groupBy("doc_id", "text_key")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))
-    )
-    left, right = found.drop("company").alias("f"), terms.alias("t")
+    terms = disclosing_terms(docs.select("doc_id", "text"), found)
+    left, right = found.select("doc_id", "text_key", "base").alias("f"), terms.alias("t")
     same = F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.text_key") == F.col("t.text_key"))
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
     return left.join(right, same, "left").select(

@@ -85,6 +85,26 @@ def test_terms_that_give_an_entity_away_are_found_and_removed(spark):
     assert all(clean[i] == t for i, t in enumerate(texts) if "@" not in t)
 
 
+def test_a_term_is_marked_all_over_the_rows_that_name_the_entity(spark):
+    """A name in the first line, far above the address, and many words below it."""
+    texts = [f"filler{'abcdef'[i % 6]} words about nothing at all today" for i in range(400)]
+    for i in range(8):
+        near = f"ask {'pqrstuvw'[i] * 4} Zebulon at zeb@corp.example"
+        texts[i * 9] = f"Zebulon wrote\n{'plain words ' * 40}\n{near}\n{'plain words ' * 200}Zebulon"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("Zebulon" not in clean[i * 9] and "zeb@" not in clean[i * 9] for i in range(8))
+    spans = pii.spans(docs).filter("doc_id = 0").first()
+    assert {texts[0][t.start : t.end].lower() for t in spans.terms} >= {"zebulon", "ask"}
+
+
+def test_places_of_many_matches_are_those_in_the_text(spark):
+    text = "ab@c.de " + " ".join(f"wo{'abcdefghij'[i % 10]}é😀" for i in range(3 * pii._RUN + 5))
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(row.places) == 3 * pii._RUN + 5
+    assert all(text[p.start : p.end] == p.term for p in row.places)
+
+
 def test_sanitise_keeps_rows_and_columns(spark, odd_docs, no_docs):
     rows = pii.sanitise(odd_docs)
     assert rows.columns == odd_docs.columns
