@@ -5,9 +5,12 @@ a protected entity. The words around its mentions are counted over the corpus,
 and a term's disclosure is its pointwise mutual information with the entity as
 a share of the entity's own information:
 
-    disclosure(t, e) = log2(n * n_te / (n_t * n_e)) / log2(n / n_e)
+    disclosure(t, e) = log2(n * p / n_e) / log2(n / n_e)
 
-with n rows, n_e naming the entity, n_t holding the term and n_te doing both. In
+with n rows, n_e naming the entity, n_t holding the term, n_te doing both, and p the
+lower confidence bound (Wilson's, of ``DEVIATIONS``) of n_te / n_t: few rows lower the
+disclosure, none rules an entity out. Rarely named entities are judged again under a
+coarser key, the domain of an e-mail, the network of an address, the first digits. In
 every row that names an entity, each occurrence of a term above ``REMOVE`` is
 removed and of one above ``GENERALISE`` becomes a category.
 
@@ -38,12 +41,11 @@ PATTERNS = (
 #: Cheap tests that every match passes.
 HINTS = ("contains(_text, '@')", "_digits", "_digits", "_digits and contains(_text, '+')")
 
-#: Code points on either side of a mention whose words are proposed as terms.
+#: Code points on either side of a mention whose words are proposed as terms. Words
+#: farther off are proposed if they share two different texts with the entity.
 REACH = 64
-#: Different surroundings in which term and entity must meet; copies count once.
-MIN_CONTEXTS = 3
-#: Entities in more than 1 / 2^MIN_BITS of all rows are public, not protected.
-MIN_BITS = 5.0
+#: Standard deviations by which a share counts as less than it was seen.
+DEVIATIONS = 1.0
 GENERALISE, REMOVE = 0.75, 0.9
 #: A word of three letters or more that is no part of an address.
 TERM = r"(?<![\p{L}\p{N}@._%+-])\p{L}{3,}+(?![\p{N}@_%+-]|\.[\p{L}\p{N}@._%+-])"
@@ -111,8 +113,16 @@ def base_spans() -> Column:
     return F.expr(f"array_sort(concat({', '.join(parts)}), {by_start})")
 
 
+#: SQL for the coarser key of an entity ``x``: domain, network of 256, issuer, area.
+_POOL = f"""concat(x.kind, ':*', case x.kind
+    when 0 then lower(substring_index(x.value, '@', -1))
+    when 1 then substring_index(x.value, '.', 3)
+    when 2 then left({_digits('x.value')}, 6)
+    else left({_digits('x.value')}, 5) end)"""
+
+
 def _company() -> Column:
-    """For each span of ``_base``: the entity, its surroundings, and the terms in them.
+    """For each span of ``_base``: the entity, its coarser key, and the terms around it.
 
     A word that the edge of the surroundings may have cut is left out.
     """
@@ -127,10 +137,8 @@ def _company() -> Column:
         t -> lower(t.value))"""
     return F.expr(f"""
       transform(
-        transform(_base, x -> struct({entity} as entity, x.start as start, x.end as end,
-                                     {before} as before, {after} as after)),
-        c -> struct(c.entity as entity, xxhash64(c.before, c.after) as context,
-                    array_distinct(concat({left}, {right})) as terms))""")
+        transform(_base, x -> struct(array({entity}, {_POOL}) as entities, {before} as before, {after} as after)),
+        c -> struct(c.entities as entities, array_distinct(concat({left}, {right})) as terms))""")
 
 
 def _words(text: str) -> str:
@@ -162,20 +170,31 @@ def find(docs: DataFrame) -> DataFrame:
     )
 
 
+def _at_least(hits: str, rows: str) -> Column:
+    """The lower end of Wilson's interval of the share ``hits`` / ``rows``; under one."""
+    k, n, z = F.col(hits).cast("double"), F.col(rows).cast("double"), DEVIATIONS
+    spread = z * F.sqrt(4 * k * (n - k) / n + z * z)
+    return (2 * k + z * z - spread) / (2 * (n + z * z))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, text_key, terms (array of start, end, kind to generalise or remove)."""
     rows, pair = ["doc_id", "text_key"], ["entity", "term"]
-    entities = F.explode(F.array_distinct("company.entity")).alias("entity")
+    entities = F.explode(F.array_distinct(F.flatten("company.entities"))).alias("entity")
     shared = found.select(*rows, entities, "words").select(*rows, "entity", F.explode("words").alias("term"))
-    often = (
+    near = (
         found.select(F.explode("company").alias("c"))
-        .select("c.entity", "c.context", F.explode("c.terms").alias("term"))
-        .distinct().groupBy(*pair).count()
-        .filter(F.col("count") >= MIN_CONTEXTS).select(*pair)
+        .select(F.explode("c.entities").alias("entity"), "c.terms")
+        .select("entity", F.explode("terms").alias("term")).distinct()
+    )
+    together = (
+        shared.groupBy(*pair)
+        .agg(F.count("*").alias("n_te"), (F.min("text_key") != F.max("text_key")).alias("often"))
+        .join(near.withColumn("near", F.lit(True)), pair, "left")
+        .filter("often or near")
     )
-    together = shared.groupBy(*pair).agg(F.count("*").alias("n_te")).join(often, pair, "left_semi")
     naming = found.select(entities).groupBy("entity").agg(F.count("*").alias("n_e"))
-    candidates = materialize(together.join(naming, "entity"), "pii-pairs")
+    candidates = materialize(together.join(naming, "entity").drop("often", "near"), "pii-pairs")
     # One pass over all words; each task counts before anything is shuffled.
     holding = (
         docs.select(F.explode(F.expr(_words("text"))).alias("term"))
@@ -186,15 +205,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
         candidates.join(holding, "term")
         .crossJoin(F.broadcast(total))  # one row
         .withColumn("bits", F.log2(F.col("n") / F.col("n_e")))
-        .filter(F.col("bits") >= MIN_BITS)
-        .withColumn(
-            "disclosure",
-            F.log2(F.col("n") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.col("bits"),
-        )
-        .filter(F.col("disclosure") >= GENERALISE)
+        .withColumn("disclosed", F.log2(_at_least("n_te", "n_t") * F.col("n") / F.col("n_e")))
+        # Not divided by the bits: what every row names has none.
+        .filter(F.col("disclosed") >= GENERALISE * F.col("bits"))
         .select(
             *pair,
-            F.when(F.col("disclosure") >= REMOVE, F.lit(REMOVED)).otherwise(F.lit(GENERAL)).alias("kind"),
+            F.when(F.col("disclosed") >= REMOVE * F.col("bits"), F.lit(REMOVED))
+            .otherwise(F.lit(GENERAL)).alias("kind"),
         )
     )
     marked = (

@@ -98,6 +98,28 @@ def test_a_term_is_marked_all_over_the_rows_that_name_the_entity(spark):
     assert {texts[0][t.start : t.end].lower() for t in spans.terms} >= {"zebulon", "ask"}
 
 
+@pytest.mark.parametrize("n, share", [(400, 1), (400, 2), (20, 1), (40, 10)])
+def test_entities_named_seldom_or_often_are_judged(spark, n, share):
+    """Named once, in two copies of a text, in a table of 20 rows, in a quarter of all rows."""
+    texts = [f"filler{'abcdef'[i % 6]} words about nothing at all today" for i in range(n)]
+    for i in range(share):
+        texts[2 * i] = "words about nothing from Zebulon at zeb@corp.example today"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("Zebulon" not in clean[2 * i] and "words about nothing" in clean[2 * i] for i in range(share))
+    assert all(clean[i] == t for i, t in enumerate(texts) if "@" not in t)
+
+
+def test_terms_of_a_domain_are_pooled(spark):
+    """Every address is named once, but together they give the company away."""
+    texts = [f"filler{'abcdef'[i % 6]} words about nothing at all today" for i in range(400)]
+    for i in range(8):
+        texts[i * 9] = f"Corpus words about nothing {'plain words ' * 20} today user{i}@corp.example"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert all("Corpus" not in clean[i * 9] and "words about nothing" in clean[i * 9] for i in range(8))
+
+
 def test_places_of_many_matches_are_those_in_the_text(spark):
     text = "ab@c.de " + " ".join(f"wo{'abcdefghij'[i % 10]}é😀" for i in range(3 * pii._RUN + 5))
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
