@@ -3,18 +3,23 @@
 A naive Bayes classifier over hashed words, fitted on a bounded sample of the
 labelled rows, gives every document a posterior over the domains. Nonnegative
 rates are then fitted so that the expected tokens of each domain,
-sum_i rate_i * tokens_i * posterior_id, meet the targets. The fit is projected
-gradient descent on sum_d (expected_d - target_d)^2 / present_d, with tokens_i as
-the metric of the rates; in it a step of one cannot overshoot. A rate depends on its
-row and the steps alone, so an iteration is one aggregation and keeps no state.
+sum_i rate_i * tokens_i * posterior_id, meet the targets, each within a share of its
+own. The fit is projected gradient descent on the squared gaps in the metric
+G^-1, G_de = sum_i tokens_i * posterior_id * posterior_ie, with tokens_i as the metric
+of the rates; in it a step of one cannot overshoot. Longer steps, one of them in the
+metric of the rates above their floor, are tried with it, and the best is taken. A rate depends on its row and the
+steps alone, so an iteration is one aggregation; every ``WRITTEN`` steps the rates are
+written, so that a path stays short.
 
 Only DataFrame functions; the driver sees a few numbers per domain and step.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +31,13 @@ MAX_LABELLED = 20_000
 TERMS = 65_536
 SMOOTHING = 0.5
 DAMPING = 0.25
-STEPS = 40
+WRITTEN = 20
+#: Of each domain's own target, or of its present tokens if the target is 0.
 TOLERANCE = 1e-3
+#: The fit has ended when a step takes less than this share off the squared gaps.
+STILL = 1e-3
+#: Of the longer steps.
+LEAPS = (8.0, 64.0)
 
 _NO_WORDS = "[^\\p{L}]+"
 _SHAPES = "#*$%&|<>!"
@@ -149,14 +159,13 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
 
 def _rate(steps: list[list[float]], floor: Column) -> Column:
-    """All steps taken from rate one, each projected onto the rates from ``floor`` on."""
-    rate = F.lit(1.0)
+    """All steps taken from column ``_start``, each projected onto the rates from ``floor`` on."""
     if not steps:
-        return F.greatest(floor, rate)
+        return F.greatest(floor, F.col("_start"))
     path = F.array(*[F.array(*map(F.lit, s)) for s in steps])
     return F.aggregate(
         path,
-        rate,
+        F.col("_start"),
         lambda r, s: F.greatest(
             floor,
             r - sum([F.col(f"p{i}") * F.get(s, F.lit(i)) for i in range(1, len(steps[0]))],
@@ -165,6 +174,18 @@ def _rate(steps: list[list[float]], floor: Column) -> Column:
     )
 
 
+def _sums(table: DataFrame, values: list[Column]) -> list[float]:
+    """Of each column, times the tokens."""
+    row = table.agg(*[F.coalesce(F.sum(v * F.col("tokens")), F.lit(0.0)) for v in values]).first()
+    return [float(x) for x in row]
+
+
+def _gaps(now: np.ndarray, want: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """Off by how much of the target, or of the present tokens if the target is 0."""
+    of = np.where(want > 0, want, present)
+    return np.divide(np.abs(now - want), of, out=np.zeros(len(of)), where=of > 0)
+
+
 def mix(
     docs: DataFrame,
     model: Classifier,
@@ -177,32 +198,52 @@ def mix(
     ``targets`` are shares of ``budget`` times the present tokens. ``floor`` is
     the least rate of a row (0 if none), a Column over p0, p1, .... copies is the
     rate rounded up or down by a hash of the row, so that its expectation is
-    the rate. Without tokens the rates stay at one.
+    the rate. Without tokens the rates stay at one. Targets that no rates meet,
+    as may be with a floor, are approached as far as they can be, with a warning
+    that names what is missing.
     """
     floor = F.lit(0.0) if floor is None else floor.cast("double")
-    table = materialize(posteriors(docs, model), "mix-posteriors")
-    n = range(len(model.domains))
-
-    def expected(rate: Column) -> list[float]:
-        row = table.agg(*[
-            F.coalesce(F.sum(rate * F.col("tokens") * F.col(f"p{i}")), F.lit(0.0)) for i in n
-        ]).first()
-        return [float(x) for x in row]
-
-    present = expected(F.lit(1.0))
-    whole = sum(present) * budget
-    want = [whole * targets.get(d, 0.0) / (sum(targets.values()) or 1.0) for d in model.domains]
+    table = materialize(posteriors(docs, model).withColumn("_start", F.lit(1.0)), "mix-posteriors")
+    shares = [F.col(f"p{i}") for i in range(len(model.domains))]
+    n = len(shares)
+    present = np.array(_sums(table, shares))
+    whole = present.sum()
+    products = [a * b for a in shares for b in shares]
+
+    def inverted(sums: list[float]) -> np.ndarray:
+        return np.linalg.pinv(np.array(sums).reshape(n, n), hermitian=True)
+
+    inverse = inverted(_sums(table, products))
+    want = np.array([targets.get(d, 0.0) for d in model.domains])
+    want *= whole * budget / (sum(targets.values()) or 1.0)
     steps: list[list[float]] = []
-    now = expected(_rate(steps, floor))
-    while whole and len(steps) < STEPS:
-        off = [a - b for a, b in zip(now, want)]
-        if max(map(abs, off)) <= TOLERANCE * whole:
+    tried: list[list[list[float]]] = [[]]
+    before = np.inf
+    while whole:
+        sums = np.array(_sums(table, [
+            x for rate in (_rate(path, floor) for path in tried)
+            for x in [*[rate * p for p in shares], *[F.when(rate > floor, x) for x in products]]
+        ])).reshape(len(tried), -1)
+        off = sums[:, :n] - want
+        values = ((off @ inverse) * off).sum(1) / 2
+        best = int(values.argmin())
+        steps, off, value = tried[best], off[best], values[best]
+        left = _gaps(off + want, want, present)
+        if left.max() <= TOLERANCE:
             break
-        steps.append([x / p if p > 0 else 0.0 for x, p in zip(off, present)])
-        now = expected(_rate(steps, floor))
+        if before - value <= STILL * value:
+            missed = ", ".join(f"{d} by {x:.2%}" for d, x in zip(model.domains, left) if x > TOLERANCE)
+            warnings.warn(f"the rates do not meet all targets; missed: {missed}", stacklevel=2)
+            break
+        before = value
+        if len(steps) >= WRITTEN:
+            table, steps = materialize(table.withColumn("_start", _rate(steps, floor)), "mix-rates"), []
+        step = inverse @ off
+        tried = [[*steps, x.tolist()] for x in (step, *[k * step for k in LEAPS], inverted(sums[best, n:]) @ off)]
     coin = F.pmod(F.xxhash64("doc_id", "text_key", F.lit("copies")), F.lit(1 << 20)) / (1 << 20)
-    return table.withColumn("rate", _rate(steps, floor)).withColumn(
-        "copies", F.floor(F.col("rate") + coin)
+    return (
+        table.withColumn("rate", _rate(steps, floor)).drop("_start")
+        .withColumn("copies", F.floor(F.col("rate") + coin))
     )
 
 

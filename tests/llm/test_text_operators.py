@@ -426,6 +426,22 @@ def test_rates_meet_targets(spark, odd_docs, no_docs):
     assert mixing.train(no_docs, labelled.limit(0), ("a", "b")).weights.count() == 0
 
 
+def test_rare_domains_meet_their_own_targets(spark, monkeypatch):
+    """Targets below a thousandth of all tokens count too; a gap that stays is named."""
+    chances = {"prose": (0.999, 0.0009, 0.0001), "rough": (0.1, 0.899, 0.001), "toxic": (0.5, 0.3, 0.2)}
+    rows = [(i, i, 1, 10, *chances[("prose", "prose", "rough", "toxic")[i % 4]]) for i in range(80)]
+    table = spark.createDataFrame(
+        rows, "doc_id long, text_key long, n_rows long, tokens long, p0 double, p1 double, p2 double"
+    ).coalesce(1)
+    monkeypatch.setattr(mixing, "posteriors", lambda docs, model: table)
+    model = mixing.Classifier(tuple(chances), None, ())
+    mixed = mixing.mix(None, model, dict(zip(chances, (0.99, 0.008, 0.002)))).toPandas()
+    shares = [(mixed.rate * mixed.tokens * mixed[f"p{i}"]).sum() / mixed.tokens.sum() for i in range(3)]
+    assert np.allclose(np.array(shares) / [0.99, 0.008, 0.002], 1, atol=1.1e-3)
+    with pytest.warns(UserWarning, match="missed: .*toxic by"):
+        mixing.mix(None, model, dict(zip(chances, (0.99, 0.008, 0.002))), floor=F.lit(1.0))
+
+
 # 10: URLs
 
 
