@@ -84,9 +84,10 @@ def scan(
         docs.select("doc_id", F.xxhash64("text").alias("text_key"),
                     F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         .withColumn("words", words_of(F.col("line")))
-        .filter(F.size("words") - 1 <= F.lit(2 * (bounds[1] or 0)))
+        # Words bound the different bigrams from above only: a line may repeat its notice.
         .filter(F.size("words") - 1 >= F.lit(bounds[0] or 0))
         .withColumn("b", bigrams_of(F.col("words")))
+        .filter(F.size("b") <= F.lit(bounds[1] or 0))
     ) if bounds[1] is not None else docs.select(
         "doc_id", F.lit(0).cast("bigint").alias("text_key"), F.lit(0).alias("line_no"),
         F.array().cast("array<string>").alias("b"),

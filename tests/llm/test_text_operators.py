@@ -379,6 +379,13 @@ def test_license_lines_equal_plain_dice(spark, odd_docs, no_docs):
     assert licenses.scan(docs, {}).count() == 0
 
 
+def test_a_line_that_repeats_its_notice_is_found(spark):
+    line = "Released under the MIT License. " * 20
+    docs = spark.createDataFrame([(1, f"prose\n{line}\nend")], "doc_id long, text string")
+    rows = [(r.line_no, r.license, round(r.dice, 9)) for r in licenses.scan(docs).collect()]
+    assert rows == [(1, "mit", round(plain_dice(line, licenses.TEMPLATES["mit"]), 9))]
+
+
 # 8: language
 
 
