@@ -277,6 +277,18 @@ def test_quality_measures_equal_plain_ones(spark, odd_docs, no_docs, monkeypatch
     assert quality_rules.judge(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["equal", "prose"])
+def test_quality_rules_take_linear_time_under_a_filter(spark, kind):
+    """50,000 words, filtered and aggregated: a word split anew for each word would take hours."""
+    draw = random.Random(8)
+    words = ["long"] * 50_000 if kind == "equal" else draw.choices(["the", *map(str, range(4_000))], k=50_000)
+    frame = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    judged = quality_rules.judge(frame)
+    assert judged.filter("kept").count() == (kind == "prose" and words.count("the") * 100 >= 2 * 50_000)
+    assert judged.filter("not base_failed and n_words > 10").count() == (kind == "prose")
+    assert judged.agg(F.sum("n_repeat_words")).first()[0] == plain_repeats(words)
+
+
 # 6: near duplicates
 
 
