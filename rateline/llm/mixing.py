@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rateline.llm.names import unused
 from rateline.sources.workspace import materialize
 
 BUCKETS = 1 << 18
@@ -249,15 +250,16 @@ def mix(
 
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """The columns and rows of ``docs``, each row as often as its ``copies`` say."""
+    id_, key, n, copy = unused(docs.columns, "_id", "_key", "_n", "_copy")
     known = rates.select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("copies").alias("_n")
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("copies").alias(n)
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (
+        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key)
     )
     names = [f"`{c}`" for c in docs.columns]
     return (
-        docs.join(known.filter("_n > 0"), same)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+        docs.join(known.filter(F.col(n) > 0), same)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
         .select(*names)
     )

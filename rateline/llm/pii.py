@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rateline.llm.names import unused
 from rateline.sources.workspace import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term_general", "term_removed")
@@ -256,19 +257,20 @@ def sanitise(docs: DataFrame) -> DataFrame:
     text stays null; texts without spans are untouched. ``docs`` must have the
     columns doc_id and text; other columns, whatever their names, stay.
     """
+    id_, key, all_spans = unused(docs.columns, "_id", "_key", "_spans")
     known = spans(docs).select(
-        F.col("doc_id").alias("_id"),
-        F.col("text_key").alias("_key"),
-        F.concat("base", "terms").alias("_spans"),
-    ).filter(F.size("_spans") > 0).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (
-        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key")
+        F.col("doc_id").alias(id_),
+        F.col("text_key").alias(key),
+        F.concat("base", "terms").alias(all_spans),
+    ).filter(F.size(all_spans) > 0).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (
+        F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(key)
     )
     marks = ", ".join(f"'{p}'" for p in PLACEHOLDERS)
     clean = F.expr(f"""
-      if(_spans is null, text, transform(array(
+      if({all_spans} is null, text, transform(array(
         aggregate(
-          array_sort(transform(_spans, s -> struct(s.start as start, s.kind as kind, s.end as end))),
+          array_sort(transform({all_spans}, s -> struct(s.start as start, s.kind as kind, s.end as end))),
           cast(struct(0, array()) as struct<at:int,kept:array<string>>),
           (a, s) -> if(s.end <= a.at, a, cast(struct(s.end,
             concat(a.kept, array(substring(text, a.at + 1, greatest(s.start - a.at, 0)),

@@ -16,9 +16,11 @@ ODD_TEXTS = [
 @pytest.fixture
 def odd_docs(spark):
     """Nulls, blanks, repeated rows, a very long text, and columns whose names clash."""
-    rows = [(i, t, "x", 1.0, 2) for i, t in ODD_TEXTS]
+    clashing = ["_id", "_key", "_spans", "_n", "_copy", "_none", "_score", "_toxic", "_judged", "_f"]
+    rows = [(i, t, "x", 1.0, 2, *range(len(clashing))) for i, t in ODD_TEXTS]
+    more = ", ".join(f"{c} int" for c in clashing)
     return spark.createDataFrame(
-        rows, "doc_id long, text string, cls string, score double, base int"
+        rows, f"doc_id long, text string, cls string, score double, base int, {more}"
     )
 
 
