@@ -27,10 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rateline.llm.names import unused
 from rateline.llm.urls import WORDS as BLOCK_WORDS
 from rateline.llm.urls import _probe, blocked_bloom
 from rateline.sources.workspace import materialize
@@ -44,8 +46,9 @@ LIGHT = 2
 #: More parts than differences, so that parts lost as light do not matter.
 SLACK, SPARE = 1.2, 4
 BLOCK = 512
-_ROWS = 500_000
-_CACHE = 500_000
+#: Rows in Python at once, and words or classes remembered by a task.
+_ROWS = 256
+_CACHE = 100_000
 _LONG = np.uint64
 
 
@@ -139,67 +142,55 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = _Hashes()
+def _texts(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:
+    """A few rows at a time, so that a batch of long texts is never in Python objects whole."""
     for batch in batches:
-        sets = [shingles(t, hashes) for t in batch["text"]]
-        yield pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"].astype("Int64"),
-                "text_key": batch["text_key"],
-                "n_shingles": [len(s) for s in sets],
-                "cls": pd.array([class_of(s) if len(s) else None for s in sets], "Int64"),
-            }
-        )
+        for at in range(0, batch.num_rows, _ROWS):
+            some = batch.slice(at, _ROWS)
+            yield tuple(some.column(c).to_pylist() for c in columns)
 
 
-def _emit_signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes, seen = _Hashes(), set()
-    keys, names, held = [], [], 0
-
-    def flush() -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "sig": np.concatenate(keys).view(np.int64),
-                "cls": np.repeat(np.array(names, np.int64), [len(k) for k in keys]),
-            }
-        )
+_MARKS = "doc_id long, text_key long, n_shingles long, cls long, sigs array<long>"
 
-    for batch in batches:
-        for text in batch["text"]:
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    flat = np.concatenate([np.zeros(0, np.int64), *[a.view(np.int64) for a in arrays]])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class and signatures of each text; of copies in one task the first has the signatures."""
+    hashes, seen = _Hashes(), set()
+    for ids, keys, texts in _texts(batches, "doc_id", "text_key", "text"):
+        sizes, names, sigs = [], [], []
+        for text in texts:
             tokens = shingles(text, hashes)
-            if not len(tokens):
-                continue
-            name = class_of(tokens)
-            if name in seen:  # copies in one task; others are told apart after the shuffle
-                continue
-            if len(seen) > _CACHE:
-                seen.clear()
-            seen.add(name)
-            keys.append(signatures(tokens))
+            name = class_of(tokens) if len(tokens) else None
+            new = name is not None and name not in seen
+            if new:
+                if len(seen) > _CACHE:
+                    seen.clear()
+                seen.add(name)
+            sizes.append(len(tokens))
             names.append(name)
-            held += len(keys[-1])
-            if held >= _ROWS:
-                yield flush()
-                keys, names, held = [], [], 0
-    if keys:
-        yield flush()
+            sigs.append(signatures(tokens) if new else np.zeros(0, _LONG))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
+             pa.array(names, pa.int64()), _lists(sigs)],
+            ["doc_id", "text_key", "n_shingles", "cls", "sigs"],
+        )
 
 
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
-    for batch in batches:
-        for at in range(0, len(batch), 256):
-            sets = [shingles(t, hashes) for t in batch["text"].iloc[at : at + 256]]
-            sets = [s for s in sets if len(s)]
-            yield pd.DataFrame(
-                {
-                    "cls": np.array([class_of(s) for s in sets], np.int64),
-                    "n": np.array([len(s) for s in sets], np.int64),
-                    "sketch": [sketch(s) for s in sets],
-                    "tokens": [s.view(np.int64) for s in sets],
-                }
-            )
+    for (texts,) in _texts(batches, "text"):
+        sets = [s for s in (shingles(t, hashes) for t in texts) if len(s)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+             _lists([sketch(s) for s in sets]), _lists(sets)],
+            ["cls", "n", "sketch", "tokens"],
+        )
 
 
 def _close(n_a: Column, n_b: Column) -> Column:
@@ -337,19 +328,22 @@ def _open_pairs(members: DataFrame, labels: DataFrame, features: DataFrame, read
 
 def link_classes(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """cls and comp of every class that is linked with another one."""
-    rows = docs.select("text").mapInPandas(_emit_signatures, "sig long, cls long")
+    rows = marks.select(F.explode("sigs").alias("sig"), "cls")
     part = Window.partitionBy("sig")
     shared = (
         rows.withColumn("lo", F.min("cls").over(part)).withColumn("hi", F.max("cls").over(part))
-        .filter("lo <> hi").select("sig", "cls").distinct()
+        .filter("lo <> hi").distinct()
     )
-    # Parts with the same members say the same; one of them is kept.
+    # Parts with the same members say the same; one of them is kept. Members are the same if
+    # their least, greatest, number and two digests (of 44 and 64 bits) are.
+    alike = ["lo", "hi", "c", "whole", "digest"]
     listed = materialize(
         shared.withColumn("c", F.count("*").over(part))
-        .withColumn("whole", F.sum(F.shiftright(F.xxhash64("cls"), 20)).over(part)),
+        .withColumn("whole", F.sum(F.shiftright(F.xxhash64("cls"), 20)).over(part))
+        .withColumn("digest", F.bit_xor(F.xxhash64("cls", F.lit("digest"))).over(part)),
         "shared-parts",
     )
-    once = listed.groupBy("c", "whole").agg(F.min("sig").alias("sig")).select("sig")
+    once = listed.groupBy(*alike).agg(F.min("sig").alias("sig")).select("sig")
     members = materialize(listed.join(once, "sig", "left_semi").select("sig", "cls", "c"), "members")
 
     # Sets of the classes concerned, from one text each: a filter of bounded size keeps most
@@ -370,7 +364,7 @@ def link_classes(docs: DataFrame, marks: DataFrame) -> DataFrame:
         .select("text")
     )
     features = materialize(
-        texts.mapInPandas(_features, "cls long, n long, sketch array<long>, tokens array<long>"),
+        texts.mapInArrow(_features, "cls long, n long, sketch array<long>, tokens array<long>"),
         "sets",
     )
 
@@ -398,9 +392,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     marks = materialize(
-        docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInPandas(
-            _mark, "doc_id long, text_key long, n_shingles long, cls long"
-        ),
+        docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_mark, _MARKS),
         "marks",
     )
     labels = link_classes(docs, marks.filter("cls is not null"))
@@ -443,17 +435,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .unionByName(named.filter("comp is null").select("doc_id", "text_key"))
     )
     # Plain columns as keys: the join and the removal of equal rows share one shuffle.
-    keys = {
-        "_id": F.coalesce("doc_id", F.lit(0)),
-        "_none": F.col("doc_id").isNull(),
-        "_key": F.col("text_key"),
-    }
-    wanted = kept.select(*[c.alias(k) for k, c in keys.items()])
+    id_, none, key = names = unused(docs.columns, "_id", "_none", "_key")
+    wanted = kept.select(
+        F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("doc_id").isNull().alias(none), F.col("text_key").alias(key)
+    )
     keyed = docs.select(
-        "*", *[(F.xxhash64("text") if k == "_key" else c).alias(k) for k, c in keys.items()]
+        "*",
+        F.coalesce("doc_id", F.lit(0)).alias(id_),
+        F.col("doc_id").isNull().alias(none),
+        F.xxhash64("text").alias(key),
     )
     return (
-        keyed.join(wanted, list(keys), "left_semi")
-        .dropDuplicates(list(keys))
+        keyed.join(wanted, names, "left_semi")
+        .dropDuplicates(names)
         .select(*[f"`{c}`" for c in docs.columns])
     )
