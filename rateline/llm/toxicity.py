@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rateline.llm.names import unused
+
 BUCKETS = 1 << 20
 MAX_LABELLED = 20_000
 #: Buckets kept in the model: those whose log-odds between the labels are surest.
@@ -32,7 +34,8 @@ BATCH = 256
 MOST_WEIGHT = 3.0
 RATE = 0.02
 DECAY = 1e-4
-_CACHE = 300_000
+_CACHE = 100_000
+_TEXTS = 512
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -179,29 +182,36 @@ def score(
 
     ``names`` are the two new columns; columns of ``docs`` so named are replaced.
     Null and empty texts get the bias alone; rows are scored each, whatever
-    their doc_id.
+    their doc_id. Only the texts go to Python, and only the two numbers come back.
     """
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    (judged,) = unused(docs.columns, "_judged")
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         slots: dict[str, int] = {}
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                own = []
-                for word in terms_of(text):
-                    slot = slots.get(word)
-                    if slot is None:
-                        if len(slots) >= _CACHE:
-                            slots.clear()
-                        slot = slots[word] = model.slots.get(bucket_of(word), 0)
-                    if slot:
-                        own.append(slot)
-                rows.append(np.unique(np.array(own, np.int64)))
-            if rows:
-                chances = sigmoid(model.margin(*_layout(rows)))
-                verdicts = (chances >= threshold).astype("int32")
-                yield batch.assign(**dict(zip(names, (chances, verdicts))))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInPandas(scored, f"{fields}, {names[0]} double, {names[1]} int")
+            chances = [np.zeros(0)]
+            for at in range(0, len(batch), _TEXTS):
+                rows = []
+                for text in batch.iloc[at : at + _TEXTS]:
+                    own = []
+                    for word in terms_of(text):
+                        slot = slots.get(word)
+                        if slot is None:
+                            if len(slots) >= _CACHE:
+                                slots.clear()
+                            slot = slots[word] = model.slots.get(bucket_of(word), 0)
+                        if slot:
+                            own.append(slot)
+                    rows.append(np.unique(np.array(own, np.int64)))
+                chances.append(sigmoid(model.margin(*_layout(rows))))
+            found = np.concatenate(chances)
+            yield pd.DataFrame({"score": found, "predicted": (found >= threshold).astype("int32")})
+
+    # Taken as not deterministic, so that a filter on the verdict does not score a text again.
+    scorer = F.pandas_udf(scored, "score double, predicted int").asNondeterministic()
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.withColumn(judged, scorer("text")).select(
+        *kept,
+        F.col(judged).getField("score").alias(names[0]),
+        F.col(judged).getField("predicted").alias(names[1]),
+    )
