@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rateline.llm import jaccard, mixing, packing, pii, toxicity
+from rateline.llm.names import unused
 from rateline.llm.queries import DOMAINS, labelled_domains, table
 from rateline.sources.workspace import materialize, scope
 
@@ -22,8 +23,9 @@ TARGETS = {"prose": 0.99, "rough": 0.01, "toxic": 0.0}
 
 def drop_toxic(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, names=("_score", "_toxic"))
-    return scored.filter("_toxic = 0").select(*[f"`{c}`" for c in docs.columns])
+    score, toxic = unused(docs.columns, "_score", "_toxic")
+    scored = toxicity.score(docs, model, names=(score, toxic))
+    return scored.filter(F.col(toxic) == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
