@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateline.llm import jaccard, langid, licenses, mixing, packing, pii, quality_rules, topk, toxicity, urls
+from rateline.llm import (
+    content_sort,
+    divergence,
+    jaccard,
+    langid,
+    licenses,
+    mixing,
+    packing,
+    pii,
+    quality_rules,
+    topk,
+    toxicity,
+    urls,
+    vector_codes,
+)
 from rateline.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +135,22 @@ def op9_mixing(spark, folder):
 @query
 def op6_ngram_jaccard(spark, folder):
     return jaccard.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op11_source_divergence(spark, folder):
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+@query
+def op12_content_sort(spark, folder):
+    return content_sort.duplicates(table(spark, folder, "documents"), keep="largest")
+
+
+@query
+def op13_vector_codes(spark, folder):
+    coded, books = vector_codes.encode(table(spark, folder, "embeddings"))
+    digest = F.lit(books.digest() if books else hashlib.sha256(b"").hexdigest())
+    return vector_codes.label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", digest.alias("codebooks_sha256")
+    )
