@@ -84,22 +84,19 @@ def fit(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 1) -> Factori
     """Adam on the log loss; deterministic for the same rows in the same order."""
     labels = labels.astype(float)
     n = np.array([max(1.0, (labels == 0).sum()), max(1.0, (labels == 1).sum())])
-    flat = np.concatenate([np.zeros(0, np.int64), *buckets])
-    used, place = np.unique(flat, return_inverse=True)
-    of_one = np.repeat(labels, [len(b) for b in buckets])
-    seen = np.bincount(place, minlength=len(used))
-    ones = np.bincount(place, weights=of_one, minlength=len(used))
-    a, b = ones + 0.5, seen - ones + 0.5
+    # Counts a bucket, and rows as short lists of slots: the driver never holds all terms of all rows at once.
+    seen, ones = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for own, label in zip(buckets, labels):
+        seen[own] += 1
+        ones[own] += int(label)
+    used = np.flatnonzero(seen)
+    a, b = ones[used] + 0.5, seen[used] - ones[used] + 0.5
     surety = np.abs(np.log(a / n[1]) - np.log(b / n[0])) / np.sqrt(1 / a + 1 / b)
     chosen = np.sort(used[np.lexsort((used, -surety))[:TERMS]])
     slots = {int(k): i + 1 for i, k in enumerate(chosen)}
-
-    rows = []
-    for own in buckets:
-        at = np.searchsorted(chosen, own)
-        fits = at < len(chosen)
-        fits[fits] = chosen[at[fits]] == own[fits]
-        rows.append(at[fits] + 1)
+    slot_of = np.zeros(BUCKETS, np.int32)
+    slot_of[chosen] = np.arange(1, len(chosen) + 1)
+    rows = [found[found > 0] for found in (slot_of[own] for own in buckets)]
 
     random, width = np.random.default_rng(seed), len(chosen) + 1
     theta = np.zeros((width, 1 + FACTORS))
@@ -165,10 +162,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> F
         .groupBy("doc_id", "toxic")
         .agg(F.min("text").alias("text"))
         .mapInPandas(_sample_features, "doc_id long, toxic int, buckets binary")
-        .toPandas()
-        .sort_values("doc_id")
+        .toArrow()
+        .sort_by("doc_id")
     )
-    rows = [np.frombuffer(b, np.uint32).astype(np.int64) for b in sample["buckets"]]
+    rows = [np.frombuffer(b.as_buffer(), np.uint32) for b in sample["buckets"]]
     return fit(rows, sample["toxic"].to_numpy())
 
 
