@@ -31,7 +31,7 @@ TOP_TERMS = 10
 #: Bytes of text whose words are sorted at once; a longer text is taken in such pieces.
 SLICE = 4 << 20
 #: Cells of a table of sources by terms, and sources in a block; a table has two blocks at most.
-TABLE = 1 << 20
+TABLE = 1 << 17
 SOURCES = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -246,43 +246,43 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TE
     counts = materialize(term_counts(rows), "term-counts")
     sources = materialize(rows.select("lang", "source").distinct(), "sources")
 
-    kept_terms = materialize(
+    often = materialize(
         counts.groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         .filter(F.col("docs") >= min_documents).select("lang", "term", "n"),
-        "kept-terms",
+        "frequent-terms",
     )
     langs = materialize(
-        kept_terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("total")), "languages"
+        often.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("total"))
+        .join(sources.groupBy("lang").agg(F.count("*").alias("sources")), "lang", "right")
+        .withColumn("kept", F.coalesce("kept", F.lit(0)))
+        .withColumn("blocks", F.ceil(F.col("sources") / SOURCES))
+        .withColumn("width", F.floor(F.lit(TABLE) / F.least(F.col("sources"), F.lit(2 * SOURCES))))
+        .withColumn("tables", F.greatest(F.lit(1), F.ceil(F.col("kept") / F.col("width")))),
+        "languages",
     )
-    shares_of_lang = kept_terms.join(langs, "lang").select("lang", "term", _share("n").alias("q"))
-    has = materialize(
-        counts.join(kept_terms.select("lang", "term"), ["lang", "term"], "left_semi")
-        .select("lang", "source", "term", "n"),
-        "kept-counts",
+    # Places in a table follow the order of its terms; a table holds about ``width`` of them.
+    in_table = Window.partitionBy("lang", "table").orderBy("term")
+    terms = materialize(
+        often.join(langs.select("lang", "total", "kept", "tables"), "lang")
+        .select("lang", "term", _share("n").alias("q"), F.pmod(F.xxhash64("term"), "tables").alias("table"))
+        .withColumn("place", F.row_number().over(in_table) - 1),
+        "kept-terms",
     )
+    has = materialize(counts.select("lang", "source", "term", "n").join(terms, ["lang", "term"]), "kept-counts")
     totals = has.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     sizes = materialize(
-        sources.join(totals, ["lang", "source"], "left")
-        .join(langs.select("lang", "kept"), "lang", "left")
-        .join(sources.groupBy("lang").agg(F.count("*").alias("sources")), "lang")
-        .select(
-            "lang", "source", "sources",
-            F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("total", F.lit(0)).alias("total"),
-        )
-        .withColumn("p_none", _share("0"))
-        .withColumn("blocks", F.ceil(F.col("sources") / SOURCES))
-        .withColumn("width", F.floor(F.lit(TABLE) / F.least(F.col("sources"), F.lit(2 * SOURCES))))
-        .withColumn("tables", F.greatest(F.lit(1), F.ceil(F.col("kept") / F.col("width")))),
+        sources.join(totals, ["lang", "source"], "left").join(langs.select("lang", "kept", "blocks"), "lang")
+        .withColumn("total", F.coalesce("total", F.lit(0)))
+        .withColumn("p_none", _share("0")),
         "source-sizes",
     )
-    shares = has.join(sizes, ["lang", "source"]).select("lang", "source", "term", _share("n").alias("p"))
+    shares = has.join(sizes.select("lang", "source", "total", "kept"), ["lang", "source"]).withColumn("p", _share("n"))
 
     rank = lambda of: F.row_number().over(
         Window.partitionBy("lang", "source").orderBy(F.desc("value"), of)
     )
-    terms = (
-        shares.join(shares_of_lang, ["lang", "term"])
-        .filter("p > q")
+    best = (
+        shares.filter("p > q")
         .select(
             "lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"),
             F.expr("((p - q) * (p - q)) div (p + q)").alias("value"),
@@ -290,24 +290,15 @@ def audit(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, top: int = TOP_TE
         .withColumn("rank", rank("item"))
         .filter(F.col("rank") <= top)
     )
-    pairs = _pairs(shares, kept_terms, sizes).withColumn("rank", rank("item"))
-    return pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank").unionByName(terms)
+    pairs = _pairs(shares, terms, sizes).withColumn("rank", rank("item"))
+    return pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank").unionByName(best)
 
 
-def _pairs(shares: DataFrame, kept_terms: DataFrame, sizes: DataFrame) -> DataFrame:
+def _pairs(shares: DataFrame, terms: DataFrame, sizes: DataFrame) -> DataFrame:
     """lang, source, item, value: the sums over all kept terms, for every two sources of a language."""
-    deal = sizes.select("lang", "tables").distinct()
-    dealt = kept_terms.join(deal, "lang").select(
-        "lang", "term", F.pmod(F.xxhash64("term"), "tables").alias("table")
-    )
-    # Places in a table follow the order of its terms; a table holds about ``width`` of them.
-    placed = materialize(
-        dealt.withColumn("place", F.row_number().over(Window.partitionBy("lang", "table").orderBy("term")) - 1),
-        "placed-terms",
-    )
-    widths = placed.groupBy("lang", "table").agg(F.count("*").alias("width"))
+    widths = terms.groupBy("lang", "table").agg(F.count("*").alias("width"))
     own = (
-        shares.join(placed, ["lang", "term"]).groupBy("lang", "source", "table")
+        shares.groupBy("lang", "source", "table")
         .agg(F.collect_list("place").alias("places"), F.collect_list("p").alias("shares"))
     )
     # Every source takes part in every table of its language, with or without terms there.
