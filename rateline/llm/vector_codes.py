@@ -29,10 +29,10 @@ PARTS = 16
 ENTRIES = 64
 ROUNDS = 2
 #: Boxes over the range of a part's entries, and boxes that a task remembers for a part.
-GRID_CELLS = 4096
+GRID_CELLS = 1296
 _REMEMBERED = 1 << 16
 #: Rows in Python at once.
-_ROWS = 4096
+_ROWS = 2048
 #: Components and entries are below this, so that a squared distance of 2^12 components fits a long.
 LARGEST = 1 << 24
 
@@ -79,38 +79,46 @@ class Cells:
         self.known: dict[bytes, np.ndarray] = {}
         self.measured = 0
 
-    def candidates(self, cell: np.ndarray) -> np.ndarray:
-        """Entries that can be nearest to a point of the box, in order."""
-        low = self.low + cell * self.step
-        high = low + self.step - 1
-        below, above = low - self.entries, self.entries - high
+    def candidates(self, cells: np.ndarray) -> list[np.ndarray]:
+        """For each box the entries that can be nearest to a point of it, in order."""
+        low = (self.low + cells * self.step)[:, None, :]
+        below, above = low - self.entries, self.entries - (low + self.step - 1)
         least = np.maximum(0, np.maximum(below, above))
+        # The far corner of a box is as far away as its near and its far face, whichever is more.
         most = np.maximum(np.abs(below), np.abs(above))
-        most = np.maximum(most, np.maximum(np.abs(self.entries - low), np.abs(high - self.entries)))
-        bound = (most * most).sum(1).min()
-        return np.flatnonzero((least * least).sum(1) <= bound)
+        bound = (most * most).sum(2).min(1)
+        left = (least * least).sum(2) <= bound[:, None]
+        return [np.flatnonzero(row) for row in left]
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest entry, ties to the lower one, and the squared distance."""
-        cells = (points - self.low) // self.step
-        boxes, of_point = np.unique(cells, axis=0, return_inverse=True)
+        boxes, of_point = np.unique((points - self.low) // self.step, axis=0, return_inverse=True)
         of_point = of_point.reshape(-1)
-        order = np.argsort(of_point, kind="stable")
-        ends = np.cumsum(np.bincount(of_point, minlength=len(boxes)))
+        keys = [box.tobytes() for box in boxes]
+        if len(self.known) > _REMEMBERED:
+            self.known.clear()
+        new = [i for i, key in enumerate(keys) if key not in self.known]
+        if new:
+            self.known.update(zip([keys[i] for i in new], self.candidates(boxes[new])))
+        some = [self.known[key] for key in keys]
+        sizes = np.array([len(x) for x in some])
+        # Boxes with about as many entries are looked at together; a short list repeats its last entry.
         found, error = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
-        for box, start, end in zip(boxes, np.append(0, ends[:-1]), ends):
-            key = box.tobytes()
-            some = self.known.get(key)
-            if some is None:
-                if len(self.known) >= _REMEMBERED:
-                    self.known.clear()
-                some = self.known[key] = self.candidates(box)
-            at = order[start:end]
-            apart = points[at][:, None, :] - self.entries[some][None, :, :]
+        classes = np.ceil(np.log2(sizes)).astype(int)
+        for k in np.unique(classes):
+            own = np.flatnonzero(classes == k)
+            width = int(sizes[own].max())
+            lists = np.stack([np.append(some[i], np.repeat(some[i][-1], width - sizes[i])) for i in own])
+            place = np.zeros(len(boxes), np.int64)
+            place[own] = np.arange(len(own))
+            at = np.flatnonzero(classes[of_point] == k)
+            mine = lists[place[of_point[at]]]
+            apart = points[at][:, None, :] - self.entries[mine]
             distances = (apart * apart).sum(2)
             best = distances.argmin(1)
-            found[at], error[at] = some[best], distances[np.arange(len(at)), best]
-            self.measured += distances.size
+            rows = np.arange(len(at))
+            found[at], error[at] = mine[rows, best], distances[rows, best]
+            self.measured += int(sizes[of_point[at]].sum())
         return found, error
 
 
@@ -243,6 +251,7 @@ def encode(
 
 def label_errors(coded: DataFrame) -> DataFrame:
     """``coded`` with label_error, the error summed over equal labels; nulls are one label."""
+    coded = materialize(coded, "codes")
     sums = coded.groupBy(F.col("label").alias("of_label")).agg(F.sum("error").alias("label_error"))
     same = F.col("label").eqNullSafe(F.col("of_label"))
     return coded.join(sums, same, "left").drop("of_label")
