@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateline.functions.scoring import SKILLS
 from rateline.functions.text import name_key
 from rateline.operators.ordering import ordered_neighbours, ordered_position
 
-# Roster positions this close together share a block when gaps are searched.
-POSITION_BLOCK = 1 << 16
+# Places in one long when gaps are searched, and longs that one long of the next level stands for.
+WORD = 64
 
 _GROUP = ["session_id", "coach_id", "skill_index"]
 
@@ -186,19 +186,56 @@ def next_unfinished_skill(coverage: DataFrame) -> DataFrame:
     )
 
 
+def _bit(place: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast({place} % {WORD} as int))")
+
+
+def _first_zero(word: Column) -> Column:
+    """Place of the lowest bit of a long that is not set, WORD if all are."""
+    ones = F.bit_count(word.bitwiseAND(F.bitwise_not(word + 1)))
+    return F.when(word == (1 << 63) - 1, 63).otherwise(ones)
+
+
+def _next_level(words: DataFrame, span: int) -> DataFrame:
+    """WORD words of ``span`` places each as one; the gap is null where all places are scored."""
+    full = F.when(F.col("gap").isNull(), _bit("word")).otherwise(0)
+    at = F.col("word") * WORD + F.col("zero")  # the first word that is not full, or not there
+    return (
+        words.groupBy(*_GROUP, F.expr(f"word div {WORD}").alias("next"))
+        .agg(
+            F.bit_or(full).alias("full"),
+            F.min("gap").alias("gap"),
+            F.sum("scored").alias("scored"),
+            F.any_value("roster_size").alias("roster_size"),
+        )
+        .withColumnRenamed("next", "word")
+        .withColumn("zero", _first_zero(F.col("full")))
+        .select(
+            *_GROUP,
+            "word",
+            "roster_size",
+            "scored",
+            F.when(F.col("zero") == WORD, None)
+            .when(F.expr(f"gap div {span}") == at, F.col("gap"))
+            .otherwise(at * span)
+            .alias("gap"),
+        )
+    )
+
+
 def first_unscored(
     evaluations: DataFrame,
     positions: DataFrame,
     sessions: DataFrame,
     assignments: DataFrame | None = None,
-    block: int = POSITION_BLOCK,
 ) -> DataFrame:
     """0-based place of the first unscored member per session, coach and skill.
 
     The answer is the roster size when none is left. Cost follows the scores:
-    roster x coach x skill is never formed. Positions are cut into blocks, the
-    gap is searched inside each block, and one row per block decides which
-    block holds the first gap, so a huge group is spread over many tasks.
+    roster x coach x skill is never formed. Scored places are bits, folded into longs
+    before the shuffle, so nothing is sorted and a huge group is spread over its longs. A
+    level of longs says which longs below are full; there are as many levels as the largest
+    roster needs.
 
     ``assignments`` (session_id, coach_id, skill_index) adds groups that have
     no score yet.
@@ -210,37 +247,27 @@ def first_unscored(
         evaluations.select("session_id", "player_id", "coach_id", "skill_index")
         .join(of_session, "session_id")
         .join(members, ["player_id", "division_id"])
+    )
+    zero = _first_zero(F.col("bits"))
+    words = (
+        scored.groupBy(*_GROUP, F.expr(f"place div {WORD}").alias("word"))
+        .agg(F.bit_or(_bit("place")).alias("bits"), F.any_value("roster_size").alias("roster_size"))
         .select(
             *_GROUP,
+            "word",
             "roster_size",
-            F.floor(F.col("place") / block).alias("block"),
-            (F.col("place") % block).alias("place"),
-        )
-    )
-    inside = Window.partitionBy(*_GROUP, "block").orderBy("place")
-    nth = F.row_number().over(inside) - 1
-    blocks = (
-        scored.withColumn("nth", nth)
-        .groupBy(*_GROUP, "block")
-        .agg(
-            F.count(F.lit(1)).alias("scored"),
-            F.min(F.when(F.col("place") != F.col("nth"), F.col("nth"))).alias("gap"),
-            F.any_value("roster_size").alias("roster_size"),
+            F.bit_count("bits").cast("bigint").alias("scored"),
+            F.when(zero < WORD, F.col("word") * WORD + zero).alias("gap"),
         )
     )
-    nth_block = F.row_number().over(Window.partitionBy(*_GROUP).orderBy("block")) - 1
-    first_gap = F.coalesce("gap", "scored")
-    candidate = F.when(F.col("block") > F.col("nth_block"), F.col("nth_block") * block).when(
-        first_gap < block, F.col("block") * block + first_gap
-    )
-    answers = (
-        blocks.withColumn("nth_block", nth_block)
-        .withColumn("candidate", candidate)
-        .groupBy(*_GROUP)
-        .agg(
-            F.coalesce(F.min("candidate"), F.sum("scored")).alias("first_unscored"),
-            (F.any_value("roster_size") - F.sum("scored")).alias("remaining"),
-        )
+    span, largest = WORD, positions.agg(F.max("roster_size")).first()[0] or 0
+    while span < largest:
+        words = _next_level(words, span)
+        span *= WORD
+    answers = words.select(
+        *_GROUP,
+        F.coalesce("gap", "scored").alias("first_unscored"),
+        (F.col("roster_size") - F.col("scored")).alias("remaining"),
     )
     if assignments is None:
         return answers

@@ -122,31 +122,30 @@ def test_first_unscored(spark):
     )
     sessions_ = session_table(spark, [(1, 1), (2, 3)])
     wanted = spark.createDataFrame([(1, 1, 3), (1, 1, 0), (2, 1, 0)], "session_id long, coach_id long, skill_index int")
-    for block in (1, 2, 3, 1 << 16):
-        got = coverage.first_unscored(evaluations(spark, scored), positions, sessions_, wanted, block)
-        assert rows(got, "session_id", "coach_id", "skill_index", "first_unscored", "remaining") == [
-            (1, 1, 0, 5, 0), (1, 1, 1, 2, 2), (1, 1, 2, 0, 3), (1, 1, 3, 0, 5), (1, 2, 0, 1, 4), (2, 1, 0, 0, 0),
-        ]
+    got = coverage.first_unscored(evaluations(spark, scored), positions, sessions_, wanted)
+    assert rows(got, "session_id", "coach_id", "skill_index", "first_unscored", "remaining") == [
+        (1, 1, 0, 5, 0), (1, 1, 1, 2, 2), (1, 1, 2, 0, 3), (1, 1, 3, 0, 5), (1, 2, 0, 1, 4), (2, 1, 0, 0, 0),
+    ]
 
 
-@pytest.mark.parametrize("block", [4, 7, 64])
-def test_first_unscored_against_brute_force(spark, block):
+@pytest.mark.parametrize("size", [1, 60, 63, 64, 65, 4_096, 4_100])
+def test_first_unscored_against_brute_force(spark, size):
+    """Rosters of one, two and three levels; gaps at the edges of words, and none at all."""
     draw = random.Random(3)
-    size = 60
-    positions = coverage.roster_positions(
-        players(spark, [(i, f"p{i:03d}", 1) for i in range(1, size + 1)])
+    positions = spark.range(size).select(
+        F.lit(1).cast("long").alias("division_id"), (F.col("id") + 1).alias("player_id"),
+        (F.col("id") + 1).alias("position"), F.lit(size).cast("long").alias("roster_size"),
     )
     scored, want = [], {}
-    for coach in range(1, 40):
-        upto = draw.choice([0, 4, 8, 28, 56, size])
-        chosen = set(range(upto)) | {i for i in range(size) if draw.random() < 0.2}
+    for coach, upto in enumerate([0, 1, 62, 63, 64, 65, 127, 128, 4_032, 4_095, 4_096, 4_097, size - 1, size], 1):
+        chosen = set(range(min(upto, size))) | {i for i in range(size) if i != upto and draw.random() < 0.02}
         scored += [(1, i + 1, coach, 0, 5) for i in chosen]
         if chosen:
-            want[coach] = next((i for i in range(size) if i not in chosen), size)
-    got = coverage.first_unscored(
-        evaluations(spark, scored), positions, session_table(spark, [(1, 1)]), block=block
-    )
-    assert dict((r.coach_id, r.first_unscored) for r in got.collect()) == want
+            want[coach] = (next((i for i in range(size) if i not in chosen), size), size - len(chosen))
+    got = coverage.first_unscored(evaluations(spark, scored), positions, session_table(spark, [(1, 1)]))
+    assert {r.coach_id: (r.first_unscored, r.remaining) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortAggregate" not in plan and "bit_or" in plan
 
 
 def test_coverage_with_and_without_roster(spark):
