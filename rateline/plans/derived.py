@@ -131,3 +131,20 @@ def affiliates(tables: StarTables) -> tuple[DataFrame, DataFrame]:
         (F.col("n_regionkey") + 101).cast("bigint").alias("division_id"),
     )
     return divisions, players
+
+
+def session_ends(tables: StarTables) -> DataFrame:
+    """An end command for every day of the event stream, at its last queue time."""
+    return (
+        tables.stream_submissions()
+        .groupBy("session_id")
+        .agg(F.max("queued_at").alias("ts"))
+        .select(
+            F.lit(1).cast("bigint").alias("lane"),
+            F.col("session_id").alias("seq"),
+            "ts",
+            F.lit("end").alias("command"),
+            F.lit(None).cast("bigint").alias("division_id"),
+            "session_id",
+        )
+    )

@@ -28,6 +28,7 @@ from rateline.sources.snapshot import field_snapshot as take_snapshot
 from rateline.sources.snapshot import load_snapshot, save_snapshot
 from rateline.sources.star import StarTables
 from rateline.sources.workspace import materialize, new_folder
+from rateline.streaming import keyed_state
 from rateline.streaming import sessions as session_stream
 from rateline.streaming import submissions as submission_stream
 
@@ -616,11 +617,14 @@ def stream_progress(t: StarTables) -> DataFrame:
 
 @query
 def stream_keyed_latest(t: StarTables) -> DataFrame:
+    """Sessions end while the queue is read, some before their last scores have come."""
     stream, root = _queue(t)
-    submission_stream.start_keyed_latest(
-        stream, f"{root}/updates", f"{root}/checkpoint"
+    session_stream.drop_commands(derived.session_ends(t), f"{root}/ends", _files(t))
+    ends = session_stream.command_stream(t.spark, f"{root}/ends")
+    keyed_state.start_keyed_latest(
+        stream, f"{root}/updates", f"{root}/checkpoint", ends=ends
     ).awaitTermination()
-    return submission_stream.keyed_latest(t.spark, f"{root}/updates")
+    return keyed_state.keyed_latest(t.spark, f"{root}/updates")
 
 
 @query

@@ -1,8 +1,8 @@
-"""Submission streams: replay, quarantine, live progress, last score per key.
+"""Submission streams: replay, quarantine, live progress.
 
-Every sink is a log of folders ``batch_id=<n>``. A micro-batch that is run
-again overwrites its own folder, so at-least-once delivery has the effect of
-exactly once.
+The replay is a log of folders ``batch_id=<n>``, and a micro-batch that is run again
+overwrites its own folder; progress is a log of runs, which knows the batches it has.
+So at-least-once delivery has the effect of exactly once.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from rateline.operators.latest import latest_evaluations
 from rateline.operators.quality import submission_faults
 from rateline.schemas import EVALUATION_KEY, JSON_TIMES, SUBMISSION_JSON, SUBMISSIONS
 from rateline.sources.json_records import coerce_submissions
-from rateline.sources.workspace import exists
+from rateline.streaming.runs import FANOUT, RunLog
 
 SESSION_BUCKETS = 64
-#: The id of folded history; no stream gives it to a batch.
-FOLDED = -1
+#: Sessions of a batch that are looked up by their ids; beyond that by their buckets alone.
+TOUCHED = 1000
 
 _JUDGED = [
     T.StructField("faults", T.ArrayType(T.StringType())),
@@ -32,7 +32,6 @@ _CHANGES = T.StructType(
         *[f for f in SUBMISSIONS.fields if f.name in (*EVALUATION_KEY, "score", "arrival_seq")],
         T.StructField("d_sum", T.LongType()),
         T.StructField("d_count", T.LongType()),
-        T.StructField("batch_id", T.LongType()),
         T.StructField("session_bucket", T.IntegerType()),
     ]
 )
@@ -132,19 +131,40 @@ def replayed_latest(
     return latest_evaluations(accepted_submissions(spark, log, schema))
 
 
+def progress_log(spark: SparkSession, changes: str, fanout: int = FANOUT) -> RunLog:
+    """Changes to sum and count by key, folded to one row a key; laid out by session."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*EVALUATION_KEY, "session_bucket").agg(
+            F.max_by("score", "arrival_seq").alias("score"),
+            F.max("arrival_seq").alias("arrival_seq"),
+            F.sum("d_sum").alias("d_sum"),
+            F.sum("d_count").alias("d_count"),
+        )
+
+    return RunLog(spark, changes, _CHANGES, fold, ("session_bucket",), ("session_id",), fanout)
+
+
 def start_progress(
-    stream: DataFrame, changes: str, checkpoint: str, interval: str | None = "5 seconds"
+    stream: DataFrame,
+    changes: str,
+    checkpoint: str,
+    interval: str | None = "5 seconds",
+    fanout: int = FANOUT,
 ) -> StreamingQuery:
     """Keep progress current by adding up changes.
 
     A batch keeps the last score of each of its keys, looks the keys up among
-    earlier changes, and writes what that does to sum and count. A corrected
-    score so takes back the old one, and averages are never stored.
+    earlier changes, and adds what that does to sum and count. A corrected
+    score so takes back the old one, and averages are never stored. The log folds itself: a
+    batch reads its sessions' part of a few runs, however many batches came before.
     """
-    spark = stream.sparkSession
+    log = progress_log(stream.sparkSession, changes, fanout)
     bucket = F.pmod(F.xxhash64("session_id"), F.lit(SESSION_BUCKETS)).cast("int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if log.has(checkpoint, batch_id):
+            return
         valid = batch.filter(F.size(submission_faults(batch.columns)) == 0)
         latest = (
             valid.groupBy(*EVALUATION_KEY)
@@ -156,35 +176,30 @@ def start_progress(
             .persist()
         )
         try:
-            change = _change(spark, changes, latest, batch_id)
-            (
-                change.hint("rebalance", "session_bucket")
-                .write.mode("overwrite")
-                .partitionBy("session_bucket")
-                .parquet(f"{changes}/batch_id={batch_id}")
-            )
+            log.commit(checkpoint, batch_id, _change(log, latest))
         finally:
             latest.unpersist()
 
     return _start(stream.writeStream.foreachBatch(write), checkpoint, interval)
 
 
-def _change(spark: SparkSession, changes: str, latest: DataFrame, batch_id: int) -> DataFrame:
-    if not exists(spark, changes):
-        known = spark.createDataFrame([], _CHANGES)
-    else:
-        # Only folders of touched buckets are read (never more numbers than there
-        # are buckets), and only keys of this batch go on to the shuffle.
-        touched = [r[0] for r in latest.select("session_bucket").distinct().collect()]
-        known = (
-            spark.read.schema(_CHANGES)
-            .parquet(changes)
-            .filter((F.col("batch_id") < batch_id) & F.col("session_bucket").isin(touched))
-            .join(latest.select(*EVALUATION_KEY), EVALUATION_KEY, "left_semi")
+def _change(log: RunLog, latest: DataFrame) -> DataFrame:
+    # Only folders of touched buckets are read, of a few sessions only the row groups that may
+    # hold them, and only keys of this batch go on to the shuffle.
+    some = latest.select("session_bucket", "session_id").distinct().limit(TOUCHED + 1).collect()
+    buckets = sorted({r.session_bucket for r in some})
+    known = log.read()
+    if len(some) <= TOUCHED:
+        known = known.filter(
+            F.col("session_bucket").isin(buckets) & F.col("session_id").isin([r.session_id for r in some])
+        )
+    before = (
+        known.join(latest.select(*EVALUATION_KEY), EVALUATION_KEY, "left_semi")
+        .groupBy(*EVALUATION_KEY)
+        .agg(
+            F.max_by("score", "arrival_seq").alias("old_score"),
+            F.max("arrival_seq").alias("old_seq"),
         )
-    before = known.groupBy(*EVALUATION_KEY).agg(
-        F.max_by("score", "arrival_seq").alias("old_score"),
-        F.max("arrival_seq").alias("old_seq"),
     )
     is_new = F.col("old_seq").isNull()
     return (
@@ -203,8 +218,8 @@ def _change(spark: SparkSession, changes: str, latest: DataFrame, batch_id: int)
 
 def progress_so_far(spark: SparkSession, changes: str) -> DataFrame:
     sums = (
-        spark.read.schema(_CHANGES)
-        .parquet(changes)
+        progress_log(spark, changes)
+        .read()
         .groupBy("session_id", "player_id", "skill_index")
         .agg(F.sum("d_sum").alias("_sum"), F.sum("d_count").alias("coach_count"))
     )
@@ -220,59 +235,5 @@ def progress_so_far(spark: SparkSession, changes: str) -> DataFrame:
 
 
 def compact_changes(spark: SparkSession, changes: str, target: str) -> None:
-    """Fold a log of changes to one row per key in a new folder.
-
-    The folded rows stand below every batch id, so a stream that writes to
-    ``target`` from batch 0 on finds every earlier key and overwrites none.
-    """
-    folded = (
-        spark.read.schema(_CHANGES)
-        .parquet(changes)
-        .groupBy(*EVALUATION_KEY, "session_bucket")
-        .agg(
-            F.max_by("score", "arrival_seq").alias("score"),
-            F.max("arrival_seq").alias("arrival_seq"),
-            F.sum("d_sum").alias("d_sum"),
-            F.sum("d_count").alias("d_count"),
-        )
-    )
-    (
-        folded.hint("rebalance", "session_bucket")
-        .write.mode("overwrite")
-        .partitionBy("session_bucket")
-        .parquet(f"{target}/batch_id={FOLDED}")
-    )
-
-
-def start_keyed_latest(
-    stream: DataFrame,
-    log: str,
-    checkpoint: str,
-    interval: str | None = None,
-) -> StreamingQuery:
-    """Keep the last score per key in the state store and emit what changed."""
-    latest = (
-        stream.filter(F.size(submission_faults(stream.columns)) == 0)
-        .groupBy(*EVALUATION_KEY)
-        .agg(
-            F.max_by("score", "arrival_seq").alias("score"),
-            F.max("arrival_seq").alias("arrival_seq"),
-        )
-    )
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
-
-    return _start(
-        latest.writeStream.outputMode("update").foreachBatch(write), checkpoint, interval
-    )
-
-
-def keyed_latest(spark: SparkSession, log: str) -> DataFrame:
-    schema = T.StructType([f for f in _CHANGES.fields if not f.name.startswith(("d_", "session_b"))])
-    return (
-        spark.read.schema(schema)
-        .parquet(log)
-        .groupBy(*EVALUATION_KEY)
-        .agg(F.max_by("score", "arrival_seq").alias("score"))
-    )
+    """A log of changes as one run in a new folder, which streams may go on from."""
+    progress_log(spark, target).commit("compacted", 0, progress_log(spark, changes).folded())

@@ -1,11 +1,14 @@
 """Streams against batch results, with replays and restarts."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from rateline.operators.latest import latest_evaluations
 from rateline.operators.results import session_progress
 from rateline.schemas import EVALUATION_KEY
+from rateline.streaming import keyed_state, runs
 from rateline.streaming import sessions as session_stream
 from rateline.streaming import submissions as stream_ops
 
@@ -71,6 +74,8 @@ def test_out_of_order_files_and_repeated_batch(spark, submitted, tmp_path):
         submitted.filter("arrival_seq between 400 and 799"),
     ]
 
+    log = stream_ops.progress_log(spark, changes)
+
     def run(batch, number):
         valid = batch.filter("score between 1 and 10")
         latest = valid.groupBy(*EVALUATION_KEY).agg(
@@ -80,13 +85,10 @@ def test_out_of_order_files_and_repeated_batch(spark, submitted, tmp_path):
             "session_bucket",
             F.pmod(F.xxhash64("session_id"), F.lit(stream_ops.SESSION_BUCKETS)).cast("int"),
         )
-        stream_ops._change(spark, changes, latest, number).write.mode("overwrite").partitionBy(
-            "session_bucket"
-        ).parquet(f"{changes}/batch_id={number}")
+        return log.commit("queue", number, stream_ops._change(log, latest))
 
-    for number, batch in enumerate(parts):
-        run(batch, number)
-    run(parts[2], 2)
+    assert [run(batch, number) for number, batch in enumerate(parts)] == [True] * 3
+    assert not run(parts[2], 2)
     want = session_progress(latest_evaluations(submitted))
     assert equal(stream_ops.progress_so_far(spark, changes), want)
 
@@ -95,12 +97,115 @@ def test_out_of_order_files_and_repeated_batch(spark, submitted, tmp_path):
     assert equal(stream_ops.progress_so_far(spark, compact), want)
 
 
+def test_a_log_folds_itself_and_survives_a_crash(spark, submitted, tmp_path, monkeypatch):
+    """17 batches in runs of three: few runs are read, a crash before the manifest loses nothing."""
+    root = str(tmp_path)
+    stream_ops.drop_submissions(submitted, f"{root}/in", 17)
+    log = stream_ops.progress_log(spark, f"{root}/ch", 3)
+    publish, crashes = runs.RunLog._publish, []
+
+    def failing(self, manifest):
+        if manifest.version == 7 and not crashes:
+            crashes.append(manifest)
+            raise OSError("lost")
+        publish(self, manifest)
+
+    monkeypatch.setattr(runs.RunLog, "_publish", failing)
+
+    def start():
+        stream = stream_ops.submission_stream(spark, f"{root}/in", 1)
+        stream_ops.start_progress(stream, f"{root}/ch", f"{root}/cp", None, 3).awaitTermination()
+
+    with pytest.raises(Exception, match="lost"):
+        start()
+    assert crashes and log.last().version == 6
+    start()
+    last = log.last()
+    assert last.version == 16 and [r.level for r in last.runs] == [2, 1, 1, 0, 0]  # 9 + 3 + 3 + 1 + 1
+    read = {f.split("/run=")[1].split("/")[0] for f in log.read().inputFiles()}
+    assert read == {r.path for r in last.runs}
+    assert len(log._versions()) == runs.KEPT  # older manifests and their runs are gone
+    assert len(log._names("runs")) <= 5 + 3 * runs.KEPT
+    want = session_progress(latest_evaluations(submitted))
+    assert equal(stream_ops.progress_so_far(spark, f"{root}/ch"), want)
+
+
+def test_a_batch_reads_its_sessions_only(spark, submitted, tmp_path):
+    """The scan is pruned to the buckets of the sessions that the batch has."""
+    changes = str(tmp_path / "ch")
+    stream_ops.drop_submissions(submitted, str(tmp_path / "in"), 2)
+    stream = stream_ops.submission_stream(spark, str(tmp_path / "in"))
+    stream_ops.start_progress(stream, changes, str(tmp_path / "cp"), None).awaitTermination()
+    one = submitted.filter("session_id = 5").limit(3).withColumn(
+        "session_bucket", F.pmod(F.xxhash64("session_id"), F.lit(stream_ops.SESSION_BUCKETS)).cast("int")
+    )
+    change = stream_ops._change(stream_ops.progress_log(spark, changes), one)
+    plan = change._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "session_bucket" in line)
+    assert "PartitionFilters: [isnotnull(session_bucket" in scan and "EqualTo(session_id,5)" in scan
+
+
 def test_keyed_state_keeps_the_last_score(spark, submitted, queue):
     folder, root = queue
     stream = stream_ops.submission_stream(spark, folder, 2)
-    stream_ops.start_keyed_latest(stream, f"{root}/up", f"{root}/cp").awaitTermination()
+    keyed_state.start_keyed_latest(stream, f"{root}/up", f"{root}/cp").awaitTermination()
+    want = latest_evaluations(submitted)
+    assert equal(keyed_state.keyed_latest(spark, f"{root}/up"), want, *EVALUATION_KEY, "score")
+
+
+def _state_rows(query):
+    return query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_state_goes_when_sessions_end_and_late_scores_follow_the_rule(spark, submitted, tmp_path):
+    """After an end no state is left; a score that is late then still counts if it arrived last."""
+    root = str(tmp_path)
+    sessions = [r[0] for r in submitted.select("session_id").distinct().collect()]
+
+    def run(rows, ended):
+        if rows is not None:
+            stream_ops.drop_submissions(rows, f"{root}/in", 2)
+        commands = spark.createDataFrame(
+            [(1, k, "end", None, s) for k, s in enumerate(ended)],
+            "lane long, seq long, command string, division_id long, session_id long",
+        ).withColumn("ts", F.timestamp_micros("seq").cast("timestamp_ntz"))
+        session_stream.drop_commands(commands, f"{root}/ends", 1)
+        query = keyed_state.start_keyed_latest(
+            stream_ops.submission_stream(spark, f"{root}/in"), f"{root}/up", f"{root}/cp",
+            ends=session_stream.command_stream(spark, f"{root}/ends"), buckets=4,
+        )
+        query.awaitTermination()
+        return query
+
+    first = submitted.filter("arrival_seq < 800 and arrival_seq <> 3")
+    assert _state_rows(run(first, [])) > 0
+    assert _state_rows(run(None, sessions)) == 0
+    late = submitted.filter("arrival_seq >= 800 or arrival_seq = 3")  # one of them older than what is known
+    query = run(late, [])
+    assert 0 < _state_rows(query)
+    want = latest_evaluations(submitted)
+    assert equal(keyed_state.keyed_latest(spark, f"{root}/up"), want, *EVALUATION_KEY, "score")
+    assert _state_rows(run(None, sessions)) == 0
+
+
+def test_idle_state_is_released_by_its_timer(spark, submitted, queue):
+    folder, root = queue
+    stream = stream_ops.submission_stream(spark, folder)
+    query = keyed_state.start_keyed_latest(
+        stream, f"{root}/up", f"{root}/cp", interval="1 second", idle_ms=3_000, buckets=2
+    )
+    try:
+        rows, deadline = [], time.time() + 90
+        while time.time() < deadline:
+            rows += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress[-1:] if p["stateOperators"]]
+            if rows and max(rows) > 0 and rows[-1] == 0:
+                break
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert max(rows) > 0 and rows[-1] == 0
     want = latest_evaluations(submitted)
-    assert equal(stream_ops.keyed_latest(spark, f"{root}/up"), want, *EVALUATION_KEY, "score")
+    assert equal(keyed_state.keyed_latest(spark, f"{root}/up"), want, *EVALUATION_KEY, "score")
 
 
 def test_monitor_follows_each_lane(spark, tmp_path):
