@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rateline.functions.scoring import SKILLS
 from rateline.functions.text import name_key
 from rateline.operators.ordering import ordered_neighbours, ordered_position
+from rateline.sources.workspace import materialize
 
 # Places in one long when gaps are searched, and longs that one long of the next level stands for.
 WORD = 64
@@ -242,7 +243,9 @@ def first_unscored(
     """
     of_session = sessions.select(F.col("id").alias("session_id"), "division_id")
     place = F.col("position") - 1
-    members = positions.select("division_id", "player_id", "roster_size", place.alias("place"))
+    members = materialize(
+        positions.select("division_id", "player_id", "roster_size", place.alias("place")), "places"
+    )
     scored = (
         evaluations.select("session_id", "player_id", "coach_id", "skill_index")
         .join(of_session, "session_id")
@@ -260,7 +263,7 @@ def first_unscored(
             F.when(zero < WORD, F.col("word") * WORD + zero).alias("gap"),
         )
     )
-    span, largest = WORD, positions.agg(F.max("roster_size")).first()[0] or 0
+    span, largest = WORD, members.agg(F.max("roster_size")).first()[0] or 0
     while span < largest:
         words = _next_level(words, span)
         span *= WORD
