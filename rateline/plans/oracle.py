@@ -630,6 +630,10 @@ _define(
     "session_history_by_league", "",
     f"SELECT * EXCLUDE (event_type) FROM ({_LEAGUE}) WHERE event_type = 'signup'",
 )
+_define(
+    "stream_session_history", "",
+    f"SELECT * EXCLUDE (event_type) FROM ({_LEAGUE}) WHERE event_type = 'signup'",
+)
 _define(
     "stream_active_session", "",
     f"""SELECT lane, id, division_id, started_at FROM ({_LEAGUE})

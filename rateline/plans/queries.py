@@ -28,7 +28,7 @@ from rateline.sources.snapshot import field_snapshot as take_snapshot
 from rateline.sources.snapshot import load_snapshot, save_snapshot
 from rateline.sources.star import StarTables
 from rateline.sources.workspace import materialize, new_folder
-from rateline.streaming import keyed_state
+from rateline.streaming import keyed_state, lanes
 from rateline.streaming import sessions as session_stream
 from rateline.streaming import submissions as submission_stream
 
@@ -636,3 +636,13 @@ def stream_active_session(t: StarTables) -> DataFrame:
         stream, f"{root}/log", f"{root}/checkpoint", interval=None
     ).awaitTermination()
     return session_stream.active_sessions(t.spark, f"{root}/log")
+
+
+@query
+def stream_session_history(t: StarTables) -> DataFrame:
+    """Commands in no order, over two batches: some come after what followed them."""
+    root, files = new_folder(t.spark, "commands"), _files(t)
+    session_stream.drop_commands(t.league_commands(), f"{root}/in", files, mixed=True)
+    stream = session_stream.command_stream(t.spark, f"{root}/in", max(1, files // 2))
+    lanes.start_lanes(stream, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    return lanes.live_history(t.spark, f"{root}/log")

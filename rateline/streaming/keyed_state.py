@@ -14,6 +14,7 @@ goes when the session is ended once more, or when nothing came for the idle time
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -110,6 +111,17 @@ def _log(spark: SparkSession, root: str) -> RunLog:
     return RunLog(spark, root, _NEWS, fold)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started here keep their state in RocksDB; they keep the settings they started with."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
 def start_keyed_latest(
     stream: DataFrame,
     log: str,
@@ -154,12 +166,8 @@ def start_keyed_latest(
     writer = news.writeStream.outputMode("update").foreachBatch(write)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     writer = writer.option("checkpointLocation", checkpoint).trigger(**trigger)
-    conf, before = stream.sparkSession.conf, stream.sparkSession.conf.get(_PROVIDER)
-    conf.set(_PROVIDER, _ROCKSDB)  # a query keeps the settings that it was started with
-    try:
+    with rocksdb(stream.sparkSession):
         return writer.start()
-    finally:
-        conf.set(_PROVIDER, before)
 
 
 def keyed_latest(spark: SparkSession, log: str) -> DataFrame:

@@ -9,11 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rateline.operators.sessions import lifecycle
 from rateline.schemas import COMMANDS, JSON_TIMES
+from rateline.streaming.runs import RunLog
 from rateline.streaming.submissions import _start
 
 
-def drop_commands(commands: DataFrame, folder: str, files: int) -> None:
-    commands.repartitionByRange(files, "seq").write.mode("append").options(**JSON_TIMES).json(folder)
+def drop_commands(commands: DataFrame, folder: str, files: int, mixed: bool = False) -> None:
+    """Commands as JSON files, one after the other in time, or ``mixed`` so that they come in no order."""
+    spread = commands.repartition(files, F.xxhash64("seq")) if mixed else commands.repartitionByRange(files, "seq")
+    spread.write.mode("append").options(**JSON_TIMES).json(folder)
 
 
 def command_stream(
@@ -36,21 +39,29 @@ def _last(state: DataFrame) -> DataFrame:
     return state.groupBy("lane").agg(F.max(step).alias("step")).select("lane", "step.*")
 
 
+_STATE = T.StructType([f for f in COMMANDS.fields if f.name != "command"])
+
+
+def _log(spark: SparkSession, root: str) -> RunLog:
+    return RunLog(spark, root, _STATE, _last)
+
+
 def start_monitor(
     stream: DataFrame, log: str, checkpoint: str, interval: str | None = "4 seconds"
 ) -> StreamingQuery:
+    """Keep each lane's last command in a log of runs, which folds itself."""
+    kept = _log(stream.sparkSession, log)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        _last_command(batch).write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+        if not kept.has(checkpoint, batch_id):
+            kept.commit(checkpoint, batch_id, _last_command(batch))
 
     return _start(stream.writeStream.foreachBatch(write), checkpoint, interval)
 
 
-_STATE = T.StructType([f for f in COMMANDS.fields if f.name != "command"])
-
-
 def active_sessions(spark: SparkSession, log: str) -> DataFrame:
     """Per lane the session now open; a lane whose last command ended it has none."""
-    last = _last(spark.read.schema(_STATE).parquet(log))
+    last = _log(spark, log).folded()
     return last.filter(F.col("session_id").isNotNull()).select(
         "lane", F.col("session_id").alias("id"), "division_id", F.col("ts").alias("started_at")
     )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from rateline.operators.latest import latest_evaluations
 from rateline.operators.results import session_progress
+from rateline.operators.sessions import session_history
 from rateline.schemas import EVALUATION_KEY
-from rateline.streaming import keyed_state, runs
+from rateline.streaming import keyed_state, lanes, runs
 from rateline.streaming import sessions as session_stream
 from rateline.streaming import submissions as stream_ops
 
@@ -224,6 +225,68 @@ def test_monitor_follows_each_lane(spark, tmp_path):
     assert [(r.lane, r.id, r.division_id) for r in active.collect()] == [(1, 11, 6)]
 
 
+@pytest.fixture(scope="module")
+def commanded(spark):
+    """Half of all commands in one lane, over five days; some starts are refused, some ends end nothing."""
+    i = F.col("id")
+    command = F.when(i % 7 == 3, "end").when(i % 7 == 5, "advance").otherwise("start")
+    return spark.range(600).select(
+        F.when(i % 2 == 0, 1).otherwise(2 + i % 9).cast("long").alias("lane"),
+        i.alias("seq"),
+        F.timestamp_micros(i.cast("long") * 700_000_000).cast("timestamp_ntz").alias("ts"),
+        command.alias("command"),
+        F.when(i % 11 != 0, i % 5 + 1).alias("division_id"),
+        (i + 1000).alias("session_id"),
+    )
+
+
+HISTORY = ["lane", "id", "division_id", "started_at", "ended_at", "active"]
+
+
+def test_lanes_in_no_order_equal_the_batch_history(spark, commanded, tmp_path):
+    root = str(tmp_path)
+    session_stream.drop_commands(commanded, f"{root}/in", 5, mixed=True)
+    session_stream.drop_commands(commanded.filter("seq % 50 = 0"), f"{root}/in", 1)  # come twice
+    stream = session_stream.command_stream(spark, f"{root}/in", 1)
+    lanes.start_lanes(stream, f"{root}/log", f"{root}/cp").awaitTermination()
+    assert equal(lanes.live_history(spark, f"{root}/log"), session_history(commanded), *HISTORY)
+
+
+def test_released_lanes_are_put_in_order_when_commands_come_late(spark, commanded, tmp_path):
+    """State goes to nothing after the idle time, and what comes then still finds its place."""
+    root = str(tmp_path)
+    session_stream.drop_commands(commanded.filter("seq % 3 > 0"), f"{root}/in", 1)
+    stream = session_stream.command_stream(spark, f"{root}/in")
+
+    def run():
+        query = lanes.start_lanes(stream, f"{root}/log", f"{root}/cp", interval="1 second", idle_ms=3_000)
+        try:
+            rows, deadline = [], time.time() + 90
+            while time.time() < deadline and not (rows and max(rows) > 0 and rows[-1] == 0):
+                rows += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress[-1:] if p["stateOperators"]]
+                time.sleep(0.5)
+        finally:
+            query.stop()
+        assert max(rows) > 0 and rows[-1] == 0
+
+    run()
+    session_stream.drop_commands(commanded.filter("seq % 3 = 0"), f"{root}/in", 1)
+    run()
+    assert equal(lanes.live_history(spark, f"{root}/log"), session_history(commanded), *HISTORY)
+
+
+def test_log_of_monitor_stays_bounded(spark, commanded, tmp_path):
+    root = str(tmp_path)
+    session_stream.drop_commands(commanded, f"{root}/in", 20, mixed=True)
+    stream = session_stream.command_stream(spark, f"{root}/in", 1)
+    session_stream.start_monitor(stream, f"{root}/log", f"{root}/cp", None).awaitTermination()
+    log = session_stream._log(spark, f"{root}/log")
+    lanes_ = commanded.select("lane").distinct().count()
+    assert len(log.last().runs) < 2 * runs.FANOUT and log.read().count() < 2 * runs.FANOUT * lanes_
+    want = session_history(commanded).filter("active").select("lane", "id", "division_id", "started_at")
+    assert equal(session_stream.active_sessions(spark, f"{root}/log"), want)
+
+
 def test_payloads_are_coerced_and_refused_lines_kept(spark, tmp_path):
     from rateline.schemas import PAYLOADS
 
