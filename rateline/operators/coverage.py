@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rateline.functions.scoring import SKILLS
+from rateline.functions.scoring import SKILLS, display_number, position_label, score_band
 from rateline.functions.text import name_key
 from rateline.operators.ordering import ordered_neighbours, ordered_position
 from rateline.sources.workspace import materialize
@@ -97,6 +97,51 @@ def unscored_players(
     return roster.join(scored, "player_id", "left_anti")
 
 
+def review_list(
+    evaluations: DataFrame, players: DataFrame, sessions: DataFrame, session_id: int, coach_id: int
+) -> DataFrame:
+    """The roster of a session in order, for each skill with a coach's own score and its band.
+
+    The scores of a player are put side by side in one fold, so that the roster is joined once and
+    a row per skill is made afterwards; what was not scored has neither score nor band.
+    """
+    of_session = sessions.filter(F.col("id") == session_id).select("division_id")
+    members = players.join(of_session, "division_id", "left_semi")
+    shown = members.select(
+        F.col("id").alias("player_id"),
+        display_number(F.col("id")).alias("number"),
+        position_label(F.col("is_pitcher"), F.col("is_catcher")).alias("label"),
+    )
+    own = (
+        evaluations.filter((F.col("session_id") == session_id) & (F.col("coach_id") == coach_id))
+        .groupBy("player_id")
+        .agg(*[F.max(F.when(F.col("skill_index") == i, F.col("score"))).alias(f"s{i}") for i in range(len(SKILLS))])
+    )
+    skills = F.array(
+        *[
+            F.struct(F.lit(i).alias("skill_index"), F.lit(name).alias("skill_name"), F.col(f"s{i}").alias("score"))
+            for i, name in enumerate(SKILLS)
+        ]
+    )
+    return (
+        roster_positions(members)
+        .join(shown, "player_id")
+        .join(own, "player_id", "left")
+        .select("position", "player_id", "number", "name", "label", F.explode(skills).alias("skill"))
+        .select(
+            "skill.skill_index",
+            "skill.skill_name",
+            F.col("position").alias("place"),
+            "player_id",
+            "number",
+            "name",
+            F.nullif("label", F.lit("Player")).alias("position"),
+            "skill.score",
+            score_band(F.col("skill.score")).alias("band"),
+        )
+    )
+
+
 def remaining_counts(
     evaluations: DataFrame, players: DataFrame, sessions: DataFrame
 ) -> DataFrame:

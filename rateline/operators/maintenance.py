@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateline.functions.text import trim_server, valid_name
@@ -10,20 +10,31 @@ from rateline.functions.text import trim_server, valid_name
 _PLAYER_FIELDS = ["name", "age", "is_pitcher", "is_catcher", "division_id"]
 
 
-def apply_player_updates(
-    players: DataFrame, changes: DataFrame, order: str | None = None
-) -> DataFrame:
+def update_fault(columns: list[str]) -> Column:
+    """Why an update is refused, the first reason that holds; NULL for one that is taken."""
+    rules = [
+        ("missing_id", F.coalesce(F.col("id"), F.lit(0)) == 0),
+        ("missing_name", ~valid_name(F.col("name"))),
+    ]
+    if "malformed" in columns:
+        rules.insert(0, ("malformed", F.col("malformed")))
+    if "scientific" in columns:
+        rules.append(("scientific_notation", F.col("scientific")))
+    return F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in rules])
+
+
+def apply_player_updates(players: DataFrame, changes: DataFrame, order: str) -> DataFrame:
     """Replace the five fields of each changed player; NULL is a value here.
 
-    Rows without an id or a name are refused, and ids that do not exist change
-    nothing. Of several accepted changes of one id the last by column ``order`` counts; without
-    it, or among equals, the one that is greatest by its fields.
+    Rows with a fault are refused, and ids that do not exist change
+    nothing. Of several accepted changes of one id the last by column ``order`` counts; among
+    equals, the one that is greatest by its fields.
     """
-    accepted = changes.filter((F.col("id") != 0) & valid_name(F.col("name"))).select(
+    accepted = changes.filter(update_fault(changes.columns).isNull()).select(
         F.col("id").alias("_id"),
         trim_server(F.col("name")).alias("_name"),
         *[F.col(c).alias(f"_{c}") for c in _PLAYER_FIELDS[1:]],
-        (F.col(order) if order else F.lit(0)).alias("_order"),
+        F.col(order).alias("_order"),
     )
     fields = F.struct(*[f"_{c}" for c in _PLAYER_FIELDS])
     last = accepted.groupBy("_id").agg(

@@ -59,13 +59,26 @@ def integrity_report(
 ) -> DataFrame:
     """Every broken rule as ``(rule, key, detail)``.
 
-    Submissions are folded to one row per natural key once, with the number of
-    copies, and all rules about that row are judged in one pass over it: it is
+    Submissions are read once: valid ones are folded to one row per natural key with the
+    number of copies, and a score out of range stays a row of its own beside them (it has a number, so
+    that it folds with nothing). All rules about those rows are judged in one pass: they are
     scanned, shuffled and joined once, not once per rule.
     """
+    valid = F.size(submission_faults(submissions.columns)) == 0
+    in_range = F.coalesce(F.col("score").between(MIN_SCORE, MAX_SCORE), F.lit(False))
     evaluations = (
-        valid_submissions(submissions)
-        .groupBy(*EVALUATION_KEY)
+        submissions.withColumn("_valid", valid)
+        .withColumn("_out", ~in_range)
+        .filter("_valid or _out")
+        .select(
+            *EVALUATION_KEY,
+            "created_at",
+            "arrival_seq",
+            "_out",
+            F.when(F.col("_out"), F.monotonically_increasing_id()).alias("_row"),
+            F.when(F.col("_out"), F.col("score")).alias("_score"),
+        )
+        .groupBy(*EVALUATION_KEY, "_out", "_row", "_score")
         .agg(
             F.min_by("created_at", "arrival_seq").alias("created_at"),
             F.count(F.lit(1)).alias("copies"),
@@ -118,9 +131,9 @@ def integrity_report(
         & ~F.col("session_division").eqNullSafe(F.col("player_division"))
     )
 
-    def finding(rule: str, broken: Column, detail: Column) -> Column:
+    def finding(rule: str, broken: Column, detail: Column, of_score: bool = False) -> Column:
         return F.when(
-            broken,
+            broken & (F.col("_out") if of_score else ~F.col("_out")),
             F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail")),
         )
 
@@ -137,19 +150,13 @@ def integrity_report(
             finding("inactive_session_score", outside, F.col("session_id")),
             finding("player_division_mismatch", mismatch, F.col("player_division")),
             finding("duplicate_key", F.col("copies") > 1, F.col("copies")),
+            finding("score_out_of_range", F.col("_out"), F.col("_score"), of_score=True),
         )
     )
     of_evaluations = joined.select(
         F.concat_ws("/", *EVALUATION_KEY).alias("key"), F.explode(findings).alias("finding")
     ).select("finding.rule", "key", "finding.detail")
 
-    of_submissions = submissions.filter(
-        ~F.coalesce(F.col("score").between(MIN_SCORE, MAX_SCORE), F.lit(False))
-    ).select(
-        F.lit("score_out_of_range").alias("rule"),
-        F.concat_ws("/", *EVALUATION_KEY).alias("key"),
-        F.col("score").cast("string").alias("detail"),
-    )
     skill_index_range = sessions.filter(F.col("current_skill_index") >= len(SKILLS)).select(
         F.lit("session_skill_out_of_range").alias("rule"),
         F.col("id").cast("string").alias("key"),
@@ -167,7 +174,6 @@ def integrity_report(
     )
     report = of_evaluations
     for part in (
-        of_submissions,
         orphan_divisions(players, "orphan_player_division"),
         orphan_divisions(sessions, "orphan_session_division"),
         skill_index_range,

@@ -64,7 +64,7 @@ def player_positions(players: DataFrame) -> DataFrame:
 
 def coach_list(coaches: DataFrame) -> DataFrame:
     """Administrators first, then by name; credentials are not in the model."""
-    keyed = coaches.select("id", "name", "is_admin").withColumn("_rest", ~F.col("is_admin"))
+    keyed = coaches.select("id", "name", "is_admin", "created_at").withColumn("_rest", ~F.col("is_admin"))
     keyed = keyed.withColumn("_key", name_key(F.col("name")))
     return ordered_position(keyed, ["_rest", "_key", "id"], position="place").drop("_rest", "_key")
 
@@ -76,9 +76,16 @@ def coach_by_name(coaches: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def player_search(
-    players: DataFrame, query: str, division_id: int | None = None, limit: int = 8
+    players: DataFrame,
+    query: str,
+    division_id: int | None = None,
+    limit: int = 8,
+    scored: DataFrame | None = None,
 ) -> DataFrame:
-    """The first few players whose name or number contains the query."""
+    """The first few players whose name or number contains the query.
+
+    With ``scored``, a table of the player_ids already scored, each match says whether it is one.
+    """
     text = query.strip().lower()
     if division_id:
         players = players.filter(F.col("division_id") == division_id)
@@ -86,7 +93,11 @@ def player_search(
     found = players.select("id", number.alias("number"), "name").filter(
         F.lower("name").contains(text) | number.contains(text) if text else F.lit(False)
     )
-    return found.orderBy(name_key(F.col("name")), "id").limit(limit)
+    first = found.orderBy(name_key(F.col("name")), "id").limit(limit)
+    if scored is None:
+        return first
+    marks = scored.select(F.col("player_id").alias("id")).distinct().withColumn("_mark", F.lit(True))
+    return first.join(marks, "id", "left").select(*first.columns, F.col("_mark").isNotNull().alias("scored"))
 
 
 def division_counts(divisions: DataFrame, players: DataFrame) -> DataFrame:

@@ -112,10 +112,49 @@ def player_changes(tables: StarTables) -> DataFrame:
             (~F.col("is_pitcher")).alias("is_pitcher"),
             "is_catcher",
             F.lit(None).cast("bigint").alias("division_id"),
+            F.col("id").alias("seq"),
         )
     )
 
 
+def player_update_payloads(tables: StarTables) -> DataFrame:
+    """JSON update requests of customers in debt: numbers, numeric text, gaps, broken lines.
+
+    Every fourth of them is asked for once more, later.
+    """
+    key, name = F.col("c_custkey"), F.upper("c_name")
+    number = (key + 1).cast("string")
+    quoted = lambda c, tail="": F.concat(F.lit('"'), c, F.lit(f'{tail}"'))
+    fields = {
+        "seq": key.cast("string"),
+        "id": F.when(key % 23 == 1, quoted(number, "x")).when(key % 29 == 2, "0").when(
+            key % 5 == 0, quoted(number)
+        ).otherwise(number),
+        "name": _case(key, {2: '"  "', 3: '"0"'}, quoted(F.concat(F.lit(" "), name), " "), 10),
+        "age": _case(
+            key, {0: '""', 1: "null", 2: '"abc"', 3: '"9yrs"', 4: '"1e1"'}, (8 + key % 7).cast("string"), 7
+        ),
+        "is_pitcher": _case(key, {0: "0", 1: '"0"'}, F.lit("true"), 3),
+        "is_catcher": _case(key, {0: "false", 1: "1", 2: "null"}, F.lit('""'), 4),
+        "division_id": _case(key, {0: "null", 1: '"0"', 2: "0"}, (key % 24 + 1).cast("string"), 6),
+    }
+    again = {
+        "seq": (key + (1 << 40)).cast("string"),
+        "id": number,
+        "name": quoted(name, " II"),
+        "division_id": F.lit("1"),
+    }
+
+    def line(of: dict[str, Column]) -> Column:
+        return F.concat(
+            F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), c) for n, c in of.items()]), F.lit("}")
+        )
+
+    first = F.when(key % 37 == 5, F.lit('{"id": 4,')).otherwise(line(fields))
+    lines = F.array_compact(F.array(first, F.when(key % 4 == 0, line(again))))
+    return tables.raw("customer").filter(F.col("c_acctbal") < 0).select(F.explode(lines).alias("line"))
+
+
 def affiliates(tables: StarTables) -> tuple[DataFrame, DataFrame]:
     """Regions as further divisions without sessions, suppliers as their players."""
     divisions = tables.raw("region").select(

@@ -100,7 +100,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "coaches": (
         (),
-        "SELECT s_suppkey + 1 AS id, s_name AS name, s_suppkey = 0 AS is_admin FROM supplier",
+        """SELECT s_suppkey + 1 AS id, s_name AS name, s_suppkey = 0 AS is_admin,
+                  TIMESTAMP '1992-01-01' + to_seconds(s_suppkey) AS created_at FROM supplier""",
     ),
     "submissions": (
         (),
@@ -570,6 +571,30 @@ for _name, _typed in (("player_search", PLAYER_QUERY), ("player_search_number",
             WHERE contains(lower(name), '{_q}') OR contains({_number("id")}, '{_q}')
             ORDER BY lower(name), id LIMIT 8""",
     )
+_define(
+    "player_search_scored",
+    "players evaluations",
+    f"""SELECT id, {_number("id")} AS number, name,
+               id IN (SELECT player_id FROM evaluations WHERE {_mine} AND skill_index = {SKILL}) AS scored
+        FROM players
+        WHERE division_id = {SESSION % 100}
+          AND (contains(lower(name), '{PLAYER_QUERY.strip()}') OR contains({_number("id")}, '{PLAYER_QUERY.strip()}'))
+        ORDER BY lower(name), id LIMIT 8""",
+)
+_define(
+    "review_list",
+    "players evaluations",
+    f"""SELECT s.skill_index, {_skill("s.skill_index")} AS skill_name, p.place, p.id AS player_id,
+               {_number("p.id")} AS number, p.name, nullif({_label()}, 'Player') AS position,
+               e.score, {_band("e.score")} AS band
+        FROM (SELECT *, row_number() OVER (ORDER BY lower(name), id) AS place
+              FROM players WHERE division_id = {SESSION % 100}) p
+        CROSS JOIN (SELECT CAST(unnest(range(4)) AS INTEGER) AS skill_index) s
+        LEFT JOIN (SELECT * FROM evaluations WHERE {_mine}) e
+               ON e.player_id = p.id AND e.skill_index = s.skill_index
+        WHERE {SESSION} IN (SELECT year(o_orderdate) * 100 + c_nationkey + 1
+                            FROM orders JOIN customer ON o_custkey = c_custkey)""",
+)
 _define(
     "division_counts",
     "divisions players",
@@ -580,7 +605,7 @@ _define(
 _define(
     "coach_list",
     "coaches",
-    """SELECT id, name, is_admin,
+    """SELECT id, name, is_admin, created_at,
               row_number() OVER (ORDER BY is_admin DESC, lower(name), id) AS place FROM coaches""",
 )
 _define(
@@ -683,6 +708,39 @@ _define(
        FROM players p LEFT JOIN (SELECT c_custkey + 1 AS id FROM customer
             WHERE c_acctbal < 0 AND (c_custkey + 1) % 10 <> 3) c ON c.id = p.id""",
 )
+_REQUESTED = """
+    SELECT c_custkey AS seq, c_custkey % 37 = 5 AS malformed,
+           CASE WHEN c_custkey % 23 <> 1 AND c_custkey % 29 = 2 THEN 0 ELSE c_custkey + 1 END AS id,
+           CASE c_custkey % 10 WHEN 2 THEN '' WHEN 3 THEN '0' ELSE upper(c_name) END AS name,
+           CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN 0 WHEN 3 THEN 9
+                ELSE 8 + c_custkey % 7 END AS age,
+           c_custkey % 3 = 2 AS is_pitcher, c_custkey % 4 = 1 AS is_catcher,
+           CASE WHEN c_custkey % 6 > 2 THEN c_custkey % 24 + 1 END AS division_id,
+           c_custkey % 7 = 4 AS scientific
+    FROM customer WHERE c_acctbal < 0
+    UNION ALL
+    SELECT c_custkey + 1099511627776, FALSE, c_custkey + 1, upper(c_name) || ' II', NULL, FALSE, FALSE, 1, FALSE
+    FROM customer WHERE c_acctbal < 0 AND c_custkey % 4 = 0"""
+_REASON = """CASE WHEN malformed THEN 'malformed' WHEN id = 0 THEN 'missing_id'
+                  WHEN name IN ('', '0') THEN 'missing_name' WHEN scientific THEN 'scientific_notation' END"""
+_define(
+    "player_updates_from_json",
+    "players",
+    f"""SELECT p.id, CASE WHEN u.id IS NULL THEN p.name ELSE u.name END AS name,
+               CASE WHEN u.id IS NULL THEN p.age ELSE u.age END AS age,
+               CASE WHEN u.id IS NULL THEN p.is_pitcher ELSE u.is_pitcher END AS is_pitcher,
+               CASE WHEN u.id IS NULL THEN p.is_catcher ELSE u.is_catcher END AS is_catcher,
+               CAST(CASE WHEN u.id IS NULL THEN p.division_id ELSE u.division_id END AS BIGINT) AS division_id
+        FROM players p LEFT JOIN (
+            SELECT * FROM ({_REQUESTED}) WHERE {_REASON} IS NULL
+            QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1) u ON u.id = p.id""",
+)
+_define(
+    "player_update_rejects",
+    "",
+    f"""SELECT {_REASON} AS reason, count(*) AS requests FROM ({_REQUESTED})
+        WHERE {_REASON} IS NOT NULL GROUP BY 1""",
+)
 _define(
     "delete_divisions",
     "divisions players starts",
@@ -719,6 +777,14 @@ _define(
     """SELECT * FROM (SELECT * FROM evaluations UNION ALL SELECT * FROM streamed_latest)
        WHERE player_id NOT IN (SELECT id FROM players WHERE division_id IS NOT NULL)""",
 )
+_define(
+    "reset_every_player",
+    "evaluations streamed_latest players",
+    """SELECT 'evaluations' AS kind, count(*) AS before,
+              count(*) FILTER (player_id NOT IN (SELECT id FROM players)) AS left
+       FROM (SELECT * FROM evaluations UNION ALL SELECT * FROM streamed_latest)
+       UNION ALL SELECT 'players', count(*), 0 FROM players""",
+)
 _define(
     "reset_coaches",
     "evaluations coaches",

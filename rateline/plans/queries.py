@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,12 @@ from rateline.plans.parameters import (
     SKILL,
 )
 from rateline.schemas import EVALUATION_KEY, PAYLOADS
-from rateline.sources.json_records import as_json, coerce_submissions, read_submission_json
+from rateline.sources.json_records import (
+    as_json,
+    coerce_submissions,
+    read_submission_json,
+    read_update_json,
+)
 from rateline.sources.roster_text import number_lines, parse_roster, read_roster_lines
 from rateline.sources.snapshot import field_snapshot as take_snapshot
 from rateline.sources.snapshot import load_snapshot, save_snapshot
@@ -137,6 +143,11 @@ def my_all_scores(t: StarTables) -> DataFrame:
     return mine.select("skill_index", "player_id", "score")
 
 
+@query
+def review_list(t: StarTables) -> DataFrame:
+    return coverage.review_list(_evaluations(t), t.players(), _session_divisions(t), SESSION, COACH)
+
+
 @query
 def my_skill_scores(t: StarTables) -> DataFrame:
     mine = results.visible_evaluations(_evaluations(t), COACH, SESSION)
@@ -353,6 +364,13 @@ def player_search(t: StarTables) -> DataFrame:
     return roster.player_search(t.players(), PLAYER_QUERY)
 
 
+@query
+def player_search_scored(t: StarTables) -> DataFrame:
+    """The matches, each with a mark if the coach has scored it in this session for this skill."""
+    mine = results.visible_evaluations(_evaluations(t), COACH, SESSION).filter(F.col("skill_index") == SKILL)
+    return roster.player_search(t.players(), PLAYER_QUERY, SESSION % 100, scored=mine)
+
+
 @query
 def player_search_number(t: StarTables) -> DataFrame:
     """A shown number, which finds a player whose name does not have it."""
@@ -476,7 +494,26 @@ def insert_if_absent(t: StarTables) -> DataFrame:
 
 @query
 def apply_player_updates(t: StarTables) -> DataFrame:
-    return maintenance.apply_player_updates(t.players(), derived.player_changes(t))
+    return maintenance.apply_player_updates(t.players(), derived.player_changes(t), "seq")
+
+
+def _update_requests(t: StarTables) -> DataFrame:
+    folder = new_folder(t.spark, "updates")
+    derived.player_update_payloads(t).write.text(folder)
+    return read_update_json(t.spark, folder)
+
+
+@query
+def player_updates_from_json(t: StarTables) -> DataFrame:
+    """Players after loosely typed requests; the last request taken counts."""
+    return maintenance.apply_player_updates(t.players(), _update_requests(t), "seq")
+
+
+@query
+def player_update_rejects(t: StarTables) -> DataFrame:
+    requests = _update_requests(t)
+    refused = requests.withColumn("reason", maintenance.update_fault(requests.columns))
+    return refused.filter("reason is not null").groupBy("reason").agg(F.count(F.lit(1)).alias("requests"))
 
 
 @query
@@ -517,6 +554,29 @@ def reset_players(t: StarTables) -> DataFrame:
     return left
 
 
+@query
+def reset_every_player(t: StarTables) -> DataFrame:
+    """What a reset of all players takes from scores and players, and what it leaves."""
+    scores = _evaluations(t).unionByName(latest.latest_evaluations(t.stream_submissions()))
+    left, players = maintenance.reset_players(scores, t.players())
+
+    def counted(kind: str, table: DataFrame, column: str, other: str) -> DataFrame:
+        n = F.count(F.lit(1))
+        return table.agg(n.alias(column)).select(
+            F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias(other), column
+        )
+
+    parts = [
+        counted("evaluations", scores, "before", "left"),
+        counted("evaluations", left, "left", "before"),
+        counted("players", t.players(), "before", "left"),
+        counted("players", players, "left", "before"),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("kind").agg(
+        F.sum("before").alias("before"), F.sum("left").alias("left")
+    )
+
+
 @query
 def reset_coaches(t: StarTables) -> DataFrame:
     left, _ = maintenance.reset_coaches(_evaluations(t), t.coaches())

@@ -13,7 +13,7 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 DIVISIONS = _struct(id=_L, name=_S)
-COACHES = _struct(id=_L, name=_S, is_admin=_B)
+COACHES = _struct(id=_L, name=_S, is_admin=_B, created_at=_TS)
 PLAYERS = _struct(id=_L, name=_S, age=_L, is_pitcher=_B, is_catcher=_B, division_id=_L)
 SESSIONS = _struct(
     id=_L,
@@ -72,7 +72,18 @@ PAYLOADS = _struct(
     malformed=_B,
     scientific=_B,
 )
-_PLAYER_JSON =_struct(name=_S, age=_S, is_pitcher=_S, is_catcher=_S, division_id=_S)
+#: ``seq`` numbers the requests as they came.
+UPDATE_JSON = _struct(
+    seq=_L,
+    id=_S,
+    name=_S,
+    age=_S,
+    is_pitcher=_S,
+    is_catcher=_S,
+    division_id=_S,
+    _corrupt_record=_S,
+)
+_PLAYER_JSON = _struct(name=_S, age=_S, is_pitcher=_S, is_catcher=_S, division_id=_S)
 IMPORT_JSON = _struct(
     players=T.ArrayType(_PLAYER_JSON), default_division_id=_S, _corrupt_record=_S
 )

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rateline.functions.text import is_scientific, leading_int
-from rateline.schemas import IMPORT_JSON, SUBMISSION_JSON
+from rateline.functions.text import is_scientific, leading_int, optional_int, reference_id, truthy
+from rateline.schemas import IMPORT_JSON, SUBMISSION_JSON, UPDATE_JSON
 
 _NUMBERS = ("session_id", "player_id", "skill_index", "score")
 
@@ -66,6 +66,30 @@ def read_import_json(spark: SparkSession, path: str) -> DataFrame:
     ).select("player.*", "default_division_id")
 
 
+def read_update_json(spark: SparkSession, path: str) -> DataFrame:
+    """Player updates, one request or an array of them a line, with loosely typed fields coerced.
+
+    A missing id is 0, an age that is missing or empty and division 0 are NULL, and a flag is set
+    unless missing, empty, zero or false. A malformed line keeps its place as a row that
+    ``update_fault`` refuses, and so does one with a number in scientific notation.
+    """
+    raw = spark.read.schema(UPDATE_JSON).option("mode", "PERMISSIVE").json(path)
+    scientific = F.lit(False)
+    for name in ("id", "age", "division_id"):
+        scientific = scientific | is_scientific(F.col(name))
+    return raw.select(
+        "seq",
+        F.coalesce(leading_int(F.col("id")), F.lit(0)).alias("id"),
+        "name",
+        optional_int(F.col("age")).alias("age"),
+        truthy(F.col("is_pitcher")).alias("is_pitcher"),
+        truthy(F.col("is_catcher")).alias("is_catcher"),
+        reference_id(F.col("division_id")).alias("division_id"),
+        F.col("_corrupt_record").isNotNull().alias("malformed"),
+        scientific.alias("scientific"),
+    )
+
+
 def as_json(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row as one JSON object, fields in column order, NULLs written out."""
     record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})

@@ -34,6 +34,8 @@ SCHEMAS = {
 
 # The last nation keeps no players, so that an empty division occurs.
 EMPTY_DIVISION = 25
+# When the first coach was registered; the others followed a second apart.
+FIRST_COACH = "1992-01-01 00:00:00"
 
 
 class StarTables:
@@ -67,6 +69,9 @@ class StarTables:
             _id("s_suppkey").alias("id"),
             F.col("s_name").alias("name"),
             (F.col("s_suppkey") == 0).alias("is_admin"),
+            F.timestamp_add("SECOND", F.col("s_suppkey"), F.lit(FIRST_COACH).cast("timestamp_ntz")).alias(
+                "created_at"
+            ),
         )
 
     def _session_orders(self) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rateline.operators import coverage, latest, maintenance, quality, results, roster, sessions, synth
 from rateline.schemas import COMMANDS, EVALUATIONS, PLAYERS, SUBMISSIONS
+from rateline.sources.json_records import read_update_json
 
 DAY = __import__("datetime").datetime
 
@@ -209,7 +210,7 @@ def test_updates_can_set_null(spark):
         [(1, " c ", None, True, False, None), (2, "0", 3, True, True, 2), (9, "x", 1, True, True, 1)],
         PLAYERS,
     )
-    got = maintenance.apply_player_updates(table, changes)
+    got = maintenance.apply_player_updates(table, changes.withColumn("seq", F.col("id")), "seq")
     assert rows(got, "id", "name", "age", "division_id") == [(1, "c", None, None), (2, "b", 9, 1)]
 
 
@@ -223,6 +224,46 @@ def test_last_of_several_updates_counts(spark):
     assert rows(got, "id", "name", "age", "division_id") == [(1, "c", 2, None)]
 
 
+def test_loosely_typed_updates(spark, tmp_path):
+    lines = [
+        '{"seq": 1, "id": "1", "name": " b ", "age": "", "is_pitcher": "0", "is_catcher": 1, "division_id": 0}',
+        '{"seq": 2, "id": "2x", "name": "c", "age": "abc", "is_pitcher": true, "is_catcher": false, "division_id": "3"}',
+        '{"seq": 3, "id": 2, "name": "d"}', '{"seq": 4, "id": "x", "name": "e"}', '{"seq": 5, "id": 1}',
+        '{"seq": 6, "id": 1, "name": "f", "age": "1e1"}', '{"seq": 7, "id": 1, "name": "0"}', '{"id": ', "nonsense", "[]",
+    ]
+    spark.createDataFrame([(x,) for x in lines], "v string").coalesce(1).write.text(f"{tmp_path}/in")
+    requests = read_update_json(spark, f"{tmp_path}/in")
+    faults = requests.select("seq", maintenance.update_fault(requests.columns).alias("reason"))
+    assert rows(faults.filter("seq is not null"), "seq", "reason") == sorted(
+        [
+            (1, None), (2, None), (3, None), (4, "missing_id"), (5, "missing_name"),
+            (6, "scientific_notation"), (7, "missing_name"),
+        ],
+        key=repr,
+    )
+    assert [r.reason for r in faults.filter("seq is null").collect()] == ["malformed"] * 2
+    table = players(spark, [(1, "a", 1), (2, "z", 1)])
+    got = maintenance.apply_player_updates(table, requests.filter("coalesce(seq, 0) <> 3"), "seq")
+    fields = ["id", "name", "age", "is_pitcher", "is_catcher", "division_id"]
+    assert rows(got, *fields) == [(1, "b", None, False, True, None), (2, "c", 0, True, False, 3)]
+    got = maintenance.apply_player_updates(table, requests, "seq")
+    assert rows(got.filter("id = 2"), *fields) == [(2, "d", None, False, False, None)]
+
+
+def test_review_list_and_search_marks(spark):
+    table = players(spark, [(1, "b", 3), (2, "a", 3), (3, "c", 4)])
+    scored = evaluations(spark, [(7, 1, 9, 0, 8), (7, 1, 9, 3, 2), (7, 2, 8, 0, 5), (6, 2, 9, 0, 5), (7, 1, 9, 5, 4)])
+    review = coverage.review_list(scored, table, session_table(spark, [(7, 3), (6, 4)]), 7, 9)
+    assert review.count() == 8
+    found = rows(review.filter("score is not null"), "skill_index", "place", "player_id", "score", "band")
+    assert found == [(0, 2, 1, 8, "high"), (3, 2, 1, 2, "poor")]
+    assert rows(review.filter("skill_index = 1"), "place", "number", "band") == [(1, "002", None), (2, "001", None)]
+    nothing = coverage.review_list(scored, table, session_table(spark, [(7, 3)]), 5, 9)
+    assert nothing.count() == 0
+    marks = roster.player_search(table, "00", scored=scored.filter("coach_id = 9 and session_id = 7"))
+    assert rows(marks, "id", "scored") == [(1, True), (2, False), (3, False)]
+
+
 def test_create_named(spark):
     existing = spark.createDataFrame([(3, "A")], "id long, name string")
     asked = spark.createDataFrame([(1, " A "), (2, ""), (3, "0"), (4, "B")], "seq long, name string")
@@ -313,6 +354,7 @@ def test_integrity_rules(spark):
         [
             (1, 1, 1, 0, 5, 1, late, late), (1, 1, 1, 0, 6, 2, late, late), (1, 2, 1, 4, 5, 3, late, late),
             (2, 7, 6, 0, 5, 4, late, late), (3, 1, 1, 0, 5, 5, late, late), (1, 1, 1, 1, 11, 6, late, late),
+            (1, 1, 1, 1, 11, 6, late, late), (3, None, 1, 1, None, 7, late, late), (0, 1, 1, 4, 5, 8, late, late),
         ],
         SUBMISSIONS,
     )
@@ -323,6 +365,7 @@ def test_integrity_rules(spark):
             ("player_division_mismatch", "1/2/1/4", "8"), ("orphan_player", "2/7/6/0", "7"),
             ("orphan_coach", "2/7/6/0", "6"), ("inactive_session_score", "2/7/6/0", "2"),
             ("orphan_session", "3/1/1/0", "3"), ("score_out_of_range", "1/1/1/1", "11"),
+            ("score_out_of_range", "1/1/1/1", "11"), ("score_out_of_range", "3/1/1", None),
             ("orphan_player_division", "2", "division 8"), ("orphan_session_division", "2", "division 9"),
             ("session_skill_out_of_range", "1", "5"), ("several_active_sessions", "sessions", "2"),
         ],
