@@ -1,15 +1,15 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
 A vector's components are dealt into ``PARTS`` lists; a list's local score is the
-inner product over its own components. Rows are dealt into blocks, and each
-block of rows meets each block of queries in one task of bounded size.
-
-1. Each block sends, per query, the best rows of every local list with their
-   totals; the k-th best total seen is a safe cutoff.
-2. The cutoff goes back to the blocks. A row whose local scores are all below
-   cutoff / PARTS has a total below the cutoff and cannot be among the best;
-   every other row is collected.
-3. The totals of the collected rows are resolved exactly and ranked.
+inner product over its own components. A task holds one list of a block of rows and of a block
+of queries, and so knows no totals.
+
+1. Each list sends, per query, its best rows. The pairs named by them are resolved, and
+   the k-th best of their totals is a safe cutoff.
+2. The cutoff goes back to the lists, which send every entry whose local score is at least
+   cutoff / PARTS. A row that no list sends has a total below the cutoff.
+3. What was sent is added up, and the local scores that a pair still lacks are worked out
+   from the parts of its two vectors. Only those pairs are ever resolved.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rateline.sources.workspace import materialize
 
 PARTS = 2
 BLOCK_ROWS = 4096
-QUERY_ROWS = 2048
+QUERY_ROWS = 1024
 _SLICE = 256
 _NO_CUTOFF = -(1 << 63)
 
@@ -54,39 +54,26 @@ def quantise(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
-def _matrix(column: pd.Series, dim: int) -> np.ndarray:
-    if not len(column) or not dim:
-        return np.zeros((len(column), dim))
-    x = np.stack(column.to_numpy()).astype(np.int64)
-    # Doubles multiply fast and are exact while every partial sum is under 2^53.
-    biggest = int(np.abs(x).max(initial=0))
-    return x.astype(np.float64) if biggest * biggest * dim < 1 << 52 else x
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.int64)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if a.dtype == b.dtype == np.float64 and a.size and b.size:
-        if np.abs(a).max() * np.abs(b).max() * a.shape[1] < 1 << 52:
-            return a, b
-    return a.astype(np.int64), b.astype(np.int64)
+    """Doubles multiply fast and are exact while every partial sum is under 2^53; else whole numbers."""
+    biggest = [float(np.abs(m.astype(np.float64)).max(initial=0)) for m in (a, b)]
+    bound = biggest[0] * biggest[1] * a.shape[1]
+    if bound >= 1 << 62:
+        raise OverflowError("an inner product may not fit into 64 bits")
+    return (a.astype(np.float64), b.astype(np.float64)) if bound < 1 << 52 else (a, b)
 
 
-def _parts(dim: int) -> list[slice]:
-    edges = np.linspace(0, dim, PARTS + 1).astype(int)
-    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
-
-
-def _slices(
-    queries: pd.DataFrame, rows: pd.DataFrame
-) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[np.ndarray], np.ndarray]]:
-    """For a few queries at a time: they, whose row each is not, local scores, totals."""
-    dim = int(rows["dim"].iloc[0])
-    q, c = _common(_matrix(queries["x"], dim), _matrix(rows["x"], dim))
+def _scores(queries: pd.DataFrame, rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """For a few queries at a time: they, whose row each is not, local scores."""
+    q, c = _common(_matrix(queries["x"]), _matrix(rows["x"]))
     ids = rows["vec_id"].to_numpy()
     for at in range(0, len(queries), _SLICE):
         some = queries.iloc[at : at + _SLICE]
-        local = [q[at : at + _SLICE, p] @ c[:, p].T for p in _parts(dim)]
-        other = some["vec_id"].to_numpy()[:, None] != ids[None, :]
-        yield some, other, local, sum(local)
+        yield some, some["vec_id"].to_numpy()[:, None] != ids[None, :], (q[at : at + _SLICE] @ c.T).astype(np.int64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -99,54 +86,75 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return places[np.lexsort((ids[places], -scores[places]))][:k]
 
 
-_ENTRY = "query_id long, vec_id long, score long"
+_ENTRY = "query_id long, vec_id long, part int, score long"
+
 
+def _heads(k: int):
+    """The best rows of a list, per query."""
 
-def _local_lists(k: int):
     def phase(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(rows):
             ids = rows["vec_id"].to_numpy()
-            for some, other, local, total in _slices(queries, rows):
+            for some, other, local in _scores(queries, rows):
                 for i, query in enumerate(some["vec_id"].to_numpy()):
                     mine = np.flatnonzero(other[i])
-                    heads = [mine[_best(s[i, mine], ids[mine], k)] for s in local]
-                    seen = np.unique(np.concatenate(heads))
-                    best = seen[_best(total[i, seen], ids[seen], k)]
-                    found.append((query, ids[best], total[i, best].astype(np.int64)))
-        return _frame(found)
+                    best = mine[_best(local[i, mine], ids[mine], k)]
+                    found.append((np.full(len(best), query), ids[best], local[i, best]))
+        return _frame(found, key)
 
     return phase
 
 
-def _resolve(k: int):
-    def phase(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(queries) and len(rows):
-            ids = rows["vec_id"].to_numpy()
-            for some, other, local, total in _slices(queries, rows):
-                floor = some["cutoff"].to_numpy()
-                for i, query in enumerate(some["vec_id"].to_numpy()):
-                    near = np.zeros(len(ids), bool)
-                    for scores in local:
-                        near |= scores[i].astype(np.int64) * PARTS >= floor[i]
-                    places = np.flatnonzero(other[i] & near)
-                    best = places[_best(total[i, places], ids[places], k)]
-                    found.append((query, ids[best], total[i, best].astype(np.int64)))
-        return _frame(found)
+def _above(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    """Every entry of a list that is not below the query's cutoff / PARTS."""
+    found = []
+    if len(queries) and len(rows):
+        ids = rows["vec_id"].to_numpy()
+        for some, other, local in _scores(queries, rows):
+            # The least whole number that is not below cutoff / PARTS.
+            least = -((-some["cutoff"].to_numpy()) // PARTS)
+            least = np.where(some["cutoff"].to_numpy() == _NO_CUTOFF, _NO_CUTOFF, least)
+            of, at = np.nonzero(other & (local >= least[:, None]))
+            found.append((some["vec_id"].to_numpy()[of], ids[at], local[of, at]))
+    return _frame(found, key)
+
+
+def _frame(found: list, key) -> pd.DataFrame:
+    """Entries of the list that the second field of ``key`` names."""
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+    query_id, vec_id, score = columns
+    part = np.full(len(score), key[1], np.int32)
+    return pd.DataFrame({"query_id": query_id, "vec_id": vec_id, "part": part, "score": score})
 
-    return phase
 
+def _part(x: Column, part: Column) -> Column:
+    """The components of ``x`` that belong to a list."""
+    edge = lambda p: F.floor(F.size(x) * p / F.lit(PARTS)).cast("int")
+    return F.slice(x, edge(part) + 1, edge(part + 1) - edge(part))
 
-def _frame(found: list) -> pd.DataFrame:
-    if not found:
-        return pd.DataFrame({n: np.zeros(0, np.int64) for n in ("query_id", "vec_id", "score")})
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
-            "vec_id": np.concatenate([f[1] for f in found]),
-            "score": np.concatenate([f[2] for f in found]),
-        }
+
+def _totals(entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Exact totals of the pairs in ``entries``: what lists sent, and the local scores still lacking."""
+    sent = entries.groupBy("query_id", "vec_id").agg(
+        F.sum("score").alias("score"), F.collect_set("part").alias("_sent")
+    )
+    sent = materialize(sent, "sent")
+    lists = F.array(*[F.lit(p) for p in range(PARTS)])
+    lacking = sent.select("query_id", "vec_id", F.explode(F.array_except(lists, "_sent")).alias("part"))
+    mine = rows.select(F.col("vec_id").alias("query_id"), F.col("x").alias("_q"))
+    theirs = rows.select("vec_id", F.col("x").alias("_x"))
+    products = F.zip_with(_part(F.col("_q"), F.col("part")), _part(F.col("_x"), F.col("part")), lambda a, b: a * b)
+    fetched = (
+        lacking.join(mine, "query_id")
+        .join(theirs, "vec_id")
+        .select("query_id", "vec_id", F.aggregate(products, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("score"))
+    )
+    return (
+        sent.select("query_id", "vec_id", "score")
+        .unionByName(fetched)
+        .groupBy("query_id", "vec_id")
+        .agg(F.sum("score").alias("score"))
     )
 
 
@@ -155,43 +163,40 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
 
     Vectors meet only vectors of their own length. Ids count once (see
     ``quantise``). Ties go to the smaller id; a query with fewer than ``k``
-    other rows gets them all, one with none has no row.
+    other rows gets them all, one with none has no row. A score that may not fit into 64 bits
+    raises an error.
     """
     rows = materialize(quantise(vectors, vector), "vectors")
-    n = rows.count()
-    row_blocks = max(1, -(-n // BLOCK_ROWS))
     asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    row_blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     query_blocks = max(1, -(-asked.count() // QUERY_ROWS))
     deal = lambda blocks, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(blocks))
-    dealt = rows.withColumn("row_block", deal(row_blocks, 1)).withColumn(
-        "query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>"))
-    )
-    copies = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)).cast("array<bigint>"))
-    key = ["dim", "query_block", "row_block"]
+    every_block = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    key = ["dim", "part", "query_block", "row_block"]
+
+    def lists(of: DataFrame) -> DataFrame:
+        each = of.withColumn("part", F.explode(F.array(*[F.lit(p) for p in range(PARTS)])))
+        return each.withColumn("x", _part(F.col("x"), F.col("part")))
+
+    dealt = lists(rows.withColumn("row_block", deal(row_blocks, 1)).withColumn("query_block", every_block(query_blocks)))
 
     def meet(queries: DataFrame, phase) -> DataFrame:
-        sent = queries.select(
-            *[F.col(c).alias(c) for c in queries.columns],  # new columns, not those of dealt
-            deal(query_blocks, 2).alias("query_block"),
-            copies.alias("row_block"),
+        sent = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # new columns, not those of dealt
+        sent = lists(
+            sent.withColumn("query_block", deal(query_blocks, 2)).withColumn("row_block", every_block(row_blocks))
         )
         return sent.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(phase, _ENTRY)
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    def ranked(scored: DataFrame, *of: str) -> DataFrame:
+        return scored.withColumn(
+            "rank", F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("score"), "vec_id"))
+        ).filter(F.col("rank") <= k)
+
+    heads = ranked(meet(asked, _heads(k)), "query_id", "part").drop("rank")
     cutoffs = (
-        meet(asked, _local_lists(k))
-        .withColumn("rank", F.row_number().over(order))
+        ranked(_totals(heads, rows), "query_id")
         .filter(F.col("rank") == k)
         .select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
     )
-    return (
-        meet(
-            asked.join(cutoffs, "vec_id", "left").withColumn(
-                "cutoff", F.coalesce("cutoff", F.lit(_NO_CUTOFF))
-            ),
-            _resolve(k),
-        )
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    asked = asked.join(cutoffs, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(_NO_CUTOFF)))
+    return ranked(_totals(meet(asked, _above), rows), "query_id").select("query_id", "rank", "vec_id", "score")

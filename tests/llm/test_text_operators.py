@@ -156,6 +156,36 @@ def test_top_k_equals_brute_force_with_ties_and_bad_rows(spark, monkeypatch):
     assert topk.top_k(frame.limit(0), 5, 50).count() == 0
 
 
+def test_top_k_resolves_few_pairs(spark, monkeypatch):
+    """Pairs of which no list says that they may be among the best are never added up."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
+    random_ = np.random.default_rng(7)
+    middles = random_.normal(size=(20, 16))
+    x = np.round(middles[np.arange(600) % 20] + random_.normal(scale=0.2, size=(600, 16)), 3)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    resolved, totals = [], topk._totals
+
+    def counted(entries, rows):
+        resolved.append(entries.select("query_id", "vec_id").distinct().count())
+        return totals(entries, rows)
+
+    monkeypatch.setattr(topk, "_totals", counted)
+    got = [tuple(r) for r in topk.top_k(frame, 5, 10).orderBy("query_id", "rank").collect()]
+    q = np.floor(x * 256).astype(np.int64)
+    want = []
+    for i in range(0, 600, 10):
+        order = sorted((-(q[i] @ q[j]), j) for j in range(600) if j != i)[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(order)]
+    assert got == want
+    assert len(resolved) == 2 and resolved[0] <= 60 * 10 and resolved[1] < 60 * 599 / 4
+
+
+def test_top_k_says_when_scores_do_not_fit(spark):
+    frame = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1e8, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(frame, 5, 50).count()
+
+
 # 3: toxicity
 
 
