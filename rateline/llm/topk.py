@@ -4,8 +4,9 @@ A vector's components are dealt into ``PARTS`` lists; a list's local score is th
 inner product over its own components. A task holds one list of a block of rows and of a block
 of queries, and so knows no totals.
 
-1. Each list sends, per query, its best rows. The pairs named by them are resolved, and
-   the k-th best of their totals is a safe cutoff.
+1. Each list sends, per query, some of its best rows, ``HEADS`` or so. The pairs named by them are
+   resolved, and the k-th best of their totals is a safe cutoff, whichever rows they are. More heads
+   give a higher cutoff, so that less is sent later.
 2. The cutoff goes back to the lists, which send every entry whose local score is at least
    cutoff / PARTS. A row that no list sends has a total below the cutoff.
 3. What was sent is added up, and the local scores that a pair still lacks are worked out
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from rateline.sources.workspace import materialize
 
 PARTS = 2
+HEADS = 64
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 _SLICE = 256
@@ -187,16 +189,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
         )
         return sent.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(phase, _ENTRY)
 
-    def ranked(scored: DataFrame, *of: str) -> DataFrame:
+    def ranked(scored: DataFrame, most: int, *of: str) -> DataFrame:
         return scored.withColumn(
             "rank", F.row_number().over(Window.partitionBy(*of).orderBy(F.desc("score"), "vec_id"))
-        ).filter(F.col("rank") <= k)
+        ).filter(F.col("rank") <= most)
 
-    heads = ranked(meet(asked, _heads(k)), "query_id", "part").drop("rank")
+    depth = max(k, -(-HEADS // row_blocks))
+    heads = ranked(meet(asked, _heads(depth)), max(k, HEADS), "query_id", "part").drop("rank")
     cutoffs = (
-        ranked(_totals(heads, rows), "query_id")
+        ranked(_totals(heads, rows), k, "query_id")
         .filter(F.col("rank") == k)
         .select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
     )
     asked = asked.join(cutoffs, "vec_id", "left").withColumn("cutoff", F.coalesce("cutoff", F.lit(_NO_CUTOFF)))
-    return ranked(_totals(meet(asked, _above), rows), "query_id").select("query_id", "rank", "vec_id", "score")
+    return ranked(_totals(meet(asked, _above), rows), k, "query_id").select("query_id", "rank", "vec_id", "score")
