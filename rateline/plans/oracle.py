@@ -868,4 +868,15 @@ _define(
                CASE WHEN score NOT BETWEEN 1 AND 10 THEN 'bad_score' END) AS reasons
         FROM streamed WHERE NOT ({_VALID})""",
 )
+_define(
+    "stream_replay_summary",
+    "streamed",
+    f"""SELECT 'submissions' AS kind, count(*) FILTER ({_VALID}) AS accepted,
+               count(*) FILTER (NOT ({_VALID})) AS rejected,
+               count(*) FILTER (arrival_seq % 10 = 0) AS repeated
+        FROM streamed
+        UNION ALL
+        SELECT 'deliveries', count(*) FILTER ({_VALID}), count(*) FILTER (NOT ({_VALID})), 0
+        FROM (SELECT * FROM streamed UNION ALL SELECT * FROM streamed WHERE arrival_seq % 10 = 0)""",
+)
 _define("stream_keyed_latest", "streamed_latest", f"SELECT {KEY}, score FROM streamed_latest")

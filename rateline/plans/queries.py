@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rateline.functions.scoring import skill_name
@@ -612,12 +612,20 @@ def _files(t: StarTables) -> int:
     return int(t.spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _queue(t: StarTables) -> tuple[DataFrame, str]:
-    """The events as a queue of JSON files in two rounds, so that keys come back late."""
+def _queue(
+    t: StarTables, again: Column | None = None, dequeue: str | None = None
+) -> tuple[DataFrame, str]:
+    """The events as a queue of JSON files in two rounds, so that keys come back late.
+
+    What ``again`` is true for comes a second time, in a third round.
+    """
     root, files = new_folder(t.spark, "queue"), _files(t)
-    for part in _halves(t.stream_submissions()):
+    rounds = list(_halves(t.stream_submissions()))
+    if again is not None:
+        rounds.append(t.stream_submissions().filter(again))
+    for part in rounds:
         submission_stream.drop_submissions(part, f"{root}/in", files)
-    return submission_stream.submission_stream(t.spark, f"{root}/in", files), root
+    return submission_stream.submission_stream(t.spark, f"{root}/in", files, dequeue=dequeue), root
 
 
 def _replayed_payloads(t: StarTables) -> str:
@@ -706,3 +714,17 @@ def stream_session_history(t: StarTables) -> DataFrame:
     stream = session_stream.command_stream(t.spark, f"{root}/in", max(1, files // 2))
     lanes.start_lanes(stream, f"{root}/log", f"{root}/checkpoint").awaitTermination()
     return lanes.live_history(t.spark, f"{root}/log")
+
+
+@query
+def stream_replay_summary(t: StarTables) -> DataFrame:
+    """A queue emptied as it is read, some of it sent again: counts by submission and by delivery."""
+    stream, root = _queue(t, again=F.col("arrival_seq") % 10 == 0, dequeue="delete")
+    submission_stream.start_replay(
+        stream, f"{root}/log", f"{root}/checkpoint", counters=f"{root}/counters"
+    ).awaitTermination()
+    summary = submission_stream.replay_summary(t.spark, f"{root}/log")
+    came = submission_stream.delivered(t.spark, f"{root}/counters")
+    rows = [summary.select(F.lit("submissions").alias("kind"), *summary.columns)]
+    rows.append(came.select(F.lit("deliveries").alias("kind"), *came.columns, F.lit(0).cast("bigint").alias("repeated")))
+    return reduce(DataFrame.unionByName, rows)

@@ -7,7 +7,7 @@ So at-least-once delivery has the effect of exactly once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -27,6 +27,7 @@ _JUDGED = [
     T.StructField("faults", T.ArrayType(T.StringType())),
     T.StructField("valid", T.BooleanType()),
 ]
+_COUNTED = T.StructType([T.StructField(n, T.LongType()) for n in ("accepted", "rejected")])
 _CHANGES = T.StructType(
     [
         *[f for f in SUBMISSIONS.fields if f.name in (*EVALUATION_KEY, "score", "arrival_seq")],
@@ -47,9 +48,19 @@ def submission_stream(
     folder: str,
     files_per_trigger: int | None = None,
     bytes_per_trigger: str | None = None,
+    dequeue: str | None = None,
 ) -> DataFrame:
-    """New files of a folder; a batch may be limited by files or by size, not both."""
+    """New files of a folder; a batch may be limited by files or by size, not both.
+
+    With ``dequeue`` a file leaves the queue once the batch that read it is committed, on the
+    way to the next batch: "delete" removes it, any other value is the folder it is moved to. What fails
+    before the commit is still there to be read again.
+    """
     reader = _limited(spark.readStream, files_per_trigger, bytes_per_trigger)
+    if dequeue is not None:
+        reader = reader.option("cleanSource", "delete" if dequeue == "delete" else "archive")
+        if dequeue != "delete":
+            reader = reader.option("sourceArchiveDir", dequeue)
     return reader.schema(SUBMISSIONS).options(**JSON_TIMES).json(folder)
 
 
@@ -86,26 +97,58 @@ def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
 
 
 def start_replay(
-    stream: DataFrame, log: str, checkpoint: str, interval: str | None = None
+    stream: DataFrame,
+    log: str,
+    checkpoint: str,
+    interval: str | None = None,
+    counters: str | None = None,
 ) -> StreamingQuery:
     """Append each batch to the log, split into accepted and quarantined rows.
 
     A row that can never be accepted is set aside and blocks nothing behind it;
-    a failed write is retried from the checkpoint.
+    a failed write is retried from the checkpoint. With ``counters``, a folder, the rows of each batch are
+    counted while they are written; a batch that is run again replaces its counts.
     """
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.withColumn("faults", submission_faults(batch.columns))
-            .withColumn("valid", F.size("faults") == 0)
-            .write.mode("overwrite")
-            .partitionBy("valid")
-            .parquet(f"{log}/batch_id={batch_id}")
+        rows = batch.withColumn("faults", submission_faults(batch.columns)).withColumn(
+            "valid", F.size("faults") == 0
         )
+        seen = Observation("replay")
+        if counters is not None:
+            rows = rows.observe(
+                seen, F.count_if("valid").alias("accepted"), F.count_if(~F.col("valid")).alias("rejected")
+            )
+        rows.write.mode("overwrite").partitionBy("valid").parquet(f"{log}/batch_id={batch_id}")
+        if counters is not None:
+            counted = spark.createDataFrame([(seen.get["accepted"], seen.get["rejected"])], _COUNTED)
+            counted.coalesce(1).write.mode("overwrite").parquet(f"{counters}/batch_id={batch_id}")
 
     return _start(stream.writeStream.foreachBatch(write), checkpoint, interval)
 
 
+def delivered(spark: SparkSession, counters: str) -> DataFrame:
+    """What came in all batches, copies included: accepted and rejected."""
+    return spark.read.schema(_COUNTED).parquet(counters).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _COUNTED.names]
+    )
+
+
+def replay_summary(spark: SparkSession, log: str, schema: T.StructType = SUBMISSIONS) -> DataFrame:
+    """Accepted and rejected submissions, each once, and how many copies came besides.
+
+    A queue that is emptied after the upload sends an item again when it fails between the two. Copies are
+    rows that are equal in all columns, in whichever files or batches they came.
+    """
+    once = _replayed(spark, log, schema).groupBy(*schema.names, "valid").agg(F.count(F.lit(1)).alias("copies"))
+    return once.agg(
+        F.count_if("valid").alias("accepted"),
+        F.count_if(~F.col("valid")).alias("rejected"),
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("repeated"),
+    )
+
+
 def _replayed(spark: SparkSession, log: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(T.StructType([*schema.fields, *_JUDGED])).parquet(log)
 
@@ -120,8 +163,8 @@ def accepted_submissions(
 def quarantined_submissions(
     spark: SparkSession, log: str, schema: T.StructType = SUBMISSIONS
 ) -> DataFrame:
-    """Refused rows with the reasons, and of payloads the line as it came."""
-    rows = _replayed(spark, log, schema).filter(~F.col("valid"))
+    """Refused rows with the reasons, and of payloads the line as it came; what came twice is there once."""
+    rows = _replayed(spark, log, schema).filter(~F.col("valid")).dropDuplicates(schema.names)
     return rows.select(*schema.names, F.concat_ws(",", "faults").alias("reasons"))
 
 

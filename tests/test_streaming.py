@@ -53,6 +53,38 @@ def test_replay_equals_batch(spark, submitted, queue):
     assert {r.reasons for r in bad.collect()} == {"bad_score"}
 
 
+def test_queue_is_emptied_after_commit_and_copies_count_once(spark, submitted, tmp_path):
+    """A batch fails after its write and is run again; nothing leaves the queue before its commit."""
+    folder, root = str(tmp_path / "in"), str(tmp_path)
+    stream_ops.drop_submissions(submitted, folder, 4)
+    stream_ops.drop_submissions(submitted.filter("arrival_seq % 3 = 0"), folder, 2)  # sent again
+
+    def files():
+        return len(list((tmp_path / "in").glob("part-*")))
+
+    def replay(stream):
+        return stream_ops.start_replay(stream, f"{root}/log", f"{root}/cp", counters=f"{root}/n")
+
+    stream = stream_ops.submission_stream(spark, folder, 2, dequeue=f"{root}/done")
+    failing = stream.withColumn("score", F.when(F.col("arrival_seq") == 700, F.raise_error(F.lit("lost"))).otherwise(F.col("score")))
+    with pytest.raises(Exception, match="lost"):
+        replay(failing).awaitTermination()
+    assert files() >= 4  # one of three batches at most has been committed
+    replay(stream).awaitTermination()
+    deadline = time.time() + 30
+    while files() > 2 and time.time() < deadline:  # the last batch leaves on the way to the next one
+        time.sleep(0.2)
+    assert files() == 2
+    good = submitted.filter("score between 1 and 10")
+    n, all_, thirds = good.count(), submitted.count(), submitted.filter("arrival_seq % 3 = 0").count()
+    assert tuple(stream_ops.replay_summary(spark, f"{root}/log").first()) == (n, all_ - n, thirds)
+    came = stream_ops.delivered(spark, f"{root}/n").first()
+    assert came.accepted == n + good.filter("arrival_seq % 3 = 0").count()
+    assert came.accepted + came.rejected == all_ + thirds
+    assert stream_ops.quarantined_submissions(spark, f"{root}/log").count() == all_ - n
+    assert equal(stream_ops.replayed_latest(spark, f"{root}/log"), latest_evaluations(submitted))
+
+
 def test_restart_goes_on_where_it_stopped(spark, submitted, tmp_path):
     root, folder = str(tmp_path), str(tmp_path / "in")
     half = submitted.filter("arrival_seq < 700"), submitted.filter("arrival_seq >= 700")
