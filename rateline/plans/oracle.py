@@ -19,6 +19,7 @@ from rateline.plans.parameters import (
     DEFAULT_DIVISION,
     DIVISION,
     PENDING_FROM,
+    PLAYER_LETTERS,
     PLAYER_NUMBER,
     PLAYER_QUERY,
     SESSION,
@@ -302,6 +303,7 @@ _define(
             SELECT {KEY}, min(arrival_seq) AS first_seq, max(arrival_seq) AS arrival_seq
             FROM valid GROUP BY {KEY}) USING ({KEY})""",
 )
+SQL["evaluations_upsert_keyed"] = SQL["evaluations_upsert"]
 _define(
     "evaluations_latest_queued",
     "valid",
@@ -367,6 +369,7 @@ _define(
     f"""SELECT k.*, e.score IS NOT NULL AS scored, e.score
         FROM (SELECT DISTINCT {KEY} FROM submissions) k LEFT JOIN evaluations e USING ({KEY})""",
 )
+SQL["my_score_lookup_keyed"] = SQL["my_score_lookup"]
 _define(
     "skill_labels",
     "submissions",
@@ -571,6 +574,13 @@ for _name, _typed in (("player_search", PLAYER_QUERY), ("player_search_number",
             WHERE contains(lower(name), '{_q}') OR contains({_number("id")}, '{_q}')
             ORDER BY lower(name), id LIMIT 8""",
     )
+SQL["player_search_indexed"] = SQL["player_search"]
+_define(
+    "player_search_letters",
+    "players",
+    f"""SELECT id, {_number("id")} AS number, name FROM players
+        WHERE contains(lower(name), '{PLAYER_LETTERS}') OR contains({_number("id")}, '{PLAYER_LETTERS}')""",
+)
 _define(
     "player_search_scored",
     "players evaluations",
@@ -683,6 +693,39 @@ _define(
         WHERE h.active""",
 )
 
+SQL["field_snapshot_chain"] = SQL["field_snapshot"]
+
+
+def _snapshot(where: str) -> str:
+    return f"""SELECT h.id AS session_id, p.id AS player_id, {_number("p.id")} AS number, p.name,
+               {_label()} AS position, e.coach_id, e.skill_index, e.score
+        FROM history h JOIN players p ON p.division_id = h.division_id
+        LEFT JOIN ({_latest(f"(SELECT * FROM valid WHERE {where})")}) e
+          ON e.session_id = h.id AND e.player_id = p.id
+        WHERE h.active"""
+
+
+def _changes(step: str, old: str, new: str) -> str:
+    picked = ", ".join(
+        f"CASE WHEN b.player_id IS NULL THEN a.{c} ELSE b.{c} END AS {c}"
+        for c in "player_id number name position coach_id skill_index score session_id".split()
+    )
+    same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in KEY.split(", "))
+    return f"""SELECT {picked}, '{step}' AS step,
+               CASE WHEN a.player_id IS NULL THEN 'added' WHEN b.player_id IS NULL THEN 'gone'
+                    ELSE 'changed' END AS op
+        FROM {old} a FULL JOIN {new} b ON {same}
+        WHERE a.player_id IS NULL OR b.player_id IS NULL OR a.score IS DISTINCT FROM b.score"""
+
+
+_define(
+    "snapshot_changes",
+    "history players valid",
+    f"""WITH one AS ({_snapshot("(arrival_seq >> 4) % 2 = 0")}), two AS ({_snapshot("(arrival_seq >> 4) % 2 = 1")}),
+             three AS ({_snapshot("TRUE")})
+        {_changes("2-3", "two", "three")} UNION ALL {_changes("3-1", "three", "one")}""",
+)
+
 _define(
     "append_with_ids",
     "players",

@@ -8,3 +8,5 @@ DEFAULT_DIVISION = 4
 PLAYER_QUERY = " 00012 "
 PENDING_FROM = "2001-01-01"
 PLAYER_NUMBER = "014"
+PLAYER_LETTERS = "9"
+KEYED_BUCKETS = 16

@@ -9,20 +9,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rateline.functions.scoring import skill_name
-from rateline.operators import coverage, latest, maintenance, quality, results, roster, synth
+from rateline.operators import (
+    coverage,
+    latest,
+    maintenance,
+    quality,
+    results,
+    roster,
+    search_index,
+    synth,
+)
 from rateline.operators import sessions as sessions_ops
 from rateline.plans import derived
 from rateline.plans.parameters import (
     COACH,
     DEFAULT_DIVISION,
     DIVISION,
+    KEYED_BUCKETS,
     PENDING_FROM,
+    PLAYER_LETTERS,
     PLAYER_NUMBER,
     PLAYER_QUERY,
     SESSION,
     SKILL,
 )
 from rateline.schemas import EVALUATION_KEY, PAYLOADS
+from rateline.sources import changes, keyed
 from rateline.sources.json_records import (
     as_json,
     coerce_submissions,
@@ -30,8 +42,8 @@ from rateline.sources.json_records import (
     read_update_json,
 )
 from rateline.sources.roster_text import number_lines, parse_roster, read_roster_lines
+from rateline.sources.snapshot import SNAPSHOT, SNAPSHOT_KEY, load_snapshot, save_snapshot
 from rateline.sources.snapshot import field_snapshot as take_snapshot
-from rateline.sources.snapshot import load_snapshot, save_snapshot
 from rateline.sources.star import StarTables
 from rateline.sources.workspace import materialize, new_folder
 from rateline.streaming import keyed_state, lanes
@@ -100,6 +112,18 @@ def evaluations_upsert(t: StarTables) -> DataFrame:
     return latest.upsert_evaluations(latest.upsert_evaluations(stored, two), one)
 
 
+@query
+def evaluations_upsert_keyed(t: StarTables) -> DataFrame:
+    """The same batches onto versions bucketed by key, which are not shuffled again."""
+    one, two = _halves(t.submissions())
+    folder = new_folder(t.spark, "keyed")
+    first = latest.latest_evaluations(one, keep_order=True)
+    keyed.publish_keyed(first, folder, 1, KEYED_BUCKETS)
+    keyed.upsert_keyed(two, folder, 2)
+    keyed.upsert_keyed(one, folder, 3)
+    return keyed.read_keyed(t.spark, folder)
+
+
 def _halves(submissions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All rows in two batches that share keys, each with earlier and later arrivals."""
     first = F.xxhash64("arrival_seq") >= 0
@@ -164,6 +188,19 @@ def my_score_lookup(t: StarTables) -> DataFrame:
     )
 
 
+@query
+def my_score_lookup_keyed(t: StarTables) -> DataFrame:
+    """The lookup on a version bucketed by key: only the keys asked for are shuffled."""
+    folder = new_folder(t.spark, "keyed")
+    scores = latest.latest_evaluations(t.submissions(), keep_order=True)
+    keyed.publish_keyed(scores, folder, 1, KEYED_BUCKETS)
+    keys = t.submissions().select(*EVALUATION_KEY).distinct()
+    stored = keyed.read_keyed(t.spark, folder).select(*EVALUATION_KEY, "score")
+    return stored.join(keys, EVALUATION_KEY, "right").select(
+        *EVALUATION_KEY, F.col("score").isNotNull().alias("scored"), "score"
+    )
+
+
 @query
 def skill_labels(t: StarTables) -> DataFrame:
     name = skill_name(F.col("skill_index"))
@@ -377,6 +414,23 @@ def player_search_number(t: StarTables) -> DataFrame:
     return roster.player_search(t.players(), PLAYER_NUMBER)
 
 
+def _search_index(t: StarTables) -> str:
+    folder = new_folder(t.spark, "search-index")
+    search_index.save_index(t.players(), folder, version=1)
+    return folder
+
+
+@query
+def player_search_indexed(t: StarTables) -> DataFrame:
+    return search_index.search(t.spark, _search_index(t), PLAYER_QUERY)
+
+
+@query
+def player_search_letters(t: StarTables) -> DataFrame:
+    """Every match of a text shorter than the pieces of the index."""
+    return search_index.matches(t.spark, _search_index(t), PLAYER_LETTERS)
+
+
 @query
 def division_counts(t: StarTables) -> DataFrame:
     return roster.division_counts(t.divisions(), t.players())
@@ -462,6 +516,32 @@ def field_snapshot(t: StarTables) -> DataFrame:
     return load_snapshot(t.spark, folder)
 
 
+def _snapshots(t: StarTables) -> list[DataFrame]:
+    """Three snapshots of the active sessions: by some of the scores, by the others, by all."""
+    active = materialize(_history(t).filter("active"), "active")
+    some = F.shiftright("arrival_seq", 4) % 2 == 0
+    batches = (t.submissions().filter(some), t.submissions().filter(~some), t.submissions())
+    return [take_snapshot(active, t.players(), latest.latest_evaluations(b)) for b in batches]
+
+
+@query
+def field_snapshot_chain(t: StarTables) -> DataFrame:
+    """The third version, read from a full copy and two change sets."""
+    folder = new_folder(t.spark, "snapshot-chain")
+    for version, table in enumerate(_snapshots(t), 1):
+        changes.save_version(table, folder, version, SNAPSHOT_KEY, partition_by=("session_id",))
+    return changes.read_version(t.spark, folder, SNAPSHOT, SNAPSHOT_KEY)
+
+
+@query
+def snapshot_changes(t: StarTables) -> DataFrame:
+    """What is added, changed and gone from the second snapshot to the third, and back to the first."""
+    one, two, three = _snapshots(t)
+    steps = [("2-3", two, three), ("3-1", three, one)]
+    found = [changes.change_set(a, b, SNAPSHOT_KEY).withColumn("step", F.lit(n)) for n, a, b in steps]
+    return reduce(DataFrame.union, found).withColumnRenamed(changes.OP, "op")
+
+
 # --- maintenance -----------------------------------------------------------------
 
 

@@ -22,6 +22,9 @@ SNAPSHOT = T.StructType(
     ]
 )
 
+#: Names a row; coach and skill are missing where a player has no score.
+SNAPSHOT_KEY = ["session_id", "player_id", "coach_id", "skill_index"]
+
 
 def field_snapshot(sessions: DataFrame, players: DataFrame, evaluations: DataFrame) -> DataFrame:
     """The roster of each active session with the scores given so far."""

@@ -94,32 +94,48 @@ def publish(
     Readers look only at announced folders, so a half-written one is never
     seen, and a replay leaves the files of those who already read alone.
     """
-    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    attempt = new_attempt()
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/v={version}/{attempt}")
-    spark = df.sparkSession
+    announce(df.sparkSession, root, version, attempt)
+
+
+def new_attempt() -> str:
+    """A folder name that sorts after those of earlier attempts."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+
+
+def announce(spark: SparkSession, root: str, version: int, attempt: str) -> None:
+    """Make a written attempt the one that readers of the version take."""
     said = spark.createDataFrame([(version, attempt)], _VERSIONS)
     said.coalesce(1).write.mode("append").parquet(f"{root}/announced")
 
 
-def _announced(spark: SparkSession, root: str) -> DataFrame:
+def announced(spark: SparkSession, root: str) -> DataFrame:
+    """Every version and attempt; none where nothing was published yet."""
+    if not exists(spark, f"{root}/announced"):
+        return spark.createDataFrame([], _VERSIONS)
     return spark.read.schema(_VERSIONS).parquet(f"{root}/announced")
 
 
 def current_version(spark: SparkSession, root: str) -> int:
-    return _announced(spark, root).agg(F.max("version")).first()[0]
+    return announced(spark, root).agg(F.max("version")).first()[0]
 
 
 def read_published(
     spark: SparkSession, root: str, schema: T.StructType, version: int | None = None
 ) -> DataFrame:
     """The announced version, the last one unless named, by its last attempt."""
+    return spark.read.schema(schema).parquet(published_folder(spark, root, version))
+
+
+def published_folder(spark: SparkSession, root: str, version: int | None = None) -> str:
     if version is None:
         version = current_version(spark, root)
-    attempts = _announced(spark, root).filter(F.col("version") == version)
+    attempts = announced(spark, root).filter(F.col("version") == version)
     attempt = attempts.agg(F.max("attempt")).first()[0]
     if attempt is None:
         raise ValueError(f"version {version} is not announced")
-    return spark.read.schema(schema).parquet(f"{root}/v={version}/{attempt}")
+    return f"{root}/v={version}/{attempt}"
