@@ -395,38 +395,98 @@ def test_linked_sets_share_a_signature(size):
 # 7: licences
 
 
-def plain_dice(line, template):
-    words = [re.findall(r"[^\W_]+", s.lower()) for s in (line, template)]
-    a, b = (set(zip(w, w[1:])) for w in words)
-    return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
-
-
-def test_license_lines_equal_plain_dice(spark, odd_docs, no_docs):
-    draw, lines = random.Random(8), []
-    for text in licenses.TEMPLATES.values():
-        lines.append(text)
-        for n in (1, 2, 4):
-            lines.append(mutated(draw, text.split(), n))
-        lines.append(f"{text} and some more words follow")
+def plain_words(text):
+    """Words with their lines."""
+    return [(w, i) for i, line in enumerate((text or "").split("\n")) for w in re.findall(r"[^\W_]+", line.lower())]
+
+
+def plain_notices(text, templates, threshold):
+    words = plain_words(text)
+    pairs, windows = [(a[0], b[0]) for a, b in zip(words, words[1:])], []
+    for name, template in templates.items():
+        known = [w for w, _ in plain_words(template)]
+        all_known = list(zip(known, known[1:]))
+        wanted, longest = set(all_known), int(len(all_known) * (2 - threshold) / threshold + 1e-9)
+        for i, first in enumerate(pairs):
+            if first not in wanted:
+                continue
+            found = []
+            for j in range(i, min(len(pairs), i + longest)):
+                if pairs[j] not in wanted:
+                    continue
+                window = pairs[i : j + 1]
+                shared = len(wanted.intersection(window))
+                n = shared + sum(p not in wanted for p in window)
+                dice = 2.0 * shared / (n + len(wanted))
+                if dice >= threshold:
+                    found.append((-dice, j, shared, n))
+            if found:
+                dice, j, shared, n = min(found)
+                windows.append((-shared, dice, name, i, j, n))
+    kept = []
+    for w in sorted(windows):
+        if all(w[4] < k[3] or k[4] < w[3] for k in kept):
+            kept.append(w)
+    return {
+        (words[i][1], words[j + 1][1], i, name, -shared, n, round(-dice, 9)) for shared, dice, name, i, j, n in kept
+    }
+
+
+def found_notices(docs, *args):
+    found = {}
+    for r in licenses.scan(docs, *args).collect():
+        row = (r.line_no, r.last_line, r.word_no, r.license, r.shared, r.bigrams, round(r.dice, 9))
+        assert row not in found.setdefault(r.doc_id, set())
+        found[r.doc_id].add(row)
+    return found
+
+
+@pytest.mark.parametrize("threshold", [licenses.THRESHOLD, 0.5])
+def test_notices_equal_plain_windows(spark, odd_docs, no_docs, threshold):
+    """Whole, damaged, cut, wrapped over lines, within lines, one after the other."""
+    draw, texts, notices = random.Random(8), [], list(licenses.TEMPLATES.values())
+    for text in notices:
+        texts += [text, text.upper(), f"{text} and some more words follow", f"of the software {text}"]
+        texts.append(re.sub(" ", lambda m: draw.choice([" ", " ", "\n# "]), text))
+        texts += [mutated(draw, text.split(), n) for n in (1, 2, 4)]
+        texts.append(" ".join(text.split()[: len(text.split()) * 3 // 4]))
+    for _ in range(25):
+        parts = [mutated(draw, draw.choice(notices).split(), draw.randint(0, 3)) for _ in range(draw.randint(2, 6))]
+        texts.append(draw.choice([" ", "\n", " prose between "]).join(parts))
+    short = [t for t in licenses.TEMPLATES.values() if len(t) < 90]
+    pool = " ".join(short).split()
+    texts += [" ".join(draw.choices(pool, k=draw.randint(2, 200))) for _ in range(25)]
+    texts += [" ".join(draw.choices(short, k=60)), "", "license", "mit license " * 50]
     docs = spark.createDataFrame(
-        [(i, f"prose of some words\n{x}\n\nend") for i, x in enumerate(lines)] * 2, "doc_id long, text string"
+        [(i, f"prose of some words\n{x}\n\nend") for i, x in enumerate(texts)] * 2, "doc_id long, text string"
     )
-    got = {r.doc_id: (r.line_no, r.license, round(r.dice, 9)) for r in licenses.scan(docs).collect()}
-    want = {}
-    for i, line in enumerate(lines):
-        best = min((-plain_dice(line, t), name) for name, t in licenses.TEMPLATES.items())
-        if -best[0] >= licenses.THRESHOLD:
-            want[i] = (1, best[1], round(-best[0], 9))
-    assert got == want
+    want = {i: plain_notices(f"prose of some words\n{x}\n\nend", licenses.TEMPLATES, threshold) for i, x in enumerate(texts)}
+    assert found_notices(docs, licenses.TEMPLATES, threshold) == {i: w for i, w in want.items() if w}
     assert licenses.scan(odd_docs).count() == 0 and licenses.scan(no_docs).count() == 0
-    assert licenses.scan(docs, {}).count() == 0
-
-
-def test_a_line_that_repeats_its_notice_is_found(spark):
-    line = "Released under the MIT License. " * 20
-    docs = spark.createDataFrame([(1, f"prose\n{line}\nend")], "doc_id long, text string")
-    rows = [(r.line_no, r.license, round(r.dice, 9)) for r in licenses.scan(docs).collect()]
-    assert rows == [(1, "mit", round(plain_dice(line, licenses.TEMPLATES["mit"]), 9))]
+    assert licenses.scan(docs, {}).count() == 0 and licenses.scan(docs, {"one": "word", "none": ""}).count() == 0
+
+
+def test_notices_wherever_they_stand(spark):
+    """Wrapped over lines, at the end of a line, two in one line, many in a row, and a whole licence."""
+    words = licenses.TEMPLATES["mit-permission"].split()
+    texts = [
+        "prose\n# " + " ".join(words[:12]) + "\n# " + " ".join(words[12:]) + "\nend",
+        "Copyright 2020 Acme. Released under the MIT License.",
+        licenses.TEMPLATES["apache-2.0-header"] + " and " * 20 + licenses.TEMPLATES["mit"],
+        "prose\n" + "Released under the MIT License. " * 400,
+        licenses.TEMPLATES["mit-text"],
+        "licence permission software " * 2000,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted((r.doc_id, r.line_no, r.last_line, r.license) for r in licenses.scan(docs).collect())
+    assert [r for r in rows if r[0] != 3] == [
+        (0, 1, 2, "mit-permission"),
+        (1, 0, 0, "mit"),
+        (2, 0, 0, "apache-2.0-header"),
+        (2, 0, 0, "mit"),
+        (4, 0, 0, "mit-text"),
+    ]
+    assert [r for r in rows if r[0] == 3] == [(3, 1, 1, "mit")] * 400
 
 
 # 8: language
