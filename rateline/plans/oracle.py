@@ -693,6 +693,14 @@ _define(
         WHERE h.active""",
 )
 
+_define(
+    "stream_pending_overlay",
+    "streamed",
+    f"""SELECT {KEY}, arg_max(score, arrival_seq) AS score,
+               coalesce(max(arrival_seq) FILTER (arrival_seq % 3 = 2)
+                        > coalesce(max(arrival_seq) FILTER (arrival_seq % 3 <> 2), -1), false) AS is_pending
+        FROM streamed WHERE {_VALID} GROUP BY {KEY}""",
+)
 SQL["field_snapshot_chain"] = SQL["field_snapshot"]
 
 

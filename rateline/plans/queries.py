@@ -46,7 +46,7 @@ from rateline.sources.snapshot import SNAPSHOT, SNAPSHOT_KEY, load_snapshot, sav
 from rateline.sources.snapshot import field_snapshot as take_snapshot
 from rateline.sources.star import StarTables
 from rateline.sources.workspace import materialize, new_folder
-from rateline.streaming import keyed_state, lanes
+from rateline.streaming import keyed_state, lanes, overlay
 from rateline.streaming import sessions as session_stream
 from rateline.streaming import submissions as submission_stream
 
@@ -763,6 +763,24 @@ def stream_progress(t: StarTables) -> DataFrame:
     return submission_stream.progress_so_far(t.spark, f"{root}/changes")
 
 
+@query
+def stream_pending_overlay(t: StarTables) -> DataFrame:
+    """Queued scores over versions: some are sent, and a version published, before others are queued."""
+    root, rows = new_folder(t.spark, "overlay"), t.stream_submissions()
+    part = [rows.filter(F.col("arrival_seq") % 3 == i) for i in range(3)]
+    first = latest.latest_evaluations(part[0], keep_order=True)
+    keyed.publish_keyed(first, f"{root}/stored", 1, KEYED_BUCKETS)
+    for version, queued in enumerate(part[1:], 2):
+        submission_stream.drop_submissions(queued, f"{root}/in", _files(t))
+        stream = submission_stream.submission_stream(t.spark, f"{root}/in")
+        overlay.start_live_overlay(
+            stream, f"{root}/stored", f"{root}/state", f"{root}/checkpoint"
+        ).awaitTermination()
+        if version == 2:
+            keyed.upsert_keyed(queued, f"{root}/stored", version)
+    return overlay.live_overlay(t.spark, f"{root}/stored", f"{root}/state")
+
+
 @query
 def stream_keyed_latest(t: StarTables) -> DataFrame:
     """Sessions end while the queue is read, some before their last scores have come."""

@@ -5,11 +5,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from rateline.operators.latest import latest_evaluations
+from rateline.operators.latest import latest_evaluations, pending_overlay
 from rateline.operators.results import session_progress
 from rateline.operators.sessions import session_history
 from rateline.schemas import EVALUATION_KEY
-from rateline.streaming import keyed_state, lanes, runs
+from rateline.sources import keyed
+from rateline.streaming import keyed_state, lanes, overlay, runs
 from rateline.streaming import sessions as session_stream
 from rateline.streaming import submissions as stream_ops
 
@@ -368,3 +369,52 @@ def test_folded_history_is_kept_by_a_new_stream(spark, tmp_path):
     live.start_progress(stream, folded, str(tmp_path / "c2"), None).awaitTermination()
     got = {r.player_id: r.avg_score for r in live.progress_so_far(spark, folded).collect()}
     assert got == {1: 5.0, 2: 8.0, 3: 7.0}
+
+
+def test_live_overlay_equals_the_batch_one_after_each_version(spark, submitted, tmp_path, monkeypatch):
+    """Versions are published under the stream; a batch fails after its write and is run again."""
+    root = str(tmp_path)
+    stored, state, checkpoint = f"{root}/stored", f"{root}/state", f"{root}/cp"
+    part = [submitted.filter(F.col("arrival_seq") % 4 == i) for i in range(4)]
+    keyed.publish_keyed(latest_evaluations(part[0], keep_order=True), stored, 1, 4)
+    assert equal(
+        overlay.live_overlay(spark, stored, state), pending_overlay(latest_evaluations(part[0]), submitted.limit(0))
+    )
+
+    def run():
+        stream = stream_ops.submission_stream(spark, f"{root}/in", 2)
+        overlay.start_live_overlay(stream, stored, state, checkpoint).awaitTermination()
+
+    def expected(sent, queued):
+        held = latest_evaluations(sent, keep_order=True)
+        newer = queued.filter("score between 1 and 10").join(
+            held.select(*EVALUATION_KEY, F.col("arrival_seq").alias("held")), EVALUATION_KEY, "left"
+        ).filter("held is null or arrival_seq > held")
+        return pending_overlay(held, newer)
+
+    stream_ops.drop_submissions(part[1], f"{root}/in", 4)
+    write, failed = overlay.publish, []
+
+    def fails_once(*args):
+        write(*args)
+        if not failed:
+            failed.append(True)
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(overlay, "publish", fails_once)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    assert equal(overlay.live_overlay(spark, stored, state), expected(part[0], part[1]))
+    many = overlay.live_pending(spark, stored, state).count()
+    keyed.upsert_keyed(part[1], stored, 2)
+    assert many > 0 == overlay.live_pending(spark, stored, state).count()
+    sent = part[0].union(part[1])
+    assert equal(overlay.live_overlay(spark, stored, state), expected(sent, submitted.limit(0)))
+    stream_ops.drop_submissions(part[2].union(part[3]), f"{root}/in", 4)
+    run()
+    assert equal(overlay.live_overlay(spark, stored, state), expected(sent, part[2].union(part[3])))
+    queued = part[2].union(part[3]).filter("score between 1 and 10").select(*EVALUATION_KEY).distinct()
+    assert overlay._before(spark, state, None).count() <= queued.count(), "sent scores leave the state"
+    keyed.upsert_keyed(part[3], stored, 3)
+    assert equal(overlay.live_overlay(spark, stored, state), expected(sent.union(part[3]), part[2]))
