@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rateline.llm.urls import host_of
@@ -66,12 +67,15 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAINING) -> np.ndarray:
     Rows with a null or another language or a null text are left out; a
     language without rows gets equal chances.
     """
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        docs.filter(F.col("lang").isin(*LANGUAGES) & F.col("doc_id").isNotNull())
-        .select("lang", "doc_id").distinct()
-        .withColumn("place", F.row_number().over(place))
-        .filter(F.col("place") <= max_rows).drop("place")
+    ids = docs.filter(F.col("doc_id").isNotNull()).select("lang", "doc_id")
+    # A top-k a language keeps max_rows in each task, so no task sorts a language's ids.
+    chosen = reduce(
+        DataFrame.union,
+        [
+            ids.filter(F.col("lang") == language).distinct()
+            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+            for language in LANGUAGES
+        ],
     )
     counts = (
         docs.filter("text is not null").select("doc_id", "lang", "text")

@@ -510,6 +510,55 @@ def test_languages_and_fusion(spark):
     assert langid.identify(empty.limit(0), docs).count() == 0
 
 
+def test_training_reads_the_first_rows_by_hash(spark):
+    """As many of each language as asked for, whatever the order and copies of the rows."""
+    rows = [(i, f"text number {i} abc", "de" if i % 3 else "fr") for i in range(300)]
+    rows += [(None, "null id", "de"), (1000, "other", "xx"), (1001, "none", None), (1002, None, "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, max_rows=20)
+    assert np.array_equal(model, langid.train(docs.union(docs.filter("text is null")).repartition(7), max_rows=20))
+    order = {r.doc_id: r.h for r in docs.filter("doc_id < 300").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    table = np.full(model.shape, 0.5)
+    for language in ("de", "fr"):
+        own = sorted((h, i) for i, h in order.items() if ("de" if i % 3 else "fr") == language)[:20]
+        for _, i in own:
+            np.add.at(table[langid.LANGUAGES.index(language)], langid.trigrams(rows[i][1]), 1)
+    assert np.allclose(model, np.log(table / table.sum(1, keepdims=True)))
+    assert len(set(langid.train(docs.limit(0)).ravel().round(9))) == 1
+
+
+def test_fusion_equals_plain_sums(spark):
+    """The chances of every page, worked out from the evidence in plain Python."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    got = {r.page_id: r for r in langid.identify(pages, docs).collect()}
+    seen = langid.evidence(pages, langid.train(docs)).collect()
+    languages, strength = langid.LANGUAGES, langid.STRENGTH
+    sums = {}
+    for r in seen:
+        for group in ("all", ("host", r.host), ("domain", r.domain), ("suffix", r.suffix), ("declared", r.declared)):
+            total = sums.setdefault(group, np.zeros(len(languages)))
+            total += [r[f"t_{x}"] for x in languages]
+    everywhere = sums["all"]
+    share = (everywhere + 1) / (everywhere.sum() + len(languages))
+
+    def smoothed(counts, own, parent):
+        return (counts - own + strength * parent) / (counts.sum() - 1 + strength)
+
+    def given(counts):
+        return (counts + strength * counts.sum() / everywhere.sum()) / (everywhere + strength)
+
+    for r in seen:
+        own = np.array([r[f"t_{x}"] for x in languages])
+        prior = smoothed(sums["host", r.host], own, smoothed(sums["domain", r.domain], own, share))
+        logs = np.log(np.maximum(prior, 1e-9)) + np.log(np.maximum(own, 1e-30))
+        logs += np.log(given(sums["declared", r.declared])) + np.log(given(sums["suffix", r.suffix]))
+        chances = np.exp(logs - logs.max())
+        assert abs(got[r.page_id].confidence - 1 / chances.sum()) < 1e-9
+        assert chances[languages.index(got[r.page_id].language)] > 1 - 1e-9
+    assert len(got) == len(seen)
+
+
 # 9: mixing
 
 
