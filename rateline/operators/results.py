@@ -220,8 +220,21 @@ def score_bands(result_rows: DataFrame) -> DataFrame:
     )
 
 
-def progress_grid(evaluations: DataFrame, players: DataFrame, sessions: DataFrame) -> DataFrame:
-    """The roster of each given session with a rounded mean and band per skill."""
+def progress_grid(
+    evaluations: DataFrame,
+    players: DataFrame,
+    sessions: DataFrame,
+    session_id: int | None = None,
+    scored_only: bool = False,
+) -> DataFrame:
+    """The roster of each given session with a rounded mean and band per skill.
+
+    With ``session_id`` one session is read, on all sides. With ``scored_only`` players without a score
+    are left out: the result grows with the scores, not with sessions times rosters.
+    """
+    if session_id is not None:
+        evaluations = evaluations.filter(F.col("session_id") == session_id)
+        sessions = sessions.filter(F.col("id") == session_id)
     cells = pivot_skills(
         session_progress(
             evaluations.join(
@@ -231,11 +244,14 @@ def progress_grid(evaluations: DataFrame, players: DataFrame, sessions: DataFram
         ["session_id", "player_id"],
         "_cell",
     )
-    roster = sessions.select(F.col("id").alias("session_id"), "division_id").join(
-        players.select(F.col("id").alias("player_id"), "name", "division_id"), "division_id"
-    )
+    divisions = sessions.select(F.col("id").alias("session_id"), "division_id")
+    listed = players.select(F.col("id").alias("player_id"), "name", "division_id")
+    if scored_only:
+        rows = cells.join(divisions, "session_id").join(listed, ["division_id", "player_id"])
+    else:
+        rows = divisions.join(listed, "division_id").join(cells, ["session_id", "player_id"], "left")
     names = [name.lower() for name in SKILLS]
-    return roster.join(cells, ["session_id", "player_id"], "left").select(
+    return rows.select(
         "session_id",
         "player_id",
         display_number(F.col("player_id")).alias("number"),

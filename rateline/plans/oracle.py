@@ -466,20 +466,25 @@ _PROGRESS = """
           FROM {source} GROUP BY session_id, player_id, skill_index)"""
 _define("session_progress", "evaluations", _PROGRESS.format(e4=_E4, source="evaluations"))
 _define("stream_progress", "streamed_latest", _PROGRESS.format(e4=_E4, source="streamed_latest"))
-_define(
-    "progress_grid",
-    "evaluations starts players",
-    f"""SELECT session_id, player_id, {_number("player_id")} AS number, name,
+
+
+def _grid(join: str = "LEFT JOIN", where: str = "TRUE") -> str:
+    return f"""SELECT session_id, player_id, {_number("player_id")} AS number, name,
                running, fielding, pitching, hitting, {_band("running")} AS running_band,
                {_band("fielding")} AS fielding_band, {_band("pitching")} AS pitching_band,
                {_band("hitting")} AS hitting_band
         FROM (SELECT s.id AS session_id, p.id AS player_id, p.name
               FROM starts s JOIN players p ON p.division_id = s.division_id)
-        LEFT JOIN (SELECT session_id, player_id, {_cells(_TENTHS)}
+        {join} (SELECT session_id, player_id, {_cells(_TENTHS)}
                    FROM (SELECT session_id, player_id, skill_index, {_E4} AS avg_e4
                          FROM evaluations GROUP BY session_id, player_id, skill_index)
-                   GROUP BY session_id, player_id) USING (session_id, player_id)""",
-)
+                   GROUP BY session_id, player_id) USING (session_id, player_id)
+        WHERE {where}"""
+
+
+_define("progress_grid", "evaluations starts players", _grid())
+_define("progress_grid_session", "evaluations starts players", _grid(where=f"session_id = {SESSION}"))
+_define("progress_grid_scored", "evaluations starts players", _grid("JOIN"))
 _define(
     "scores_as_map",
     "evaluations",

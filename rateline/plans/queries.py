@@ -314,6 +314,17 @@ def progress_grid(t: StarTables) -> DataFrame:
     return results.progress_grid(_evaluations(t), t.players(), _scored_sessions(t))
 
 
+@query
+def progress_grid_session(t: StarTables) -> DataFrame:
+    return results.progress_grid(_evaluations(t), t.players(), _scored_sessions(t), SESSION)
+
+
+@query
+def progress_grid_scored(t: StarTables) -> DataFrame:
+    """The grid without the players nobody has scored."""
+    return results.progress_grid(_evaluations(t), t.players(), _scored_sessions(t), scored_only=True)
+
+
 @query
 def scores_as_map(t: StarTables) -> DataFrame:
     maps = results.scores_as_map(_evaluations(t))

@@ -69,3 +69,12 @@ def test_division_filter_reaches_the_scores_before_they_are_folded(spark):
 def test_partial_counts_come_before_the_shuffle(spark):
     text = plan(QUERIES["session_progress"](spark, FOLDER))
     assert "partial_sum" in text and "partial_count" in text and "partial_max_by" in text
+
+
+def test_grid_of_one_session_filters_scores_before_they_are_folded(spark):
+    t = StarTables(spark, FOLDER)
+    grid = results.progress_grid(_evaluations(t), t.players(), t.session_divisions(), 199603)
+    optimized = grid._jdf.queryExecution().optimizedPlan().toString()
+    lines = optimized.splitlines()
+    folds = [i for i, line in enumerate(lines) if "Aggregate [session_id" in line and "max_by" in line]
+    assert folds and any("199603" in line for line in lines[folds[-1]:])
