@@ -2,6 +2,8 @@
 
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from rateline.operators.results import session_progress
 from rateline.operators.sessions import session_history
 from rateline.schemas import EVALUATION_KEY
 from rateline.sources import keyed
-from rateline.streaming import keyed_state, lanes, overlay, runs
+from rateline.streaming import keyed_state, lanes, overlay, packed, runs
 from rateline.streaming import sessions as session_stream
 from rateline.streaming import submissions as stream_ops
 
@@ -418,3 +420,150 @@ def test_live_overlay_equals_the_batch_one_after_each_version(spark, submitted,
     assert overlay._before(spark, state, None).count() <= queued.count(), "sent scores leave the state"
     keyed.upsert_keyed(part[3], stored, 3)
     assert equal(overlay.live_overlay(spark, stored, state), expected(sent.union(part[3]), part[2]))
+
+
+class Held:
+    """A state variable, map or value, that counts the calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.rows = {}
+
+    def _called(self, result=None):
+        Held.calls += 1
+        return result
+
+    def getValue(self, key):
+        return self._called(self.rows.get(key))
+
+    def updateValue(self, key, value):
+        self._called(self.rows.update({key: value}))
+
+    def removeKey(self, key):
+        self._called(self.rows.pop(key))
+
+    def iterator(self):
+        return self._called(iter(list(self.rows.items())))
+
+    def clear(self):
+        self._called(self.rows.clear())
+
+    def exists(self):
+        return self._called(bool(self.rows))
+
+    def get(self):
+        return self._called(self.rows[()])
+
+    def update(self, value):
+        self._called(self.rows.update({(): value}))
+
+
+class Handle:
+    """What a processor needs of the state store, for one group."""
+
+    def __init__(self):
+        self.states, self.timers, self.now = [], [], 0
+
+    def _state(self, *_):
+        self.states.append(Held())
+        return self.states[-1]
+
+    getMapState = getValueState = _state
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def _machines(idle_ms=None):
+    handle, machines = Handle(), lanes.LaneMachines(idle_ms)
+    machines.init(handle)
+
+    def run(steps):
+        frame = pd.DataFrame(steps, columns=lanes._NUMBERS)
+        out = list(machines.handleInputRows((0, 9), iter([frame]), handle))
+        return pd.concat(out) if out else pd.DataFrame(columns=lanes._NEWS.names)
+
+    return handle, machines, run
+
+
+def test_many_lanes_take_few_state_calls_and_are_logged_like_each_alone(monkeypatch):
+    """Parts are few, grow with the bucket, and hold each lane's steps, whatever batch they came in."""
+    monkeypatch.setattr(packed, "FULL", 64)
+    rng = np.random.default_rng(1)
+    steps = [
+        (int(rng.integers(400)), int(rng.integers(50)), int(rng.integers(3)), int(rng.choice([0, 2, 3, 7])), i + 2**60, i)
+        for i in range(3000)
+    ]
+    handle, machines, run = _machines()
+    logged, known, was = {}, {}, {}
+    for batch in (steps[:1000], steps[1000:1010], steps[1010:], steps[:40]):
+        Held.calls = 0
+        news = run(batch)
+        assert Held.calls < 3 * 64  # a lane has some calls of its own, if each is kept alone
+        for lane, at, seq, kind, session, division in batch:
+            known[lane, at, seq] = (kind, session, division)
+        order = sorted(known)
+        want = {k: (*known[k], *(n[1:] if n and n[0] == k[0] else (None, None))) for k, n in zip(order, [*order[1:], None])}
+        got = {
+            (r.lane, r.at, r.seq): (
+                r.kind & ~lanes.HAS_NEXT, r.session_id, r.division_id,
+                *((r.next_at, r.next_seq) if r.kind & lanes.HAS_NEXT else (None, None)),
+            )
+            for r in news.itertuples()
+        }
+        assert len(got) == len(news) and got == {k: v for k, v in want.items() if was.get(k) != v}
+        logged, was = {**logged, **got}, want
+    assert logged == was
+    assert len(handle.states[0].rows) > 16
+
+
+def test_lanes_of_a_bucket_are_released_each_in_its_time():
+    handle, machines, run = _machines(idle_ms=800)
+    assert list(run([(1, 5, 0, 3, 1, 1), (2, 5, 0, 3, 2, 1)])["epoch"]) == [0, 0]
+    handle.now = 500
+    assert list(run([(2, 6, 0, 3, 3, 1)])["revision"]) == [2, 2]  # the lane's earlier step has a successor now
+    assert handle.timers == [800]
+    handle.now = 900
+    assert list(machines.handleExpiredTimer((0, 9), handle, None)) == [] and handle.timers == [800, 1300]
+    again = run([(1, 7, 0, 0, 0, 0), (2, 7, 0, 0, 0, 0)])
+    assert list(zip(again["lane"], again["epoch"], again["revision"])) == [(1, 900, 1), (2, 0, 3), (2, 0, 3)]
+    handle.now = 1800
+    list(machines.handleExpiredTimer((0, 9), handle, None))
+    assert not any(s.rows for s in handle.states)
+
+
+def test_lanes_that_share_a_bucket_share_state_rows_and_timers(spark, tmp_path):
+    """A lane that waits longer than the bucket's first timer is released by a later one."""
+    root = str(tmp_path)
+    commands = spark.range(300).select(
+        (F.col("id") + 1).alias("lane"), F.col("id").alias("seq"),
+        F.timestamp_micros("id").cast("timestamp_ntz").alias("ts"), F.lit("start").alias("command"),
+        F.lit(1).cast("long").alias("division_id"), (F.col("id") + 2**60 + 1).alias("session_id"),
+    )
+    ends = commands.filter("lane = 3").selectExpr(
+        "lane", "seq + 1 as seq", "ts", "'end' as command", "null as division_id", "null as session_id"
+    )
+    session_stream.drop_commands(commands.filter("lane > 1").unionByName(ends), f"{root}/in", 2, mixed=True)
+    stream = session_stream.command_stream(spark, f"{root}/in")
+    query = lanes.start_lanes(stream, f"{root}/log", f"{root}/cp", interval="1 second", idle_ms=8_000, buckets=2)
+    try:
+        rows, deadline, dropped = [], time.time() + 90, False
+        while time.time() < deadline and not (rows and max(rows) > 0 and rows[-1] == 0):
+            rows += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress[-1:] if p["stateOperators"]]
+            if rows and max(rows) > 0 and not dropped:
+                time.sleep(2)
+                session_stream.drop_commands(commands.filter("lane = 1"), f"{root}/in", 1)
+                dropped = True
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert 0 < max(rows) < 30 and rows[-1] == 0
+    want = session_history(commands.unionByName(ends))
+    assert equal(lanes.live_history(spark, f"{root}/log"), want, *HISTORY)
