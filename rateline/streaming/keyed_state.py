@@ -2,7 +2,8 @@
 
 State is kept per session and bucket of players, so that one session of any size is
 spread over the buckets, and an end reaches all of a session's state as one row a bucket.
-Within a bucket a map holds the last score of each player, coach and skill.
+Within a bucket a map holds the last score of each player, coach and skill, packed in parts
+(``packed.py``): two state calls for each score would take most of the time.
 
 The state only tells what is news. What it lets through goes to a log that is folded by
 arrival number, so releasing state never changes a result: a score that comes after its
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from rateline.operators.quality import submission_faults
 from rateline.schemas import EVALUATION_KEY
+from rateline.streaming import packed
 from rateline.streaming.runs import RunLog
 
 BUCKETS = 16
@@ -33,6 +36,7 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _OF_BUCKET = ["player_id", "coach_id", "skill_index"]
+_SCORES = np.dtype([("player_id", "<i8"), ("coach_id", "<i8"), ("skill_index", "<i4"), ("score", "<i4"), ("arrival_seq", "<i8")])
 _NEWS = T.StructType(
     [
         *[T.StructField(c, T.LongType()) for c in EVALUATION_KEY[:3]],
@@ -52,13 +56,11 @@ class LastScores(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.scores = handle.getMapState(
-            "scores", "player_id long, coach_id long, skill_index int", "score int, arrival_seq long"
-        )
+        self.parts = packed.Parts(handle, _OF_BUCKET, scores=_SCORES)
         self.expiry = handle.getValueState("expiry", "at long")
 
     def _release(self) -> None:
-        self.scores.clear()
+        self.parts.clear()
         if self.expiry.exists():
             self.handle.deleteTimer(self.expiry.get()[0])
             self.expiry.clear()
@@ -74,28 +76,37 @@ class LastScores(StatefulProcessor):
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
         ended, came = False, False
-        for frame in rows:
+        for frame in packed.chunks(rows):
             ended |= bool(frame["ended"].any())
             scores = frame[~frame["ended"]]
             last = scores.sort_values("arrival_seq").drop_duplicates(_OF_BUCKET, keep="last")
-            news = []
-            for row in last.itertuples(index=False):
-                of = (int(row.player_id), int(row.coach_id), int(row.skill_index))
-                known = self.scores.getValue(of)
-                if known is None or row.arrival_seq > known[1]:
-                    self.scores.updateValue(of, (int(row.score), int(row.arrival_seq)))
-                    news.append((key[0], *of, int(row.score), int(row.arrival_seq), known is None))
             came |= len(last) > 0
-            if news:
-                yield pd.DataFrame(news, columns=_NEWS.names)
+            if len(news := self._take(packed.records(last, _SCORES))):
+                yield news.assign(session_id=int(key[0]))[_NEWS.names]
         # An end comes after the scores of its batch, in whatever order both arrived.
         if ended:
             self._release()
         elif came and self.idle_ms is not None:
             self._wait(timerValues.getCurrentProcessingTimeInMs())
 
+    def _take(self, came: np.ndarray) -> pd.DataFrame:
+        """Keep the scores that arrived after the known ones of their keys; those scores."""
+        (known,) = self.parts.read(came)
+        both = np.concatenate([known, came])
+        is_news = np.arange(len(both)) >= len(known)
+        # Of equal arrivals the known one stays.
+        order = np.lexsort((~is_news, both["arrival_seq"], *(both[c] for c in _OF_BUCKET)))
+        both, is_news = both[order], is_news[order]
+        first = packed.begins(*(both[c] for c in _OF_BUCKET))
+        last = packed.ends(first)
+        is_first = (first & is_news)[last]  # the one row of its key
+        both, is_news = both[last], is_news[last]
+        if is_news.any():
+            self.parts.write(both)
+        return pd.DataFrame(both[is_news]).assign(is_first=is_first[is_news])
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self.scores.clear()
+        self.parts.clear()
         self.expiry.clear()
         return iter(())
 

@@ -567,3 +567,46 @@ def test_lanes_that_share_a_bucket_share_state_rows_and_timers(spark, tmp_path):
     assert 0 < max(rows) < 30 and rows[-1] == 0
     want = session_history(commands.unionByName(ends))
     assert equal(lanes.live_history(spark, f"{root}/log"), want, *HISTORY)
+
+
+def test_many_keys_take_few_state_calls_and_let_through_what_is_news(monkeypatch):
+    monkeypatch.setattr(packed, "FULL", 64)
+    rng = np.random.default_rng(2)
+    handle, scores = Handle(), keyed_state.LastScores(None)
+    scores.init(handle)
+    columns = ["player_id", "coach_id", "skill_index", "score", "arrival_seq"]
+    keys = np.column_stack([rng.integers(-5, 300, 4000), 2**60 + rng.integers(3, size=4000), rng.integers(-1, 3, 4000)])
+    rows = [(*map(int, k), i % 11, int(a)) for i, (k, a) in enumerate(zip(keys, rng.permutation(4000)))]
+    known = {}
+    for batch in (rows[:2000], rows[2000:2010], rows[2010:], rows[:50]):
+        Held.calls = 0
+        frame = pd.DataFrame(batch, columns=columns).assign(ended=False)
+        out = list(scores.handleInputRows((7, 0), iter([frame]), handle))
+        assert Held.calls < 3 * 64  # two for each key, if it is kept alone
+        last = {}
+        for *key, score, arrival in batch:
+            last[tuple(key)] = max(last.get(tuple(key), (-1, 0)), (arrival, score))
+        want = {(7, *k, s, a, k not in known) for k, (a, s) in last.items() if k not in known or a > known[k][0]}
+        got = [tuple(r) for frame in out for r in frame[keyed_state._NEWS.names].itertuples(index=False)]
+        assert len(got) == len(want) and set(got) == want
+        known |= {k: v for k, v in last.items() if k not in known or v[0] > known[k][0]}
+    assert len(handle.states[0].rows) > 16
+    end = pd.DataFrame([(0, 0, 0, 0, 0)], columns=columns).assign(ended=True)
+    assert list(scores.handleInputRows((7, 0), iter([end]), handle)) == []
+    assert not any(s.rows for s in handle.states)
+
+
+def test_keys_share_state_rows(spark, tmp_path):
+    """Scores of 2,000 keys lie in few rows, two batches' worth."""
+    root = str(tmp_path)
+    rows = spark.range(4000).select(
+        F.lit(1).cast("long").alias("session_id"), (F.col("id") % 2000 + 1).alias("player_id"),
+        F.lit(1).cast("long").alias("coach_id"), F.lit(0).alias("skill_index"), (F.col("id") % 10 + 1).cast("int").alias("score"),
+        F.pmod(F.col("id") * 7, F.lit(4000)).alias("arrival_seq"), F.timestamp_micros("id").cast("timestamp_ntz").alias("created_at"),
+        F.timestamp_micros("id").cast("timestamp_ntz").alias("queued_at"),
+    )
+    stream_ops.drop_submissions(rows, f"{root}/in", 4)
+    query = keyed_state.start_keyed_latest(stream_ops.submission_stream(spark, f"{root}/in", 2), f"{root}/up", f"{root}/cp", buckets=4)
+    query.awaitTermination()
+    assert 0 < _state_rows(query) < 200
+    assert equal(keyed_state.keyed_latest(spark, f"{root}/up"), latest_evaluations(rows), *EVALUATION_KEY, "score")
