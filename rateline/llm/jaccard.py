@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from rateline.llm.names import unused
 from rateline.llm.urls import WORDS as BLOCK_WORDS
 from rateline.llm.urls import _probe, blocked_bloom
-from rateline.sources.workspace import materialize
+from rateline.sources.workspace import materialize, scope
 
 SHINGLE = 5
 #: Similarity of 0.8: in percent, and as the bound (a + b) / 9 on differences.
@@ -326,8 +326,8 @@ def _open_pairs(members: DataFrame, labels: DataFrame, features: DataFrame, read
     return blocks.mapInPandas(read, "a long, b long").distinct()
 
 
-def link_classes(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """cls and comp of every class that is linked with another one."""
+def shared_parts(marks: DataFrame) -> DataFrame:
+    """sig, cls, c: the classes of each part that c > 1 share; a table left to the scope around."""
     rows = marks.select(F.explode("sigs").alias("sig"), "cls")
     part = Window.partitionBy("sig")
     shared = (
@@ -344,8 +344,13 @@ def link_classes(docs: DataFrame, marks: DataFrame) -> DataFrame:
         "shared-parts",
     )
     once = listed.groupBy(*alike).agg(F.min("sig").alias("sig")).select("sig")
-    members = materialize(listed.join(once, "sig", "left_semi").select("sig", "cls", "c"), "members")
+    return materialize(
+        listed.join(once, "sig", "left_semi").select("sig", "cls", "c"), "members", keep=True
+    )
 
+
+def link_classes(docs: DataFrame, marks: DataFrame, members: DataFrame) -> DataFrame:
+    """cls and comp of every class that is linked with another one."""
     # Sets of the classes concerned, from one text each: a filter of bounded size keeps most
     # other texts from being read again, and what it lets through does no harm.
     wanted = materialize(
@@ -386,19 +391,23 @@ def link_classes(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles and comp, the component as a class, a row per row.
+    """doc_id, text_key, n_shingles and comp, the component as a class, a row per row: a table.
 
     comp is null for texts without words; text_key is xxhash64 of the text.
     """
-    docs = docs.select("doc_id", "text")
-    marks = materialize(
-        docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(_mark, _MARKS),
-        "marks",
-    )
-    labels = link_classes(docs, marks.filter("cls is not null"))
-    return marks.join(labels, "cls", "left").select(
-        "doc_id", "text_key", "n_shingles", F.coalesce("comp", "cls").alias("comp")
-    )
+    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    with scope(spark):
+        # Signatures are nearly as large as the texts: they go once the shared ones are known.
+        with scope(spark):
+            signed = materialize(keyed.mapInArrow(_mark, _MARKS), "signatures")
+            members = shared_parts(signed.filter("cls is not null"))
+            marks = materialize(signed.drop("sigs"), "marks", keep=True)
+        labels = link_classes(docs, marks.filter("cls is not null"), members)
+        named = marks.join(labels, "cls", "left").select(
+            "doc_id", "text_key", "n_shingles", F.coalesce("comp", "cls").alias("comp")
+        )
+        return materialize(named, "classes", keep=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -411,7 +420,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whatever their doc_id; other columns are left out. Classes are told apart by
     64-bit fingerprints.
     """
-    named = materialize(classes(docs), "classes")
+    named = classes(docs)
     found = named.filter("comp is not null")
     least = found.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     linked = found.join(least, "comp").select("doc_id", "n_shingles", "component_id")
@@ -428,7 +437,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     text_key is kept; rows equal in doc_id and text stay once. Texts without
     words stay.
     """
-    named = materialize(classes(docs), "classes")
+    named = classes(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("f")
     kept = (
         named.filter("comp is not null").groupBy("comp").agg(first).select("f.doc_id", "f.text_key")

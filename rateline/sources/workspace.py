@@ -70,14 +70,34 @@ def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
     return folder
 
 
+#: Spark's setting to remove the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed inside go at its end, not when the driver collects garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str = "step", keep: bool = False) -> DataFrame:
     """Compute once into a table in the shared folder, and go on from there.
 
     The table cuts the lineage, outlives lost executors, and has a known size,
-    so that the planner can tell whether a join may broadcast it.
+    so that the planner can tell whether a join may broadcast it. What was shuffled
+    for it is removed.
     """
     folder = new_folder(df.sparkSession, name, keep)
-    df.write.parquet(folder)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 ODD_TEXTS = [
@@ -27,3 +29,12 @@ def odd_docs(spark):
 @pytest.fixture
 def no_docs(odd_docs):
     return odd_docs.limit(0)
+
+
+@pytest.fixture
+def steps(spark):
+    """The names of step folders made since the test began."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir")) / "rateline"
+    names = lambda: {p.name for p in folder.glob("*")}
+    before = names()
+    return lambda: {n.rsplit("-", 1)[0] for n in names() - before}

@@ -374,6 +374,18 @@ def test_one_of_each_group_stays(spark, odd_docs, no_docs):
     assert jaccard.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_remove_what_they_have_read(spark, steps, monkeypatch):
+    seen, verify = [], jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda *tables: seen.append(steps()) or verify(*tables))
+    rows = [(i, f"the same few words in a text of the group {i % 3} {'and more ' * (i % 3)}") for i in range(9)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert seen and not any(names & {"signatures", "shared-parts"} for names in seen)
+    assert steps() == {"classes"}
+    assert {r.doc_id: r.component_id for r in found.collect()} == {
+        i: least for i, (_, least) in plain_components(rows).items()
+    }
+
+
 @pytest.mark.parametrize("size", [1, 2, 15, 16, 18, 31, 32, 40, 200, 1_000])
 def test_linked_sets_share_a_signature(size):
     random_ = np.random.default_rng(size)

@@ -1,6 +1,7 @@
 """Text and JSON inputs, published versions, and the shared folder."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,3 +208,20 @@ def test_cluster_without_shared_folder_is_refused():
 
     with pytest.raises(RuntimeError):
         workspace.shared_folder(Session())
+
+
+def test_a_step_leaves_no_shuffle_files(spark):
+    """The setting is the session's own again afterwards."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if "shuffle" in files.apply(i).getName()}
+
+    before = shuffled()
+    step = workspace.materialize(spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).count())
+    until = time.monotonic() + 10
+    while shuffled() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert step.count() == 7 and spark.conf.get(workspace.CLEANUP) == "false"
