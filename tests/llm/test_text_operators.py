@@ -120,6 +120,15 @@ def test_terms_of_a_domain_are_pooled(spark):
     assert all("Corpus" not in clean[i * 9] and "words about nothing" in clean[i * 9] for i in range(8))
 
 
+def test_words_are_shuffled_in_steps_that_are_removed(spark, steps):
+    """What is left to the last step are the rows found and the terms marked in them."""
+    texts = [f"filler{'abcdef'[i % 6]} words about nothing at all today" for i in range(400)]
+    texts[7] = "words about nothing from Zebulon at zeb@corp.example today"
+    rows = pii.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert steps() == {"pii-found", "pii-marked"}
+    assert "Zebulon" in [texts[7][t.start : t.end] for r in rows.collect() for t in r.terms if r.doc_id == 7]
+
+
 def test_places_of_many_matches_are_those_in_the_text(spark):
     text = "ab@c.de " + " ".join(f"wo{'abcdefghij'[i % 10]}é😀" for i in range(3 * pii._RUN + 5))
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
